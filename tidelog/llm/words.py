@@ -47,13 +47,19 @@ def words(data: np.ndarray, offsets: np.ndarray) -> Words:
     last = inside.copy()
     last[:-1] &= ~inside[1:] | begins[1:]
     ends = np.flatnonzero(last) + 1
-    place = np.arange(n) - np.repeat(starts, np.diff(np.append(starts, n)))[-n:] if starts[0] == 0 else _places(n, starts)
-    value *= _POWERS[place & 255]
+    hashes = span_hashes(value, starts) + (ends - starts).astype(np.uint64)
+    return Words(starts, ends, mix(hashes), np.searchsorted(starts, offsets))
+
+
+def span_hashes(value: np.ndarray, starts: np.ndarray) -> np.ndarray:
+    """A polynomial hash of value[starts[i]:starts[i+1]] for every i; zeros at the end of a span do not count. Changes value."""
+    place = _places(len(value), starts)
     far = np.flatnonzero(place > 255)
+    some = value[far] != 0
+    value *= _POWERS[place & 255]
     if len(far):  # beyond the table of powers
-        value[far] = mix(value[far] + (place[far] >> 8).astype(np.uint64) * np.uint64(0xD6E8FEB86659FD93)) * inside[far]
-    hashes = mix(np.add.reduceat(value, starts) + (ends - starts).astype(np.uint64))
-    return Words(starts, ends, hashes, np.searchsorted(starts, offsets))
+        value[far] = mix(value[far] + (place[far] >> 8).astype(np.uint64) * np.uint64(0xD6E8FEB86659FD93)) * some
+    return np.add.reduceat(value, starts)
 
 
 def _places(n: int, starts: np.ndarray) -> np.ndarray:
