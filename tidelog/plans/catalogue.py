@@ -1,11 +1,684 @@
-"""All queries of the engine by name, with their SQL equivalents."""
+"""All queries of the engine by name, with their SQL equivalents.
+
+Each query looks at its tables through a lens (lenses.py), applies one operator to all
+of it, and has its meaning written down once more as plain SQL.
+"""
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
+from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import functions as F
+
+from tidelog.functions import scalars, subjects
+from tidelog.operators import folds, logs, maintenance, objects, parity, scan, search, stores
+from tidelog.plans import sqlapi
+from tidelog.plans.lenses import duck, lens
+
+Query = Callable[[SparkSession, str], DataFrame]
+_QUERIES: dict[str, Query] = {}
+_SQL: dict[str, str] = {}
+
+EXECUTIONS = """(
+SELECT execution_id, coalesce(CASE terminal_event_type WHEN 'playbook.completed' THEN 'completed' WHEN 'playbook_failed' THEN 'failed' END, last_status, 'running') AS status,
+current_node, event_count, first_global_sequence, last_global_sequence, last_event_id, terminal_event_type IS NOT NULL AS terminal, terminal_event_type FROM (
+SELECT execution_id, count(*) AS event_count, min(global_sequence) AS first_global_sequence, max(global_sequence) AS last_global_sequence, arg_max(event_id, global_sequence) AS last_event_id,
+arg_max(node_name, global_sequence) FILTER (WHERE node_name IS NOT NULL) AS current_node, arg_max(status, global_sequence) FILTER (WHERE status IS NOT NULL) AS last_status,
+arg_max(event_type, global_sequence) FILTER (WHERE event_type IN ('playbook.completed', 'playbook_failed')) AS terminal_event_type FROM {event_log} AS e GROUP BY execution_id) AS f)"""
+
+
+def _query(name: str, sql: str | None = None):
+    def add(function: Query) -> Query:
+        _QUERIES[name] = function
+        if sql is not None:
+            _SQL[name] = duck(sql.replace("@executions", EXECUTIONS))
+        return function
+
+    return add
+
+
+def executions(spark: SparkSession, sf: str) -> DataFrame:
+    return folds.fold_executions(lens(spark, sf, "event_log"))
+
+
+# SQL surface
+
+
+@_query("sql_select_star", "SELECT * FROM @executions AS x ORDER BY first_global_sequence LIMIT 100")
+def _(spark, sf):
+    return sqlapi.run_sql(executions(spark, sf), "SELECT * FROM executions")
+
+
+@_query("sql_status_filter", "SELECT execution_id, status FROM (SELECT * FROM @executions AS x ORDER BY first_global_sequence LIMIT 100) AS y WHERE lower(status) = 'completed'")
+def _(spark, sf):
+    return sqlapi.run_sql(executions(spark, sf), "SELECT execution_id, status FROM executions WHERE status = 'COMPLETED' LIMIT 100")
+
+
+@_query("sql_exec_filter", "SELECT execution_id, status, event_count FROM (SELECT * FROM @executions AS x ORDER BY first_global_sequence LIMIT 1000) AS y WHERE execution_id = '7'")
+def _(spark, sf):
+    return sqlapi.run_sql(executions(spark, sf), "SELECT execution_id, status, event_count FROM executions WHERE (execution_id = '7') LIMIT 5000")
+
+
+@_query("sql_limit_before_filter", "SELECT execution_id, terminal FROM (SELECT * FROM @executions AS x ORDER BY first_global_sequence LIMIT 10) AS y WHERE status = 'running'")
+def _(spark, sf):
+    return sqlapi.run_sql(executions(spark, sf), "SELECT execution_id, terminal FROM executions WHERE status = 'failed' AND status = 'running' LIMIT 10")
+
+
+@_query("sql_projection_dup_order", "SELECT status AS a, execution_id AS b, status AS c FROM (SELECT * FROM @executions AS x ORDER BY first_global_sequence LIMIT 20) AS y")
+def _(spark, sf):
+    return sqlapi.run_sql(executions(spark, sf), "SELECT status, execution_id, status FROM executions LIMIT 20").toDF("a", "b", "c")
+
+
+# snapshot scans
+
+
+@_query("scan_project", "SELECT o_orderkey, o_orderstatus FROM orders")
+def _(spark, sf):
+    return scan.filter_project(lens(spark, sf, "orders"), None, ["o_orderkey", "o_orderstatus"])
+
+
+@_query("scan_filter_utf8", "SELECT o_orderkey, o_custkey, o_orderstatus, o_totalprice, o_orderpriority FROM orders WHERE o_orderstatus = 'F'")
+def _(spark, sf):
+    return scan.filter_project(lens(spark, sf, "orders"), scan.Predicate("o_orderstatus", "F"), ["o_orderkey", "o_custkey", "o_orderstatus", "o_totalprice", "o_orderpriority"])
+
+
+@_query("scan_filter_int64", "SELECT o_orderkey, o_custkey FROM orders WHERE o_custkey = 10")
+def _(spark, sf):
+    return scan.filter_project(lens(spark, sf, "orders"), scan.Predicate("o_custkey", 10), ["o_orderkey", "o_custkey"])
+
+
+@_query("scan_filter_not_projected", "SELECT o_orderkey FROM orders WHERE o_orderpriority = '1-URGENT'")
+def _(spark, sf):
+    return scan.filter_project(lens(spark, sf, "orders"), scan.Predicate("o_orderpriority", "1-URGENT"), ["o_orderkey"])
+
+
+@_query("scan_latest_snapshot", "SELECT o_orderkey, o_totalprice FROM orders WHERE o_orderkey % 3 = (SELECT max(o_orderkey % 3) FROM orders)")
+def _(spark, sf):
+    last = scan.latest_snapshots(lens(spark, sf, "snapshots").withColumn("files", F.array("snapshot_id")))
+    orders = lens(spark, sf, "orders").withColumn("snapshot_id", F.concat(F.lit("s"), F.pmod("o_orderkey", F.lit(3)).cast("string")))
+    return orders.join(last, "snapshot_id", "left_semi").select("o_orderkey", "o_totalprice")
+
+
+@_query("snapshot_chain", "SELECT table_id, snapshot_id, parent_id, lag(snapshot_id) OVER (PARTITION BY table_id ORDER BY commit_seq) AS expected FROM (SELECT table_id, snapshot_id, CASE WHEN commit_seq = 2 THEN 's0' ELSE parent_id END AS parent_id, commit_seq FROM {snapshots} AS s) AS t QUALIFY parent_id IS DISTINCT FROM expected")
+def _(spark, sf):
+    forked = lens(spark, sf, "snapshots").withColumn("parent_id", F.when(F.col("commit_seq") == 2, "s0").otherwise(F.col("parent_id")))
+    return scan.broken_chains(forked)
+
+
+@_query("scan_grants", "SELECT name FROM (SELECT 'orders' AS name UNION ALL SELECT 'lineitem' AS name) AS t WHERE name = 'orders'")
+def _(spark, sf):
+    tables = spark.createDataFrame([("acme", "sales", "orders"), ("acme", "sales", "lineitem")], "tenant string, namespace string, name string")
+    grants = spark.createDataFrame([("acme", "sales", "orders", "alice"), ("other", "sales", "lineitem", "alice")], scan.GRANTS)
+    return scan.scannable(tables, grants, "alice").select("name")
+
+
+@_query("state_summary", """
+SELECT 'events' AS dataset, count(*) AS n FROM {event_log} AS e UNION ALL SELECT 'executions' AS dataset, count(DISTINCT execution_id) AS n FROM {event_log} AS e UNION ALL SELECT 'snapshots' AS dataset, count(*) AS n FROM {snapshots} AS e
+UNION ALL SELECT 'streams' AS dataset, count(DISTINCT shard) AS n FROM {stream} AS e UNION ALL SELECT 'stream_records' AS dataset, count(*) AS n FROM {stream} AS e UNION ALL SELECT 'consumers' AS dataset, count(*) AS n FROM {consumers} AS e
+UNION ALL SELECT 'documents' AS dataset, count(*) AS n FROM {docs} AS e UNION ALL SELECT 'chunks' AS dataset, count(*) AS n FROM {chunks} AS e UNION ALL SELECT 'embeddings' AS dataset, count(*) AS n FROM embeddings AS e
+UNION ALL SELECT 'objects' AS dataset, count(DISTINCT digest) AS n FROM {objects} AS e UNION ALL SELECT 'replicas' AS dataset, count(*) AS n FROM {objects} AS e""")
+def _(spark, sf):
+    counts = [("events", "event_log", None), ("executions", "event_log", "execution_id"), ("snapshots", "snapshots", None), ("streams", "stream", "shard"), ("stream_records", "stream", None), ("consumers", "consumers", None), ("documents", "docs", None), ("chunks", "chunks", None), ("embeddings", "embeddings", None), ("objects", "objects", "digest"), ("replicas", "objects", None)]
+    out = None
+    for name, source, distinct in counts:
+        n = F.countDistinct(distinct) if distinct else F.count("*")
+        row = lens(spark, sf, source).agg(n.alias("n")).select(F.lit(name).alias("dataset"), "n")
+        out = row if out is None else out.unionAll(row)
+    return out
+
+
+# logs
+
+
+@_query("log_after_cursor", "SELECT global_sequence, execution_id, event_type FROM {event_log} AS e WHERE global_sequence > 900")
+def _(spark, sf):
+    return logs.after_cursor(lens(spark, sf, "event_log"), "global_sequence", 900).select("global_sequence", "execution_id", "event_type")
+
+
+@_query("log_read_execution", "SELECT global_sequence, event_type, node_name FROM {event_log} AS e WHERE execution_id = '7' AND global_sequence > 100")
+def _(spark, sf):
+    return logs.read_key(lens(spark, sf, "event_log"), "execution_id", "7", "global_sequence", 100).select("global_sequence", "event_type", "node_name")
+
+
+@_query("log_replay", "SELECT global_sequence, execution_id, transaction_id, payload FROM {event_log} AS e")
+def _(spark, sf):
+    return logs.replay(lens(spark, sf, "event_log").select("global_sequence", "execution_id", "transaction_id", "payload"), "global_sequence")
+
+
+@_query("log_scan_bounded", "SELECT global_sequence, execution_id FROM {event_log} AS e WHERE global_sequence > 300 ORDER BY global_sequence LIMIT 50")
+def _(spark, sf):
+    return logs.scan(lens(spark, sf, "event_log").select("global_sequence", "execution_id"), "global_sequence", 100, 50, floor=300)
+
+
+@_query("log_tip", "SELECT CAST(coalesce(max(global_sequence), 0) AS BIGINT) AS tip FROM {event_log} AS e")
+def _(spark, sf):
+    return folds.tip(lens(spark, sf, "event_log"), "global_sequence")
+
+
+@_query("log_shard_counts", "SELECT shard, count(*) AS n, max(global_sequence) AS tip FROM {event_log} AS e GROUP BY shard")
+def _(spark, sf):
+    return lens(spark, sf, "event_log").groupBy("shard").agg(F.count("*").alias("n"), F.max("global_sequence").alias("tip"))
+
+
+@_query("log_shard_xxh64")
+def _(spark, sf):
+    ids = lens(spark, sf, "event_log").select("execution_id").distinct()
+    return ids.withColumn("shard", scalars.shard_for(F.col("execution_id"), 7))
+
+
+@_query("command_subjects", "SELECT 'commands.' || coalesce(nullif(CASE WHEN event_id % 5 = 0 THEN '' WHEN event_id % 5 = 1 THEN NULL ELSE 'p' || CAST(event_id % 5 AS STRING) END, ''), 'shared') || '.shard.' || CAST(user_id % 4 AS STRING) AS subject, count(*) AS n FROM events GROUP BY 1")
+def _(spark, sf):
+    pool = F.expr("CASE WHEN event_id % 5 = 0 THEN '' WHEN event_id % 5 = 1 THEN NULL ELSE concat('p', event_id % 5) END")
+    rows = lens(spark, sf, "events").select(F.to_json(F.struct(pool.alias("execution_pool"))).alias("payload"), F.pmod("user_id", F.lit(4)).alias("shard"))
+    return rows.groupBy(subjects.command_subject(F.col("payload"), F.col("shard")).alias("subject")).agg(F.count("*").alias("n"))
+
+
+# folds
+
+
+@_query("fold_execution_state", "SELECT * FROM @executions AS x")
+def _(spark, sf):
+    return executions(spark, sf)
+
+
+@_query("fold_kv", "SELECT bucket, key, value, op_seq FROM (SELECT *, row_number() OVER (PARTITION BY bucket, key ORDER BY op_seq DESC) AS r FROM {kv_ops} AS k) AS t WHERE r = 1 AND NOT deleted")
+def _(spark, sf):
+    return folds.fold_latest(lens(spark, sf, "kv_ops"), ["bucket", "key"], "op_seq").select("bucket", "key", "value", "op_seq")
+
+
+@_query("kv_prefix_scan", "SELECT bucket, key, value FROM (SELECT *, row_number() OVER (PARTITION BY bucket, key ORDER BY op_seq DESC) AS r FROM {kv_ops} AS k WHERE starts_with(key, 'k/3/')) AS t WHERE r = 1 AND NOT deleted ORDER BY bucket, key LIMIT 4096")
+def _(spark, sf):
+    return stores.kv_scan(lens(spark, sf, "kv_ops"), "k/3/", ["bucket", "key"]).select("bucket", "key", "value")
+
+
+@_query("kv_versions", "SELECT op_seq, bucket, key, CAST(row_number() OVER (PARTITION BY bucket, key ORDER BY op_seq) AS BIGINT) AS version FROM {kv_ops} AS k")
+def _(spark, sf):
+    return folds.with_versions(lens(spark, sf, "kv_ops"), ["bucket", "key"], "op_seq").select("op_seq", "bucket", "key", "version")
+
+
+@_query("kv_versions_restarting", "SELECT op_seq, bucket, key, CAST(row_number() OVER (PARTITION BY bucket, key, era ORDER BY op_seq) AS BIGINT) AS version FROM (SELECT *, coalesce(sum(CASE WHEN deleted THEN 1 ELSE 0 END) OVER (PARTITION BY bucket, key ORDER BY op_seq ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS era FROM {kv_ops} AS k) AS t")
+def _(spark, sf):
+    return folds.with_versions(lens(spark, sf, "kv_ops"), ["bucket", "key"], "op_seq", "deleted").select("op_seq", "bucket", "key", "version")
+
+
+@_query("kv_ttl_scan", "SELECT bucket, key, value, expires_at_ms FROM (SELECT *, row_number() OVER (PARTITION BY bucket, key ORDER BY op_seq DESC) AS r FROM {kv_ops} AS k) AS t WHERE r = 1 AND NOT deleted AND (expires_at_ms IS NULL OR expires_at_ms > 9000)")
+def _(spark, sf):
+    return stores.kv_state(lens(spark, sf, "kv_ops"), ["bucket", "key"], now_ms=9000).select("bucket", "key", "value", "expires_at_ms")
+
+
+@_query("kv_cas_write", """
+WITH s AS (SELECT bucket, key, deleted, n AS version FROM (SELECT *, row_number() OVER (PARTITION BY bucket, key ORDER BY op_seq DESC) AS r, count(*) OVER (PARTITION BY bucket, key) AS n FROM {kv_ops} AS k) AS t WHERE r = 1),
+q AS (SELECT bucket, key, CASE WHEN version % 3 = 0 THEN version WHEN version % 3 = 1 THEN 0 ELSE NULL END AS want, version % 5 = 0 AS del, NOT deleted AS live, version FROM s),
+a AS (SELECT bucket, key, CAST(version + 1 AS BIGINT) AS version, del AS deleted, (CASE WHEN want IS NULL THEN true WHEN want = 0 THEN NOT live ELSE live AND version = want END) AND (NOT del OR live) AS applied FROM q)
+SELECT *, CASE WHEN applied THEN CAST((SELECT max(op_seq) FROM {kv_ops} AS m) + row_number() OVER (PARTITION BY applied ORDER BY bucket, key) AS BIGINT) END AS op_seq FROM a""")
+def _(spark, sf):
+    ops = folds.with_versions(lens(spark, sf, "kv_ops"), ["bucket", "key"], "op_seq")
+    state = folds.last_records(ops, ["bucket", "key"], "op_seq")
+    want = F.expr("CASE WHEN version % 3 = 0 THEN version WHEN version % 3 = 1 THEN 0 ELSE NULL END")
+    requests = state.select("bucket", "key", F.lit("new").alias("value"), (F.col("version") % 5 == 0).alias("delete"), want.alias("expected_version"), F.lit(None).cast("long").alias("expires_at_ms"))
+    return stores.kv_write(ops, requests, ["bucket", "key"], monotonic=True).select("bucket", "key", "version", "deleted", "applied", "op_seq")
+
+
+@_query("projection_list", "SELECT DISTINCT execution_id FROM {event_log} AS e")
+def _(spark, sf):
+    return folds.distinct_ids(lens(spark, sf, "event_log"), "execution_id")
+
+
+@_query("execution_list_page", "SELECT execution_id, first_global_sequence, (SELECT count(*) FROM @executions AS x) AS match_count, (SELECT count(*) FROM @executions AS x) > 25 AS truncated FROM @executions AS y ORDER BY first_global_sequence LIMIT 25")
+def _(spark, sf):
+    return folds.bounded(executions(spark, sf).select("execution_id", "first_global_sequence"), ["first_global_sequence"], 25)
+
+
+_QUEUE = """(SELECT command_id, CASE WHEN c > e THEN 'claimed' ELSE 'unclaimed' END AS state, CASE WHEN c > e THEN claimer END AS claimer FROM (
+SELECT command_id, max(op_seq) FILTER (WHERE kind = 'Enqueue') AS e, max(op_seq) FILTER (WHERE kind = 'Claim') AS c, arg_max(claimer, op_seq) FILTER (WHERE kind = 'Claim') AS claimer FROM {command_ops} AS o GROUP BY command_id) AS f WHERE e IS NOT NULL)"""
+
+
+@_query("queue_state", f"SELECT * FROM {_QUEUE} AS q")
+def _(spark, sf):
+    return folds.fold_queue(lens(spark, sf, "command_ops"))
+
+
+@_query("queue_unclaimed", f"SELECT command_id FROM {_QUEUE} AS q WHERE state = 'unclaimed'")
+def _(spark, sf):
+    return folds.unclaimed(lens(spark, sf, "command_ops"))
+
+
+@_query("registry_snapshot", "SELECT path, version, kind, content, op_seq FROM (SELECT *, row_number() OVER (PARTITION BY path ORDER BY op_seq DESC) AS r FROM {registry_ops} AS k) AS t WHERE r = 1 AND NOT deleted AND kind = 'tool'")
+def _(spark, sf):
+    return stores.registry_state(lens(spark, sf, "registry_ops"), "tool").select("path", "version", "kind", "content", "op_seq")
+
+
+@_query("registry_pinned", "SELECT path, version, kind, content FROM {registry_ops} AS k WHERE version = 2 AND NOT deleted")
+def _(spark, sf):
+    ops = lens(spark, sf, "registry_ops")
+    pins = ops.select("path", F.lit(2).cast("long").alias("version")).distinct()
+    return stores.pinned(ops, pins).select("path", "version", "kind", "content")
+
+
+_RUNTIME = """(
+SELECT worker_id, state, 1 + beats AS heartbeat, CASE WHEN state = 'live' THEN contract ELSE '' END AS contract FROM (
+SELECT worker_id, phase, CASE WHEN bool_or(event = 'deregister') THEN 'gone' ELSE 'live' END AS state, count(*) FILTER (WHERE event = 'heartbeat' AND turn = 'register') AS beats, max(contract) FILTER (WHERE event = 'register') AS contract,
+row_number() OVER (PARTITION BY worker_id ORDER BY phase DESC) AS r FROM (
+SELECT *, last_value(CASE WHEN event <> 'heartbeat' THEN event END IGNORE NULLS) OVER (PARTITION BY worker_id ORDER BY op_seq ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) AS turn,
+sum(CASE WHEN event = 'register' THEN 1 ELSE 0 END) OVER (PARTITION BY worker_id ORDER BY op_seq ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) AS phase FROM {runtime_ops} AS o) AS m WHERE phase > 0 GROUP BY worker_id, phase) AS p WHERE r = 1)"""
+
+
+@_query("runtime_heartbeats", f"SELECT * FROM {_RUNTIME} AS w")
+def _(spark, sf):
+    return folds.runtime_states(lens(spark, sf, "runtime_ops"))
+
+
+@_query("runtime_live_since", f"SELECT worker_id, heartbeat FROM {_RUNTIME} AS w WHERE state = 'live' AND heartbeat >= 3")
+def _(spark, sf):
+    return folds.live_workers(folds.runtime_states(lens(spark, sf, "runtime_ops")), 3).select("worker_id", "heartbeat")
+
+
+_PROVIDER = """(SELECT stack, provider_urn, coalesce(desired, '') AS desired, coalesce(observed, '') AS observed, s > coalesce(f, 0) AS present FROM (
+SELECT stack, provider_urn, arg_max(value, op_seq) FILTER (WHERE kind = 'set_desired') AS desired, arg_max(value, op_seq) FILTER (WHERE kind = 'set_observed') AS observed,
+max(op_seq) FILTER (WHERE kind <> 'forget') AS s, max(op_seq) FILTER (WHERE kind = 'forget') AS f FROM {provider_half_ops} AS o GROUP BY stack, provider_urn) AS t WHERE s IS NOT NULL)"""
+
+
+@_query("provider_facts", f"SELECT * FROM {_PROVIDER} AS p")
+def _(spark, sf):
+    return folds.provider_facts(lens(spark, sf, "provider_half_ops"))
+
+
+@_query("provider_drift", f"SELECT * FROM {_PROVIDER} AS p WHERE present AND desired <> observed")
+def _(spark, sf):
+    return folds.drift(folds.provider_facts(lens(spark, sf, "provider_half_ops")))
+
+
+@_query("provider_history", """
+SELECT op_seq, stack, provider_urn, coalesce(last_value(CASE WHEN kind = 'set_desired' THEN value END IGNORE NULLS) OVER w, '') AS desired, coalesce(last_value(CASE WHEN kind = 'set_observed' THEN value END IGNORE NULLS) OVER w, '') AS observed, kind <> 'forget' AS present
+FROM {provider_half_ops} AS o WINDOW w AS (PARTITION BY stack, provider_urn ORDER BY op_seq ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW)""")
+def _(spark, sf):
+    return folds.provider_history(lens(spark, sf, "provider_half_ops"))
+
+
+_WASM = """h AS (SELECT *, CAST(sum(CASE WHEN kind = 'publish' THEN 1 ELSE 0 END) OVER (PARTITION BY key ORDER BY op_seq ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) AS BIGINT) AS p FROM {wasm_raw} AS r),
+b AS (SELECT *, lag(kind) OVER (PARTITION BY key ORDER BY op_seq) AS before FROM h WHERE kind <> 'bind' OR bind_to BETWEEN 1 AND p),
+o AS (SELECT * FROM b WHERE kind <> 'unpublish' OR (before IS NOT NULL AND before <> 'unpublish')),
+l AS (SELECT *, row_number() OVER (PARTITION BY key ORDER BY op_seq DESC) AS r FROM o)"""
+
+
+@_query("wasm_resolve", f"WITH {_WASM} SELECT l.key, l.path, l.channel, l.env, CASE WHEN l.kind = 'bind' THEN l.bind_to ELSE l.p END AS version, coalesce(d.digest, '') AS digest FROM l JOIN o AS d ON d.key = l.key AND d.kind = 'publish' AND d.p = CASE WHEN l.kind = 'bind' THEN l.bind_to ELSE l.p END WHERE l.r = 1 AND l.kind <> 'unpublish'")
+def _(spark, sf):
+    return stores.wasm_resolve(stores.wasm_history(lens(spark, sf, "wasm_raw")))
+
+
+@_query("vector_live_points", "SELECT collection, point_id, op_seq FROM {vector_ops} AS v WHERE NOT deleted")
+def _(spark, sf):
+    return stores.vector_points(lens(spark, sf, "vector_ops")).select("collection", "point_id", "op_seq")
+
+
+@_query("blob_list", "SELECT logical_key, digest, size FROM (SELECT key AS logical_key, value AS digest, op_seq AS size, deleted, row_number() OVER (PARTITION BY key ORDER BY op_seq DESC) AS r FROM {kv_ops} AS k WHERE starts_with(key, 'k/1')) AS t WHERE r = 1 AND NOT deleted")
+def _(spark, sf):
+    ops = lens(spark, sf, "kv_ops").select("op_seq", F.col("key").alias("logical_key"), F.col("value").alias("digest"), F.col("op_seq").alias("size"), "deleted")
+    return stores.blob_state(ops, "k/1").select("logical_key", "digest", "size")
+
+
+# projection tier
+
+
+@_query("proj_apply_dedup", "SELECT global_sequence, event_id, execution_id, event_type FROM (SELECT *, row_number() OVER (PARTITION BY event_id ORDER BY global_sequence) AS r FROM {event_replay} AS e WHERE global_sequence > 100) AS t WHERE r = 1 AND event_id >= 200")
+def _(spark, sf):
+    applied = lens(spark, sf, "event_log").where("event_id < 200")
+    return logs.apply_once(lens(spark, sf, "event_replay"), applied, checkpoint=100).select("global_sequence", "event_id", "execution_id", "event_type")
+
+
+@_query("proj_checkpoint", "SELECT CAST(coalesce(max(global_sequence), 0) AS BIGINT) AS tip FROM (SELECT min(global_sequence) AS global_sequence FROM {event_replay} AS e GROUP BY event_id) AS t")
+def _(spark, sf):
+    return folds.tip(logs.apply_once(lens(spark, sf, "event_replay"), None), "global_sequence")
+
+
+@_query("proj_read_event", "SELECT global_sequence, execution_id, event_type, node_name, status FROM {event_log} AS e WHERE event_id = 42")
+def _(spark, sf):
+    return lens(spark, sf, "event_log").where("event_id = 42").select("global_sequence", "execution_id", "event_type", "node_name", "status")
+
+
+@_query("proj_from_log_json", "SELECT global_sequence, event_id, execution_id, event_type, node_name, status FROM {event_log} AS e WHERE global_sequence % 10 <> 0")
+def _(spark, sf):
+    rows = lens(spark, sf, "event_json").withColumn("f", scalars.event_fields(F.col("payload"))).where("f is not null")
+    return rows.select("global_sequence", *[F.col(f"f.{c}").alias(c) for c in ("event_id", "execution_id", "event_type", "node_name", "status")])
+
 
-def queries() -> dict:
-    return {}
+# search
+
+
+def _query_vector(spark, sf) -> list[float]:
+    return lens(spark, sf, "embeddings").where("vec_id = 0").select("embedding").first()[0]
+
+
+def _chunk_embeddings(spark, sf) -> DataFrame:
+    vectors = lens(spark, sf, "embeddings")
+    n = vectors.agg(F.count("*").alias("n"))
+    first = lens(spark, sf, "documents").select(F.concat(F.lit("d"), F.col("doc_id").cast("string"), F.lit("-0")).alias("chunk_id"), "doc_id").crossJoin(n)
+    joined = first.withColumn("vec_id", F.expr("doc_id % n")).join(vectors, "vec_id")
+    return joined.select("chunk_id", F.lit("m0").alias("model_id"), F.size("embedding").alias("dimensions"), F.col("embedding").alias("vector"))
+
+
+_COS = "round(list_dot_product({0}, q) / (sqrt(list_dot_product({0}, {0})) * sqrt(list_dot_product(q, q))), 6)"
+_Q = "(SELECT CAST(embedding AS DOUBLE[]) AS q FROM embeddings WHERE vec_id = 0)"
+_HITS = f"""(SELECT c.chunk_id, c.document_id, c.ordinal, c.text, 'm0' AS model_id, {_COS.format("CAST(v.embedding AS DOUBLE[])")} AS score FROM documents AS d
+JOIN embeddings AS v ON v.vec_id = d.doc_id % (SELECT count(*) FROM embeddings) JOIN {{chunks}} AS c ON c.chunk_id = 'd' || CAST(d.doc_id AS STRING) || '-0' CROSS JOIN {_Q} AS q WHERE d.source = 'src0' AND d.lang = 'en')"""
+_COUNT = "CAST((length(lower(text)) - length(replace(lower(text), 'the', ''))) // 3 AS BIGINT)"
+
+
+@_query("vec_topk_catalog", f"SELECT * FROM {_HITS} AS h ORDER BY score DESC, document_id, ordinal, chunk_id LIMIT 10")
+def _(spark, sf):
+    return search.vector_topk(lens(spark, sf, "chunks"), lens(spark, sf, "docs"), _chunk_embeddings(spark, sf), "src0", "en", "m0", _query_vector(spark, sf), 10)
+
+
+@_query("vec_topk_tier", f"SELECT point_id, {_COS.format('CAST(vector AS DOUBLE[])')} AS score FROM {{vector_ops}} AS v CROSS JOIN {_Q} AS q WHERE NOT deleted AND collection = 'c1' AND model_id = 'm1' ORDER BY score DESC, point_id LIMIT 20")
+def _(spark, sf):
+    return search.tier_topk(stores.vector_points(lens(spark, sf, "vector_ops")), "c1", "m1", _query_vector(spark, sf), 20)
+
+
+@_query("vec_topk_l0", f"SELECT point_id, {_COS.format('CAST(vector AS DOUBLE[])')} AS score FROM {{vector_ops}} AS v CROSS JOIN {_Q} AS q WHERE NOT deleted AND collection = 'c2' ORDER BY score DESC, point_id LIMIT 100")
+def _(spark, sf):
+    return search.log_topk(stores.vector_points(lens(spark, sf, "vector_ops")), "c2", _query_vector(spark, sf), 100)
+
+
+@_query("text_topk", f"SELECT * FROM (SELECT c.chunk_id, c.document_id, c.ordinal, c.text, {_COUNT} AS match_count FROM {{chunks}} AS c JOIN {{docs}} AS d ON d.document_id = c.document_id WHERE tenant = 'src0' AND namespace = 'en') AS t WHERE match_count > 0 ORDER BY match_count DESC, document_id, ordinal, chunk_id LIMIT 10")
+def _(spark, sf):
+    return search.text_topk(lens(spark, sf, "chunks"), lens(spark, sf, "docs"), "src0", "en", " The ", 10)
+
+
+@_query("text_contains", "SELECT c.document_id, c.ordinal, c.chunk_id FROM {chunks} AS c JOIN {docs} AS d ON d.document_id = c.document_id WHERE tenant = 'src1' AND namespace = 'fr' AND contains(lower(text), 'que')")
+def _(spark, sf):
+    return search.chunks_containing(lens(spark, sf, "chunks"), lens(spark, sf, "docs"), "src1", "fr", "QUE").select("document_id", "ordinal", "chunk_id")
+
+
+_HYBRID = f"SELECT * FROM (SELECT chunk_id, document_id, ordinal, text, model_id, score AS vector_score, {_COUNT} AS match_count, round(0.7 * score + 0.05 * {_COUNT}, 6) AS combined_score FROM {_HITS} AS h) AS t WHERE combined_score <> 0 ORDER BY combined_score DESC, vector_score DESC, match_count DESC, document_id, ordinal, chunk_id LIMIT 10"
+
+
+def _hybrid(spark, sf) -> DataFrame:
+    return search.hybrid_topk(lens(spark, sf, "chunks"), lens(spark, sf, "docs"), _chunk_embeddings(spark, sf), "src0", "en", "m0", _query_vector(spark, sf), "the", 10, 0.7, 0.05)
+
+
+@_query("hybrid_topk", _HYBRID)
+def _(spark, sf):
+    return _hybrid(spark, sf)
+
+
+@_query("context_budget", f"""
+WITH h AS (SELECT *, row_number() OVER (ORDER BY combined_score DESC, vector_score DESC, match_count DESC, document_id, ordinal, chunk_id) AS rank FROM ({_HYBRID}) AS x),
+u AS (SELECT *, least(length(text), 120) AS wish, coalesce(sum(least(length(text), 120)) OVER (ORDER BY rank ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS used FROM h)
+SELECT CAST(rank AS INT) AS rank, chunk_id, document_id, CAST(length(text) AS BIGINT) AS original_chars, substr(text, 1, CAST(least(wish, 700 - used) AS BIGINT)) AS block, CAST(least(wish, 700 - used) AS BIGINT) AS block_chars, length(text) > least(wish, 700 - used) AS clipped FROM u WHERE used < 700""")
+def _(spark, sf):
+    order = [F.desc("combined_score"), F.desc("vector_score"), F.desc("match_count"), "document_id", "ordinal", "chunk_id"]
+    return search.assemble_context(_hybrid(spark, sf), order, 120, 700).select("rank", "chunk_id", "document_id", "original_chars", "block", "block_chars", "clipped")
+
+
+@_query("retrieve_context", f"""
+WITH f AS (SELECT c.document_id, c.chunk_id, c.ordinal, c.text, {_COUNT} AS match_count FROM {{chunks}} AS c JOIN {{docs}} AS d ON d.document_id = c.document_id WHERE tenant = 'src0' AND namespace = 'en'),
+t AS (SELECT * FROM f WHERE match_count > 0 ORDER BY match_count DESC, document_id, ordinal, chunk_id LIMIT 64)
+SELECT 'hit' AS outcome, (SELECT count(*) FROM t) AS candidate_count, (SELECT count(*) FROM t) > 8 AS truncated_by_top_k, document_id, chunk_id, ordinal, match_count, CAST(strlen(text) AS BIGINT) AS byte_len, strlen(text) > 4096 AS truncated FROM t ORDER BY match_count DESC, document_id, ordinal, chunk_id LIMIT 8""")
+def _(spark, sf):
+    return search.retrieve(lens(spark, sf, "chunks"), lens(spark, sf, "docs"), "src0", "en", "the").drop("text")
+
+
+@_query("byte_truncate")
+def _(spark, sf):
+    return lens(spark, sf, "documents").select("doc_id", scalars.truncate_bytes(F.col("text"), 1001).alias("text"))
+
+
+# streams
+
+
+@_query("subject_filter_star", "SELECT sequence, subject FROM {stream} AS s WHERE regexp_full_match(subject, 'events\\.[^.]+\\.shard\\.2')")
+def _(spark, sf):
+    return lens(spark, sf, "stream").where(subjects.subject_matches(F.col("subject"), "events.*.shard.2")).select("sequence", "subject")
+
+
+@_query("subject_filter_tail", "SELECT sequence, subject FROM {stream} AS s WHERE starts_with(subject, 'events.click.')")
+def _(spark, sf):
+    return lens(spark, sf, "stream").where(subjects.subject_matches(F.col("subject"), "events.click.>")).select("sequence", "subject")
+
+
+@_query("consumer_pending", "SELECT consumer, count(*) AS pending, min(sequence) AS next FROM {stream} AS s JOIN {consumers} AS c ON s.sequence > c.acked WHERE starts_with(subject, 'events.error.') GROUP BY consumer")
+def _(spark, sf):
+    rows = logs.pending(lens(spark, sf, "stream"), lens(spark, sf, "consumers"), subject_filter="events.error.>")
+    return rows.groupBy("consumer").agg(F.count("*").alias("pending"), F.min("sequence").alias("next"))
+
+
+@_query("interest_ceiling", "SELECT CAST(min(acked) AS BIGINT) AS ceiling FROM {consumers} AS c WHERE consumer <> 'fresh'")
+def _(spark, sf):
+    return logs.interest_ceiling(lens(spark, sf, "consumers").where("consumer <> 'fresh'"))
+
+
+_PER_SHARD = "(SELECT shard, subject, transaction_id, CAST(row_number() OVER (PARTITION BY shard ORDER BY sequence) AS BIGINT) AS sequence FROM {stream} AS s)"
+
+
+@_query("stream_publish", f"SELECT shard, sequence, subject, transaction_id FROM {_PER_SHARD} AS p")
+def _(spark, sf):
+    return logs.publish(None, lens(spark, sf, "stream").withColumnRenamed("sequence", "arrival"), "shard", "arrival").select("shard", "sequence", "subject", "transaction_id")
+
+
+@_query("stream_retention", f"SELECT shard, sequence FROM (SELECT *, row_number() OVER (PARTITION BY shard ORDER BY sequence DESC) AS r FROM {_PER_SHARD} AS p) AS t WHERE r <= 100")
+def _(spark, sf):
+    published = logs.publish(None, lens(spark, sf, "stream").withColumnRenamed("sequence", "arrival"), "shard", "arrival")
+    return logs.retain_newest(published, "shard", "sequence", 100).select("shard", "sequence")
+
+
+@_query("committed_cursor", "SELECT shard, CAST(coalesce(min(sequence) FILTER (WHERE sequence % 97 = 0) - 1, max(sequence)) AS BIGINT) AS cursor FROM {stream} AS s GROUP BY shard")
+def _(spark, sf):
+    deliveries = lens(spark, sf, "stream").select("shard", F.col("sequence").alias("seq"), (F.col("sequence") % 97 != 0).alias("acked"))
+    return logs.committed_cursor(deliveries)
+
+
+_LAG = "(SELECT shard, count(*) FILTER (WHERE sequence > CASE WHEN shard = 3 THEN 0 ELSE 250 * shard END) AS lag FROM {stream} AS s GROUP BY shard)"
+
+
+def _lags(spark, sf) -> DataFrame:
+    cursors = spark.createDataFrame([(i, 250 * i) for i in range(3)], "shard int, committed long")
+    return logs.lag(lens(spark, sf, "stream"), cursors, "shard", "sequence")
+
+
+@_query("consumer_lag", f"SELECT shard, lag FROM {_LAG} AS x UNION ALL SELECT NULL AS shard, CAST(sum(lag) AS BIGINT) AS lag FROM {_LAG} AS x")
+def _(spark, sf):
+    return _lags(spark, sf)
+
+
+@_query("lag_metrics", f"""SELECT 'consumer_lag' || chr(123) || 'shard="' || CAST(shard AS STRING) || '"' || chr(125) || ' ' || CAST(lag AS STRING) AS line FROM {_LAG} AS x UNION ALL SELECT 'consumer_lag_total ' || CAST(CAST(sum(lag) AS BIGINT) AS STRING) AS line FROM {_LAG} AS x""")
+def _(spark, sf):
+    return logs.lag_metrics(_lags(spark, sf), "shard")
+
+
+@_query("gapless_check", "SELECT shard, sequence, previous FROM (SELECT shard, sequence, coalesce(lag(sequence) OVER (PARTITION BY shard ORDER BY sequence), 0) AS previous FROM {stream} AS s) AS t WHERE sequence <> previous + 1")
+def _(spark, sf):
+    return logs.gaps(lens(spark, sf, "stream"), "shard")
+
+
+@_query("stream_info", "SELECT count(*) > 0 AS exists, count(*) AS record_count, CAST(coalesce(max(sequence), 0) AS BIGINT) AS tip FROM {stream} AS s WHERE subject = 'events.none'")
+def _(spark, sf):
+    return logs.stream_info(lens(spark, sf, "stream"), "subject", "events.none")
+
+
+@_query("redelivery_attempts", "SELECT shard, seq, tick, row_number() OVER (PARTITION BY shard, seq ORDER BY tick) AS attempt, row_number() OVER (PARTITION BY shard, seq ORDER BY tick) > 1 AS redelivered FROM (SELECT shard, sequence % 300 AS seq, sequence AS tick FROM {stream} AS s) AS t")
+def _(spark, sf):
+    deliveries = lens(spark, sf, "stream").select("shard", (F.col("sequence") % 300).alias("seq"), F.col("sequence").alias("tick"))
+    return logs.deliveries_with_attempts(deliveries)
+
+
+# objects and storage
+
+
+@_query("object_dedup", "SELECT digest, count(*) AS puts, max(strlen(text)) AS bytes_stored, CAST(sum(strlen(text)) - max(strlen(text)) AS BIGINT) AS bytes_saved FROM (SELECT text, 'sha256:' || sha256(text) AS digest FROM documents) AS t GROUP BY digest")
+def _(spark, sf):
+    puts = lens(spark, sf, "documents").select(scalars.content_digest(F.col("text")).alias("digest"), F.octet_length("text").cast("long").alias("size"))
+    return objects.dedup(puts, "digest", "size")
+
+
+@_query("object_put_flags", "SELECT doc_id, row_number() OVER (PARTITION BY sha256(text) ORDER BY doc_id) = 1 AS stored FROM documents")
+def _(spark, sf):
+    puts = lens(spark, sf, "documents").select("doc_id", scalars.content_digest(F.col("text")).alias("digest"))
+    return objects.put_flags(puts, "digest", "doc_id").select("doc_id", "stored")
+
+
+@_query("object_list", "SELECT key, digest FROM {objects} AS o WHERE starts_with(key, 'http') ORDER BY key LIMIT 4096")
+def _(spark, sf):
+    return objects.list_prefix(lens(spark, sf, "objects").select("key", "digest"), "key", "http", 10_000)
+
+
+@_query("object_locate", "SELECT key, digest, 'objects/sha256/' || substr(digest, 8) AS path, 's3://pages/objects/sha256/' || substr(digest, 8) AS uri FROM {objects} AS o")
+def _(spark, sf):
+    return objects.locate(lens(spark, sf, "objects"), "s3", "pages")
+
+
+@_query("object_resolve", "SELECT p.key, p.digest, strlen(o.content) AS n_bytes, true AS verified FROM {objects} AS p JOIN (SELECT DISTINCT digest, content FROM {objects} AS x) AS o ON o.digest = p.digest")
+def _(spark, sf):
+    pointers, stored = lens(spark, sf, "objects"), lens(spark, sf, "objects").select("digest", "content").dropDuplicates(["digest"])
+    return objects.resolve(pointers.select("key", "digest"), stored).select("key", "digest", F.octet_length("content").cast("long").alias("n_bytes"), "verified")
+
+
+@_query("digest_verify", "SELECT key, placement > 0 AS digest_ok, placement < 2 AS length_ok FROM {objects} AS o")
+def _(spark, sf):
+    stored = lens(spark, sf, "objects").select("key", F.when(F.col("placement") > 0, F.col("digest")).otherwise("sha256:0").alias("digest"), (F.octet_length("content") + F.when(F.col("placement") < 2, 0).otherwise(1)).cast("long").alias("byte_len"), "content")
+    return objects.verify(stored)
+
+
+def _policy(spark) -> DataFrame:
+    return spark.createDataFrame([(i,) for i in range(3)], "target int")
+
+
+@_query("replication_plan", "SELECT o.key AS path, o.placement AS source, t.target, CASE WHEN t.target = o.placement OR (t.target = 1 AND strlen(o.content) % 2 = 0) THEN 'satisfied' ELSE 'copy_needed' END AS action FROM {objects} AS o CROSS JOIN (SELECT 0 AS target UNION ALL SELECT 1 AS target UNION ALL SELECT 2 AS target) AS t")
+def _(spark, sf):
+    rows = lens(spark, sf, "objects").withColumnRenamed("key", "path")
+    replicas = rows.where(F.octet_length("content") % 2 == 0).select("path", F.lit(1).alias("placement"))
+    return objects.replication_plan(rows, replicas, _policy(spark))
+
+
+@_query("replication_execute", "SELECT key AS path, 3 AS replica_count FROM {objects} AS o")
+def _(spark, sf):
+    rows = lens(spark, sf, "objects").select(F.col("key").alias("path"), "placement")
+    done = rows.unionByName(objects.replicate(objects.replication_plan(rows, rows.where("false"), _policy(spark))))
+    return objects.replica_counts(done)
+
+
+@_query("orphans", "SELECT key FROM {objects} AS o WHERE placement = 1")
+def _(spark, sf):
+    listed = lens(spark, sf, "objects")
+    return objects.orphans(listed, listed.where("placement <> 1"))
+
+
+@_query("policy_check", "SELECT 'p' || CAST(shard AS STRING) AS policy, reason IS NULL AS valid, reason FROM (SELECT shard, CASE WHEN shard = 0 THEN NULL WHEN shard = 1 THEN 'not exactly one primary' WHEN shard = 2 THEN 'more than one gravity shard' ELSE 'a target is named twice' END AS reason FROM (SELECT DISTINCT shard FROM {stream} AS s) AS d) AS t")
+def _(spark, sf):
+    targets = spark.createDataFrame([(p, i) for p in range(4) for i in range(3)], "p int, i int").select(
+        F.concat(F.lit("p"), F.col("p").cast("string")).alias("policy"), F.when((F.col("p") == 3) & (F.col("i") == 2), 1).otherwise(F.col("i")).alias("target"), F.lit(1).alias("copies"),
+        ((F.col("i") == 0) | ((F.col("p") == 1) & (F.col("i") == 1))).alias("is_primary"), F.when(F.col("p") == 2, F.col("i")).otherwise(0).alias("gravity_shard"),
+    )
+    return objects.check_policies(targets)
+
+
+# maintenance
+
+_PARTS = "(SELECT shard, part, min(global_sequence) AS min_seq, max(global_sequence) AS max_seq, count(*) AS records FROM (SELECT *, (row_number() OVER (PARTITION BY shard ORDER BY global_sequence) - 1) // 64 AS part FROM {event_log} AS e) AS t GROUP BY shard, part)"
+
+
+def _parts(spark, sf) -> DataFrame:
+    return maintenance.assign_parts(lens(spark, sf, "event_log").select("shard", "global_sequence"), "shard", "global_sequence", 64)
+
+
+@_query("parts_manifest", f"SELECT * FROM {_PARTS} AS p")
+def _(spark, sf):
+    return maintenance.manifest(_parts(spark, sf), "shard", "global_sequence")
+
+
+@_query("part_prune", f"SELECT part, min_seq, max_seq FROM {_PARTS} AS p WHERE shard = 2 AND max_seq > 500")
+def _(spark, sf):
+    return maintenance.prune(maintenance.manifest(_parts(spark, sf), "shard", "global_sequence"), "shard", 2, 500).select("part", "min_seq", "max_seq")
+
+
+@_query("granules", "SELECT shard, part, granule, min(global_sequence) AS first_seq, count(*) AS records FROM (SELECT shard, global_sequence, n // 64 AS part, (n % 64) // 16 AS granule FROM (SELECT *, row_number() OVER (PARTITION BY shard ORDER BY global_sequence) - 1 AS n FROM {event_log} AS e) AS t) AS u GROUP BY shard, part, granule")
+def _(spark, sf):
+    return maintenance.granules(_parts(spark, sf), "shard", "global_sequence", 64, 16)
+
+
+@_query("granule_locate", "SELECT part, granule, first_seq FROM (SELECT n // 64 AS part, (n % 64) // 16 AS granule, min(global_sequence) AS first_seq FROM (SELECT *, row_number() OVER (ORDER BY global_sequence) - 1 AS n FROM {event_log} AS e WHERE shard = 1) AS t GROUP BY 1, 2) AS u WHERE first_seq <= 700 ORDER BY first_seq DESC LIMIT 1")
+def _(spark, sf):
+    return maintenance.locate_granule(maintenance.granules(_parts(spark, sf), "shard", "global_sequence", 64, 16), "shard", 1, 700).select("part", "granule", "first_seq")
+
+
+@_query("merge_plan", f"""
+WITH n AS (SELECT *, row_number() OVER (PARTITION BY shard ORDER BY min_seq) - row_number() OVER (PARTITION BY shard, part % 7 <> 2 ORDER BY min_seq) AS run FROM {_PARTS} AS p),
+r AS (SELECT *, count(*) OVER (PARTITION BY shard, run) AS length FROM n WHERE part % 7 <> 2),
+f AS (SELECT *, min(run) OVER (PARTITION BY shard) AS first_run FROM r WHERE length >= 4),
+k AS (SELECT *, row_number() OVER (PARTITION BY shard ORDER BY min_seq) AS place FROM f WHERE run = first_run)
+SELECT shard, string_agg(CAST(part AS STRING), ',' ORDER BY place) AS parts, CAST(sum(records) AS BIGINT) AS records FROM k WHERE place <= 8 GROUP BY shard""")
+def _(spark, sf):
+    parts = maintenance.manifest(_parts(spark, sf), "shard", "global_sequence").withColumn("durable", F.col("part") % 7 != 2)
+    plan = maintenance.plan_merges(parts, "shard", small=64)
+    return plan.select("shard", F.array_join(F.transform("parts", lambda x: x.cast("string")), ",").alias("parts"), "records")
+
+
+@_query("merge_execute", "SELECT global_sequence, execution_id FROM {event_log} AS e WHERE shard IN (0, 1)")
+def _(spark, sf):
+    log = lens(spark, sf, "event_log").select("shard", "global_sequence", "execution_id")
+    return maintenance.merge_parts([log.where("shard = 0"), log.where("shard = 1")], "global_sequence").select("global_sequence", "execution_id")
+
+
+@_query("retention_drop", f"SELECT shard, part, max_seq < 500 AS drop FROM {_PARTS} AS p")
+def _(spark, sf):
+    return maintenance.retention(maintenance.manifest(_parts(spark, sf), "shard", "global_sequence"), 500).select("shard", "part", "drop")
+
+
+@_query("segment_gc", """
+WITH s AS (SELECT (global_sequence - 1) // 100 AS segment, max(global_sequence) AS last_seq FROM {event_log} AS e GROUP BY 1), r AS (SELECT *, row_number() OVER (ORDER BY segment DESC) AS age FROM s),
+b AS (SELECT least((SELECT min(acked) FROM {consumers} AS c WHERE consumer <> 'fresh'), (SELECT max(last_seq) FROM r WHERE age > 4)) AS boundary)
+SELECT segment, last_seq, CAST(boundary AS BIGINT) AS boundary, age > 2 AND last_seq <= boundary AS reclaim FROM r CROSS JOIN b""")
+def _(spark, sf):
+    segments = lens(spark, sf, "event_log").groupBy(F.expr("(global_sequence - 1) div 100").alias("segment")).agg(F.max("global_sequence").alias("last_seq"))
+    return maintenance.reclaim_plan(segments, lens(spark, sf, "consumers").where("consumer <> 'fresh'"), min_retained=2, max_retained=4)
+
+
+@_query("durable_parts", f"SELECT shard, part FROM {_PARTS} AS p WHERE part % 3 <> 0")
+def _(spark, sf):
+    parts = maintenance.manifest(_parts(spark, sf), "shard", "global_sequence").withColumn("replicas", F.when(F.col("part") % 3 != 0, F.array(F.lit("r1"))).otherwise(F.array().cast("array<string>"))).withColumn("local_path", F.lit("x"))
+    return maintenance.durable_view(parts).select("shard", "part")
+
+
+# parity
+
+
+@_query("parity_projection", "SELECT execution_id, CASE WHEN CAST(execution_id AS BIGINT) % 10 = 3 THEN 'missing' ELSE 'status' END AS divergence FROM @executions AS x WHERE CAST(execution_id AS BIGINT) % 10 = 3 OR (CAST(execution_id AS BIGINT) % 10 = 4 AND status <> 'completed')")
+def _(spark, sf):
+    full = executions(spark, sf)
+    number = F.col("execution_id").cast("long") % 10
+    served = full.where(number != 3).withColumn("status", F.when(number == 4, "completed").otherwise(F.col("status")))
+    return parity.compare(served, full, "execution_id", ["status", "terminal", "event_count"])
+
+
+@_query("parity_report", "SELECT true AS key_ok, false AS value_ok, false AS checkpoint_ok, CAST(5 AS BIGINT) AS checkpoint_lag, 'value' AS divergence")
+def _(spark, sf):
+    full = executions(spark, sf)
+    served = full.withColumn("event_count", F.col("event_count") + 1)
+    return parity.report(served, full, "execution_id", ["status", "terminal", "event_count"], checkpoint=95, offset=100)
+
+
+@_query("parity_kv", "SELECT bucket, key, CASE WHEN op_seq % 3 = 0 THEN 'presence' WHEN op_seq % 3 = 1 THEN 'value' ELSE 'ttl' END AS divergence FROM (SELECT *, row_number() OVER (PARTITION BY bucket, key ORDER BY op_seq DESC) AS r FROM {kv_ops} AS k) AS t WHERE r = 1 AND NOT deleted")
+def _(spark, sf):
+    state = stores.kv_state(lens(spark, sf, "kv_ops"), ["bucket", "key"])
+    kind = F.col("op_seq") % 3
+    served = state.where(kind != 0).withColumn("value", F.when(kind == 1, "other").otherwise(F.col("value"))).withColumn("expires_at_ms", F.when(kind == 2, -1).otherwise(F.col("expires_at_ms")))
+    return parity.kv_parity(served, state, ["bucket", "key"])
+
+
+@_query("parity_vector", "SELECT true AS ids_ok, false AS order_ok, false AS monotonic_ok, 'rank-order' AS divergence")
+def _(spark, sf):
+    hits = search.log_topk(stores.vector_points(lens(spark, sf, "vector_ops")), "c0", _query_vector(spark, sf), 10)
+    ranked = hits.withColumn("rank", F.row_number().over(Window.orderBy(F.desc("score"), "point_id")))
+    return parity.ranking_parity(ranked.withColumn("rank", 11 - F.col("rank")), ranked)
+
+
+def queries() -> dict[str, Query]:
+    from tidelog.streaming import demos
+
+    return _QUERIES | demos.queries()
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    from tidelog.streaming import demos
+
+    return _SQL | demos.oracle_sql()

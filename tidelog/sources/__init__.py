@@ -1,0 +1 @@
+"""Sources and sinks: JSON-lines journals, Arrow IPC files, checksummed frames."""
