@@ -70,7 +70,7 @@ def loss_and_gradients(p: dict[str, np.ndarray], x: np.ndarray, y: np.ndarray, m
             m = u[:, 2 * hidden :] + p["c" + d]
             n = np.tanh(e[:, 2 * hidden :] + r * m)
             kept[t] = (h, r, z, m, n)
-            h = n + z * (h - n)
+            h = (n + z * (h - n)) * mask[t][:, None]  # padding leaves no trace
             states[t] = h
         logits += states @ p["W" + d]
         seen[d] = (states, kept, order)
@@ -92,7 +92,7 @@ def loss_and_gradients(p: dict[str, np.ndarray], x: np.ndarray, y: np.ndarray, m
         de = np.empty((steps, lanes, 3 * hidden), dh.dtype)
         for t in reversed(order):
             before, r, z, m, n = kept[t]
-            dh = dh + dstates[t]
+            dh = (dh + dstates[t]) * mask[t][:, None]
             dn = dh * (1 - z) * (1 - n * n)
             dz = dh * (before - n) * z * (1 - z)
             dr = dn * m * r * (1 - r)
@@ -146,8 +146,8 @@ class Reader:
             self.ways[d] = tuple(np.ascontiguousarray(a, np.float32) for a in (e[:, :h] * half, e[:, h : 2 * h] * half, e[:, 2 * h :], u[:, :h] * half, u[:, h : 2 * h] * half, u[:, 2 * h :], p["c" + d], p["W" + d].T))
         self.bias = p["b"][None, :, None]
 
-    def windows(self, x: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """x (T, B) -> (sum of probabilities (L, B), positions labelled (L, B)); PAD positions do not count."""
+    def windows(self, x: np.ndarray, length: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """x (T, B), length (B) ascending -> (sum of probabilities (L, B), positions labelled (L, B)); positions past a length do not count and leave no trace."""
         steps, lanes = x.shape
         logits = np.empty((2, steps, len(self.languages), lanes), np.float32)
         shape = (lanes, self.hidden)
@@ -178,6 +178,7 @@ class Reader:
                 h -= n
                 h *= z
                 h += n
+                h[: np.searchsorted(length, t, side="right")] = 0
                 np.matmul(w, h.T, out=logits[k, t])
         both = logits[0]
         both += logits[1]
@@ -208,7 +209,7 @@ class Reader:
             steps = int(length[chosen].max())
             x = padded[start[chosen][None, :] + np.arange(steps)[:, None]].astype(np.intp)
             x[np.arange(steps)[:, None] >= length[chosen][None, :]] = PAD
-            probability, labels = self.windows(x)
+            probability, labels = self.windows(x, length[chosen])
             for j in range(len(self.languages)):
                 pooled[:, j] += np.bincount(owner[chosen], probability[j], len(sizes))
                 labelled[:, j] += np.bincount(owner[chosen], labels[j], len(sizes)).astype(np.int64)
