@@ -28,7 +28,7 @@ from tidelog.session import ship
 
 BLOCK_TOKENS = 1024
 SHARD_BLOCKS = 512
-LANE_BYTES = 8 << 20
+LANE_BYTES = 4 << 20
 SEED = 20_240_601
 _SPACE = np.zeros(256, bool)
 _SPACE[[9, 10, 11, 12, 13, 32]] = True
@@ -184,7 +184,8 @@ def mix_sources(docs: DataFrame, weights: dict[str | None, float] | None = None,
     drawn = drawn.withColumn("before", F.sum("n").over(order) - F.col("n")).where("n > 0")
     placed = map_arrow(drawn, place, "source_key string, shard long, slot int, epoch long, block long")
     spans = lanes.withColumn("chunk", F.explode(F.sequence(F.expr(f"`from` div {_CHUNK}"), F.expr(f"(`to` - 1) div {_CHUNK}"))))
-    met = placed.withColumn("chunk", F.expr(f"block div {_CHUNK}")).join(spans, ["source_key", "chunk"]).where("block >= `from` and block < `to`")
+    # the planner takes the slots, which Python makes from a short range, for few rows: no broadcast
+    met = placed.withColumn("chunk", F.expr(f"block div {_CHUNK}")).join(spans.hint("merge"), ["source_key", "chunk"]).where("block >= `from` and block < `to`")
     met = met.select("source_key", "lane", "shard", "slot", "epoch", "block", (F.col("block") - F.col("from")).alias("local"))
 
     arrow_schema = pa.schema([("shard", pa.int64()), ("slot", pa.int32()), ("source", pa.string()), ("epoch", pa.int64()), ("block", pa.int64()), ("n_tokens", pa.int32()), ("doc_ids", pa.list_(_arrow_type(docs, id_col))), ("lang", pa.string()), ("text", pa.string())])
