@@ -92,6 +92,13 @@ def reclaim_plan(segments: DataFrame, consumers: DataFrame, min_retained: int =
     return judged.withColumn("reclaim", (F.col("age") > keep) & (F.col("age") > 1) & (F.col("last_seq") <= F.col("boundary"))).drop("age")
 
 
-def write_parts(log: DataFrame, path: str, shard: str, seq: str, seal: int = SEAL_RECORDS) -> None:
-    """Range-partitioned, sorted Parquet files of at most `seal` records below a directory for each shard, with bloom filters on none but the sort key's statistics to prune by."""
-    log.repartitionByRange(F.col(shard), F.col(seq)).sortWithinPartitions(shard, seq).write.partitionBy(shard).option("maxRecordsPerFile", seal).mode("append").parquet(path)
+def write_parts(log: DataFrame, path: str, shard: str, seq: str, seal: int = SEAL_RECORDS, member: str | None = None) -> None:
+    """Range-partitioned, sorted Parquet files of at most `seal` records below a directory for each shard.
+
+    Statistics of the sort key prune files; with `member` its values go to bloom filters of
+    about 1 % false positives, which a reader asks before an equality on that column.
+    """
+    writer = log.repartitionByRange(F.col(shard), F.col(seq)).sortWithinPartitions(shard, seq).write.partitionBy(shard).option("maxRecordsPerFile", seal)
+    if member is not None:
+        writer = writer.option(f"parquet.bloom.filter.enabled#{member}", "true").option(f"parquet.bloom.filter.fpp#{member}", "0.01")
+    writer.mode("append").parquet(path)

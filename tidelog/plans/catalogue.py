@@ -672,6 +672,106 @@ def _(spark, sf):
     return parity.ranking_parity(ranked.withColumn("rank", 11 - F.col("rank")), ranked)
 
 
+# transactions, libraries, constraints
+
+
+def _transactions(spark, sf) -> DataFrame:
+    """The events as transactions: each has one mutation, every fifth two, every ninety-first none."""
+    kinds = F.expr("CASE WHEN event_id % 91 = 0 THEN array() WHEN event_id % 5 = 0 THEN array('append', 'touch') ELSE array('append') END")
+    return lens(spark, sf, "events").select((F.col("event_id") + 1).alias("sequence"), F.concat(F.lit("t"), F.col("event_id").cast("string")).alias("transaction_id"), F.lit("acme").alias("tenant"), F.lit("ops").alias("namespace"), F.transform(kinds, lambda k: F.struct(k.alias("kind"), F.col("props").alias("body"))).alias("mutations"))
+
+
+@_query("transaction_mutations", "SELECT event_id + 1 AS sequence, 't' || CAST(event_id AS STRING) AS transaction_id, k.ordinal, k.kind, props AS body FROM events JOIN (SELECT 0 AS ordinal, 'append' AS kind UNION ALL SELECT 1 AS ordinal, 'touch' AS kind) AS k ON event_id % 91 <> 0 AND (k.ordinal = 0 OR event_id % 5 = 0)")
+def _(spark, sf):
+    return stores.expand_transactions(_transactions(spark, sf)).select("sequence", "transaction_id", "ordinal", "kind", "body")
+
+
+@_query("transaction_faults", "SELECT event_id + 1 AS sequence, CASE WHEN event_id % 91 = 0 THEN 'no mutation' ELSE 'gap' END AS reason FROM events WHERE event_id % 53 <> 7 AND (event_id % 91 = 0 OR event_id % 53 = 8)")
+def _(spark, sf):
+    return stores.transaction_faults(_transactions(spark, sf).where("(sequence - 1) % 53 <> 7"))
+
+
+@_query("library_bindings", "SELECT channel, path, revision, digest FROM (SELECT 'ch' || CAST(user_id % 9 AS STRING) AS channel, 'lib' || CAST(event_id % 6 AS STRING) AS path, event_id % 2 AS revision, 'd' || CAST(event_id % 6 AS STRING) AS digest, row_number() OVER (PARTITION BY user_id % 9 ORDER BY event_id DESC) AS r FROM events) AS b WHERE r = 1 AND path <> 'lib5'")
+def _(spark, sf):
+    events = lens(spark, sf, "events")
+    bindings = events.selectExpr("event_id + 1 AS op_seq", "concat('ch', user_id % 9) AS channel", "concat('lib', event_id % 6) AS path", "event_id % 2 AS revision", "concat('d', event_id % 6) AS digest")
+    libraries = spark.range(5).selectExpr("concat('lib', id) AS path", "explode(array(0L, 1L)) AS revision", "concat('d', id) AS digest")
+    return stores.resolve_bindings(bindings, libraries).select("channel", "path", "revision", "digest")
+
+
+@_query("library_faults", "SELECT 'lib' || CAST(page_id AS STRING) AS path, page_id % 2 AS revision, CASE WHEN page_id % 7 = 0 THEN 'no capability' ELSE 'empty' END AS reason FROM pages WHERE page_id % 7 = 0 OR page_id % 5 = 0")
+def _(spark, sf):
+    libraries = lens(spark, sf, "pages").selectExpr("concat('lib', page_id) AS path", "page_id % 2 AS revision", "md5(html) AS digest", "CASE WHEN page_id % 7 = 0 THEN array() ELSE array('read') END AS capabilities", "CASE WHEN page_id % 5 = 0 THEN 0 ELSE length(html) END AS byte_len")
+    return stores.check_libraries(libraries).select("path", "revision", "reason")
+
+
+@_query("retrieval_constraints", "SELECT 'chunk without document' AS kind, chunk_id AS id FROM {chunks} AS c WHERE CAST(substr(document_id, 2) AS BIGINT) % 50 = 3 UNION ALL SELECT 'embedding of wrong length' AS kind, 'd' || CAST(doc_id AS STRING) || '-0' AS id FROM documents WHERE doc_id % 40 = 1")
+def _(spark, sf):
+    documents = lens(spark, sf, "docs").where("cast(substr(document_id, 2) AS bigint) % 50 <> 3")
+    number = F.regexp_extract("chunk_id", r"^d(\d+)-", 1).cast("long")
+    embeddings = _chunk_embeddings(spark, sf).withColumn("dimensions", F.when(number % 40 == 1, 3).otherwise(F.col("dimensions")))
+    return stores.retrieval_violations(documents, lens(spark, sf, "chunks"), embeddings)
+
+
+@_query("ingest_bounds", "SELECT document_id, CASE WHEN count(*) > 60 THEN 'too many chunks' ELSE 'a chunk is too long' END AS reason FROM {chunks} AS c GROUP BY document_id HAVING count(*) > 60 OR max(strlen(text)) > 2000")
+def _(spark, sf):
+    return stores.ingest_violations(lens(spark, sf, "chunks"), 60, 2000)
+
+
+@_query("identifier_check", "SELECT page_id, regexp_full_match(substr(url, 1, 20), '[A-Za-z0-9_-]{1,128}') AS whole, regexp_full_match('page-' || CAST(page_id AS STRING), '[A-Za-z0-9_-]{1,128}') AS named FROM pages")
+def _(spark, sf):
+    return lens(spark, sf, "pages").select("page_id", scalars.is_identifier(F.substring("url", 1, 20)).alias("whole"), scalars.is_identifier(F.concat(F.lit("page-"), F.col("page_id").cast("string"))).alias("named"))
+
+
+@_query("wide_digests")
+def _(spark, sf):
+    return lens(spark, sf, "pages").select("page_id", scalars.wide_digest(F.col("html")).alias("digest"))
+
+
+# sets and buffers
+
+
+@_query("union_buffer", "SELECT execution_id, max(global_sequence) AS tip FROM {event_log} AS e GROUP BY execution_id")
+def _(spark, sf):
+    log = lens(spark, sf, "event_log").select("global_sequence", "execution_id")
+    whole = maintenance.with_buffer(log.where("global_sequence <= 800"), log.where("global_sequence > 800"))
+    return whole.groupBy("execution_id").agg(F.max("global_sequence").alias("tip"))
+
+
+@_query("set_equality", "SELECT false AS same")
+def _(spark, sf):
+    log = lens(spark, sf, "event_log")
+    return parity.same_ids(log, log.where("event_id <> 5"), "event_id")
+
+
+@_query("owned_shards", "SELECT global_sequence, shard FROM {event_log} AS e WHERE shard IN (1, 3)")
+def _(spark, sf):
+    return stores.owned(lens(spark, sf, "event_log"), "shard", [1, 3]).select("global_sequence", "shard")
+
+
+@_query("consumer_acknowledge", "SELECT consumer, CASE WHEN consumer = 'fresh' THEN 200 ELSE acked END AS acked FROM {consumers} AS c")
+def _(spark, sf):
+    return logs.acknowledge(lens(spark, sf, "consumers"), "fresh", 200, 1000)
+
+
+@_query("wasm_list", f"WITH {_WASM} SELECT key, env, CASE WHEN kind = 'bind' THEN bind_to ELSE p END AS version FROM l WHERE r = 1 AND kind <> 'unpublish' AND env = 'prod'")
+def _(spark, sf):
+    return stores.wasm_resolve(stores.wasm_history(lens(spark, sf, "wasm_raw")), "prod", strict=False).select("key", "env", "version")
+
+
+@_query("parity_object", "SELECT key, CASE placement WHEN 0 THEN 'digest' WHEN 1 THEN 'length' ELSE 'presence' END AS divergence FROM {objects} AS o")
+def _(spark, sf):
+    authority = lens(spark, sf, "objects").select("key", "digest", F.octet_length("content").cast("long").alias("byte_len"), F.lit(True).alias("verified"), "placement")
+    served = authority.where("placement < 2").select("key", F.when(F.col("placement") == 0, "x").otherwise(F.col("digest")).alias("digest"), (F.col("byte_len") + F.when(F.col("placement") == 1, 1).otherwise(0)).alias("byte_len"))
+    return parity.object_parity(served, authority)
+
+
+@_query("engine_metrics", f"SELECT shard, count(*) AS parts, CAST(sum(records) AS BIGINT) AS records, max(max_seq) AS tip, count(*) FILTER (WHERE records < 64) AS unsealed FROM {_PARTS} AS p GROUP BY shard")
+def _(spark, sf):
+    parts = maintenance.manifest(_parts(spark, sf), "shard", "global_sequence")
+    return parts.groupBy("shard").agg(F.count("*").alias("parts"), F.sum("records").alias("records"), F.max("max_seq").alias("tip"), F.count_if(F.col("records") < 64).alias("unsealed"))
+
+
 def queries() -> dict[str, Query]:
     from tidelog.streaming import demos
 
