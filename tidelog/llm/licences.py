@@ -59,7 +59,7 @@ def level_of(name: str) -> int:
 
 
 def tokens_of(text: str, at: int) -> tuple[list[str], int]:
-    """Words and parentheses of a licence expression at text[at:], to the end of its line or the first other sign; (tokens, end)."""
+    """Words and parentheses of a licence expression at text[at:], to the end of its line or sentence, or the first other sign; (tokens, end)."""
     out, n = [], len(text)
     while at < n:
         c = text[at]
@@ -72,8 +72,12 @@ def tokens_of(text: str, at: int) -> tuple[list[str], int]:
             end = at
             while end < n and text[end] in _WORD:
                 end += 1
-            out.append(text[at:end])
+            word = text[at:end].rstrip(".:")  # a full stop ends a sentence, not a name
+            if word:
+                out.append(word)
             at = end
+            if not text[end - 1].isalnum() and text[end - 1] in ".:":
+                break
         else:
             break
     return out, at
@@ -119,9 +123,8 @@ def evaluate(rpn: list[str]) -> tuple[int, list[str], str]:
     for t in rpn:
         low = t.lower()
         if low not in _BINDS:
-            plain = t.rstrip(".,;:")  # a full stop ends a sentence, not a name
-            name = _BY_NAME.get(plain.lower()) or plain
-            stack.append((level_of(plain), [name], name, 4))
+            name = _BY_NAME.get(low) or t
+            stack.append((level_of(t), [name], name, 4))
             continue
         b, a = stack.pop(), stack.pop()
         if low == "with":
