@@ -28,7 +28,7 @@ from tidelog.session import ship
 
 BLOCK_TOKENS = 1024
 SHARD_BLOCKS = 512
-LANE_BYTES = 4 << 20
+LANE_BYTES = 1 << 20
 SEED = 20_240_601
 _SPACE = np.zeros(256, bool)
 _SPACE[[9, 10, 11, 12, 13, 32]] = True
@@ -56,7 +56,7 @@ def permute(index: np.ndarray, size: np.ndarray, seed: np.ndarray) -> np.ndarray
     while len(todo):
         left, right = x[todo] >> half[todo], x[todo] & mask[todo]
         for k in range(4):
-            left, right = right, left ^ (mix(right + seed[todo] + np.uint64(k + 1) * np.uint64(0x9E3779B97F4A7C15)) & mask[todo])
+            left, right = right, left ^ (mix(right + seed[todo] + np.uint64((k + 1) * 0x9E3779B97F4A7C15 & 0xFFFFFFFFFFFFFFFF)) & mask[todo])
         x[todo] = left << half[todo] | right
         todo = todo[x[todo] >= size[todo].astype(np.uint64)]
     return x.astype(np.int64)
