@@ -1,31 +1,21 @@
-"""The shared folder for cut lineage."""
+"""Cutting lineage in the shared folder, and Python over record batches."""
 
 from __future__ import annotations
 
-import tempfile
 from collections.abc import Callable, Iterator
 
 import pyarrow as pa
-
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame
 from pyspark.sql.types import StructType
 
-from tidelog.session import ship
-
+from tidelog.session import shared_folder, ship
 
-def ensure_checkpoint_dir(spark: SparkSession) -> str:
-    """The folder of spark.checkpoint.dir; only where it is unset, as in tests, a temporary one."""
-    named = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
-    if not named:
-        named = "file://" + tempfile.mkdtemp(prefix="tidelog-")
-    if not spark.sparkContext.getCheckpointDir():
-        spark.sparkContext.setCheckpointDir(named)
-    return named
+ensure_checkpoint_dir = shared_folder
 
 
 def cut(df: DataFrame) -> DataFrame:
     """df written once to the shared folder, so a lost executor costs a read and not the work before it."""
-    ensure_checkpoint_dir(df.sparkSession)
+    shared_folder(df.sparkSession)
     return df.checkpoint(eager=True)
 
 
