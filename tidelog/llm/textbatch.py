@@ -8,7 +8,7 @@ import numpy as np
 import pyarrow as pa
 
 #: Text bytes handled by one numpy step. A longer single text is handled whole, alone.
-PIECE_BYTES = 4 << 20
+PIECE_BYTES = 2 << 20
 
 
 def flat_text(col: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
