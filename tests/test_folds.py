@@ -90,7 +90,10 @@ def test_registry_and_wasm(spark):
     ops = spark.createDataFrame([(1, "p", 1, "tool", "a", False), (2, "p", 2, "tool", "b", False), (3, "p", 2, "tool", "", True)], "op_seq long, path string, version long, kind string, content string, deleted boolean")
     assert stores.registry_state(ops).collect() == [] and stores.registry_version(ops, "p", 2).first().content == "b"
     new = stores.registry_write(ops, spark.createDataFrame([("p", "tool", "c", False), ("q", "tool", "", True)], "path string, kind string, content string, delete boolean")).collect()
-    assert {r.path: (r.version, r.applied) for r in new} == {"p": (3, True), "q": (0, False)}
+    assert {r.path: (r.version, r.applied) for r in new} == {"p": (3, True), "q": (1, False)}
+    old = spark.createDataFrame([(1, "p", 4, "tool", "a", False)], ops.schema)
+    gone = stores.registry_write(old, spark.createDataFrame([("p", None, None, True)], "path string, kind string, content string, delete boolean")).first()
+    assert (gone.op_seq, gone.version, gone.kind, gone.content, gone.deleted, gone.applied) == (2, 5, "tool", "", True, True)
     raw = [(1, "k", "publish", None, "d1"), (2, "k", "publish", None, "d2"), (3, "k", "bind", 1, None), (4, "k", "bind", 9, None), (5, "j", "unpublish", None, None), (6, "j", "publish", None, "e"), (7, "j", "unpublish", None, None)]
     rows = spark.createDataFrame([(a, b, "p", "c", "e", *r) for a, b, *r in raw], "op_seq long, key string, path string, channel string, env string, kind string, bind_to long, digest string")
     assert [(r.key, r.version, r.digest) for r in stores.wasm_resolve(stores.wasm_history(rows)).collect()] == [("k", 1, "d1")]

@@ -80,11 +80,12 @@ def pinned(ops: DataFrame, pins: DataFrame) -> DataFrame:
 
 
 def registry_write(ops: DataFrame, requests: DataFrame) -> DataFrame:
-    """register / deregister requests (path, kind, content, delete): versions go on across tombstones; deregistering what is not there is not applied."""
+    """register / deregister requests (path, kind, content, delete): versions go on across tombstones; deregistering what is not there is not applied, else it takes a version too and keeps the kind."""
     _check_single(requests, ["path"])
-    state = last_records(ops, "path", "op_seq").select("path", F.col("version").alias("__version"), (~F.col("deleted")).alias("__live"))
+    state = last_records(ops, "path", "op_seq").select("path", F.col("version").alias("__version"), F.col("kind").alias("__kind"), (~F.col("deleted")).alias("__live"))
     joined = requests.join(state, "path", "left")
-    rows = joined.withColumn("applied", ~F.col("delete") | F.coalesce("__live", F.lit(False))).withColumn("version", (F.coalesce("__version", F.lit(0)) + F.when(F.col("delete"), 0).otherwise(1)).cast("long")).withColumn("deleted", F.col("delete"))
+    rows = joined.withColumn("applied", ~F.col("delete") | F.coalesce("__live", F.lit(False))).withColumn("version", (F.coalesce("__version", F.lit(0)) + 1).cast("long")).withColumn("deleted", F.col("delete"))
+    rows = rows.withColumn("kind", F.when(F.col("delete"), F.coalesce("__kind", "kind")).otherwise(F.col("kind"))).withColumn("content", F.when(F.col("delete"), "").otherwise(F.col("content")))
     return _number(ops, rows, ["path"]).select(*ops.columns, "applied")
 
 
