@@ -46,19 +46,21 @@ def kv_write(ops: DataFrame, requests: DataFrame, keys: list[str], monotonic: bo
     """Operations for requests (keys..., value, delete, expected_version[, expires_at_ms]).
 
     expected_version null writes always, 0 if there is no live entry, n if its version is
-    n. Deleting what is not live is not applied. A version goes on across tombstones if
+    n. Deleting what has no record or a tombstone is not applied; what has expired may still be deleted. A version goes on across tombstones if
     `monotonic`, else starts again at 1.
     """
     _check_single(requests, keys)
     state = last_records(ops, keys, "op_seq")
     expired = is_expired(F.col("expires_at_ms"), now_ms) if "expires_at_ms" in ops.columns else F.lit(False)
-    state = state.select(*keys, (~F.col("deleted") & ~expired).alias("__live"), F.col("version").alias("__version"))
-    joined = requests.join(state, keys, "left").withColumn("__live", F.coalesce("__live", F.lit(False)))
+    state = state.select(*keys, (~F.col("deleted") & ~expired).alias("__live"), (~F.col("deleted")).alias("__there"), F.col("version").alias("__version"))
+    joined = requests.join(state, keys, "left").withColumn("__live", F.coalesce("__live", F.lit(False))).withColumn("__there", F.coalesce("__there", F.lit(False)))
     current = F.coalesce(F.col("__version") if monotonic else F.when(F.col("__live"), F.col("__version")), F.lit(0))
     fits = F.when(F.col("expected_version").isNull(), F.lit(True)).when(F.col("expected_version") == 0, ~F.col("__live")).otherwise(F.col("__live") & (F.col("__version") == F.col("expected_version")))
-    applied = fits & (~F.col("delete") | F.col("__live"))
+    applied = fits & (~F.col("delete") | F.col("__there"))
     rows = joined.withColumn("applied", applied).withColumn("version", (current + 1).cast("long")).withColumn("deleted", F.col("delete"))
     rows = rows.withColumn("value", F.when(F.col("delete"), F.lit("")).otherwise(F.col("value")))
+    if "expires_at_ms" in ops.columns:
+        rows = rows.withColumn("expires_at_ms", F.when(~F.col("delete"), F.col("expires_at_ms")))
     return _number(ops, rows, keys).select(*ops.columns, "applied")
 
 
