@@ -130,11 +130,19 @@ def terminal_status(event_type: Column) -> Column:
     return F.element_at(F.create_map(*[F.lit(x) for kv in TERMINAL.items() for x in kv]), event_type)
 
 
+_EVENT = "event_id long, execution_id string, event_type string, node_name string, status string, prev_event_id long"
+
+
+def event_array(payload: Column) -> Column:
+    """An array of the fields of a JSON event: empty unless the payload is an object with an integer event_id. With F.inline() a payload is parsed once, whatever fields are used."""
+    whole = F.regexp_like(F.get_json_object(payload, "$.event_id"), F.lit(r"^-?\d+$"))
+    parsed = F.array(F.from_json(payload, _EVENT, {"mode": "PERMISSIVE"}))
+    return F.filter(parsed, lambda x: x["event_id"].isNotNull() & F.coalesce(whole, F.lit(False)))
+
+
 def event_fields(payload: Column) -> Column:
     """The fields of a JSON event; null unless the payload is an object with an integer event_id."""
-    parsed = F.from_json(payload, "event_id long, execution_id string, event_type string, node_name string, status string, prev_event_id long", {"mode": "PERMISSIVE"})
-    whole = F.regexp_like(F.get_json_object(payload, "$.event_id"), F.lit(r"^-?\d+$"))
-    return F.when(whole & parsed["event_id"].isNotNull(), parsed)
+    return F.get(event_array(payload), 0)
 
 
 def is_identifier(value: Column) -> Column:

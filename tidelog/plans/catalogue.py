@@ -339,8 +339,7 @@ def _(spark, sf):
 
 @_query("proj_from_log_json", "SELECT global_sequence, event_id, execution_id, event_type, node_name, status FROM {event_log} AS e WHERE global_sequence % 10 <> 0")
 def _(spark, sf):
-    rows = lens(spark, sf, "event_json").withColumn("f", scalars.event_fields(F.col("payload"))).where("f is not null")
-    return rows.select("global_sequence", *[F.col(f"f.{c}").alias(c) for c in ("event_id", "execution_id", "event_type", "node_name", "status")])
+    return lens(spark, sf, "event_json").select("global_sequence", F.inline(scalars.event_array(F.col("payload")))).drop("prev_event_id")
 
 
 # search
