@@ -255,3 +255,26 @@ def test_the_rest_stands_without_the_optional_folders(tmp_path):
     (tmp_path / "r/corpus_pipeline.py").unlink(missing_ok=True)
     done = subprocess.run([sys.executable, "-B", "-c", "import __spark_entry__ as e; q = e.queries(); assert len(q) > 60 and set(e.oracle_sql()) <= set(q) and not any(n.startswith('op') and n[2].isdigit() for n in q); import tidelog.streaming.demos, tidelog.sources.ipc, tidelog.__main__"], cwd=tmp_path / "r", capture_output=True, text=True, timeout=120)
     assert done.returncode == 0, done.stderr
+
+
+def test_every_row_is_a_query(spark):
+    """The searches for all rows give what the single searches give, one by one: over several blocks, lengths, zero vectors and scopes."""
+    rng = random.Random(5)
+    vector = lambda i: [0.0, 0.0] if i % 17 == 0 else [rng.choice([-1.0, 0.5, 1.0, 2.0]) for _ in range(2 + (i % 7 == 0))]
+    points = spark.createDataFrame([(f"c{i % 2}", f"m{i % 3}", f"p{i}", vector(i)) for i in range(60)], "collection string, model_id string, point_id string, vector array<double>").cache()
+    rows = points.collect()
+    queries = points.withColumnRenamed("point_id", "query_id")
+    old, search.BLOCK = search.BLOCK, 7
+    try:
+        tier = {(r.query_id, r.point_id): r.score for r in search.tier_topk_each(queries, points, 4).collect()}
+        log = {(r.query_id, r.point_id): r.score for r in search.log_topk_each(queries, points, 9).collect()}
+    finally:
+        search.BLOCK = old
+    assert {q for q, _ in tier} == {q for q, _ in log} == {r.point_id for r in rows}
+    for r in rows[14:26]:
+        assert {p: s for (q, p), s in log.items() if q == r.point_id} == {x.point_id: x.score for x in search.log_topk(points, r.collection, r.vector, 9).collect()}
+        if any(r.vector):
+            assert {p: s for (q, p), s in tier.items() if q == r.point_id} == {x.point_id: x.score for x in search.tier_topk(points, r.collection, r.model_id, r.vector, 4).collect()}
+    assert search.tier_topk_each(queries.where("false"), points, 4).isEmpty() and search.tier_topk_each(queries, points.where("false"), 4).isEmpty()
+    with pytest.raises(Exception, match="must be finite"):
+        search.log_topk_each(queries.limit(1).withColumn("vector", F.array(F.lit(float("nan")))), points, 1).collect()

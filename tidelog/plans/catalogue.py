@@ -418,6 +418,86 @@ def _(spark, sf):
     return search.retrieve(lens(spark, sf, "chunks"), lens(spark, sf, "docs"), "src0", "en", "the").drop("text")
 
 
+# the same searches with every row a query, in all collections, tenants and namespaces
+
+_LIVE = "(SELECT collection, model_id, point_id, CAST(vector AS DOUBLE[]) AS v FROM {vector_ops} AS o WHERE NOT deleted)"
+_EACH = f"""(SELECT 'q' || CAST(d.doc_id AS STRING) AS query_id, d.source AS tenant, d.lang AS namespace, 'd' || CAST(d.doc_id AS STRING) || '-0' AS chunk_id, CAST(v.embedding AS DOUBLE[]) AS q
+FROM documents AS d JOIN embeddings AS v ON v.vec_id = d.doc_id % (SELECT count(*) FROM embeddings))"""
+_ALL_HITS = f"""(SELECT a.query_id, a.tenant, a.namespace, c.chunk_id, c.document_id, c.ordinal, c.text, 'm0' AS model_id, {_COS.format("b.q").replace(", q)", ", a.q)").replace("(q,", "(a.q,")} AS score
+FROM {_EACH} AS a JOIN {_EACH} AS b ON b.tenant = a.tenant AND b.namespace = a.namespace JOIN {{chunks}} AS c ON c.chunk_id = b.chunk_id)"""
+_SCOPED = "(SELECT d.tenant, d.namespace, c.* FROM {chunks} AS c JOIN {docs} AS d ON d.document_id = c.document_id)"
+#: Of so many sums some lie halfway between two roundings: here as Spark rounds, half up on the shortest decimal form.
+_HALF_UP = f"CAST(round(CAST(CAST(0.7 * score + CAST(0.05 AS DOUBLE) * {_COUNT} AS VARCHAR) AS DECIMAL(38, 20)), 6) AS DOUBLE)"
+_ALL_HYBRID = f"""SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY combined_score DESC, vector_score DESC, match_count DESC, document_id, ordinal, chunk_id) AS rank FROM
+(SELECT query_id, tenant, namespace, chunk_id, document_id, ordinal, text, model_id, score AS vector_score, {_COUNT} AS match_count, {_HALF_UP} AS combined_score FROM {_ALL_HITS} AS h) AS t WHERE combined_score <> 0) AS r WHERE rank <= 10"""
+
+
+def _chunk_queries(spark, sf) -> DataFrame:
+    """Every embedded chunk as a query of its own tenant and namespace."""
+    scoped = search.scoped(lens(spark, sf, "chunks").select("chunk_id", "document_id"), lens(spark, sf, "docs"))
+    return _chunk_embeddings(spark, sf).join(scoped, "chunk_id").select(F.concat(F.lit("q"), F.substring("document_id", 2, 100)).alias("query_id"), "tenant", "namespace", "model_id", "vector")
+
+
+@_query("vec_topk_catalog_all", f"SELECT query_id, tenant, namespace, model_id, chunk_id, document_id, ordinal, score FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, document_id, ordinal, chunk_id) AS r FROM {_ALL_HITS} AS h) AS t WHERE r <= 10")
+def _(spark, sf):
+    return search.vector_topk_each(_chunk_queries(spark, sf), lens(spark, sf, "chunks"), lens(spark, sf, "docs"), _chunk_embeddings(spark, sf), 10)
+
+
+def _live_queries(points: DataFrame) -> DataFrame:
+    return points.select(F.col("point_id").alias("query_id"), "collection", "model_id", "vector")
+
+
+@_query("vec_topk_tier_all", f"""SELECT query_id, collection, model_id, point_id, score FROM (SELECT *, row_number() OVER (PARTITION BY collection, query_id ORDER BY score DESC, point_id) AS r FROM
+(SELECT a.point_id AS query_id, a.collection, a.model_id, b.point_id, {_COS.format("b.v").replace(", q)", ", a.v)").replace("(q,", "(a.v,")} AS score FROM {_LIVE} AS a JOIN {_LIVE} AS b ON b.collection = a.collection AND b.model_id = a.model_id) AS s) AS t WHERE r <= 20""")
+def _(spark, sf):
+    points = stores.vector_points(lens(spark, sf, "vector_ops"))
+    return search.tier_topk_each(_live_queries(points), points, 20)
+
+
+@_query("vec_topk_l0_all", f"""SELECT query_id, collection, point_id, score FROM (SELECT *, row_number() OVER (PARTITION BY collection, query_id ORDER BY score DESC, point_id) AS r FROM
+(SELECT a.point_id AS query_id, a.collection, b.point_id, {_COS.format("b.v").replace(", q)", ", a.v)").replace("(q,", "(a.v,")} AS score FROM {_LIVE} AS a JOIN {_LIVE} AS b ON b.collection = a.collection) AS s) AS t WHERE r <= 100""")
+def _(spark, sf):
+    points = stores.vector_points(lens(spark, sf, "vector_ops"))
+    return search.log_topk_each(_live_queries(points), points, 100)
+
+
+@_query("text_topk_all", f"SELECT tenant, namespace, chunk_id, document_id, ordinal, text, match_count FROM (SELECT *, row_number() OVER (PARTITION BY tenant, namespace ORDER BY match_count DESC, document_id, ordinal, chunk_id) AS r FROM (SELECT *, {_COUNT} AS match_count FROM {_SCOPED} AS c) AS s WHERE match_count > 0) AS t WHERE r <= 10")
+def _(spark, sf):
+    return search.text_topk_each(lens(spark, sf, "chunks"), lens(spark, sf, "docs"), " The ", 10)
+
+
+@_query("text_contains_all", f"SELECT tenant, namespace, document_id, ordinal, chunk_id FROM {_SCOPED} AS c WHERE contains(lower(text), 'que')")
+def _(spark, sf):
+    return search.chunks_containing_each(lens(spark, sf, "chunks"), lens(spark, sf, "docs"), "QUE").select("tenant", "namespace", "document_id", "ordinal", "chunk_id")
+
+
+def _hybrid_all(spark, sf) -> DataFrame:
+    return search.hybrid_topk_each(_chunk_queries(spark, sf), lens(spark, sf, "chunks"), lens(spark, sf, "docs"), _chunk_embeddings(spark, sf), "the", 10, 0.7, 0.05)
+
+
+@_query("hybrid_topk_all", f"SELECT query_id, tenant, namespace, model_id, chunk_id, document_id, ordinal, vector_score, match_count, combined_score FROM ({_ALL_HYBRID}) AS h")
+def _(spark, sf):
+    return _hybrid_all(spark, sf)
+
+
+@_query("context_budget_all", f"""
+WITH u AS (SELECT *, least(length(text), 120) AS wish, coalesce(sum(least(length(text), 120)) OVER (PARTITION BY query_id ORDER BY rank ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS used FROM ({_ALL_HYBRID}) AS h)
+SELECT query_id, CAST(rank AS INT) AS rank, chunk_id, document_id, CAST(length(text) AS BIGINT) AS original_chars, substr(text, 1, CAST(least(wish, 700 - used) AS BIGINT)) AS block, CAST(least(wish, 700 - used) AS BIGINT) AS block_chars, length(text) > least(wish, 700 - used) AS clipped FROM u WHERE used < 700""")
+def _(spark, sf):
+    order = [F.desc("combined_score"), F.desc("vector_score"), F.desc("match_count"), "document_id", "ordinal", "chunk_id"]
+    hits = _hybrid_all(spark, sf).join(lens(spark, sf, "chunks").select("chunk_id", "text"), "chunk_id")
+    return search.assemble_context(hits, order, 120, 700, ["query_id"]).select("query_id", "rank", "chunk_id", "document_id", "original_chars", "block", "block_chars", "clipped")
+
+
+@_query("retrieve_context_all", f"""
+WITH s AS (SELECT *, {_COUNT} AS match_count FROM {_SCOPED} AS c),
+t AS (SELECT *, row_number() OVER (PARTITION BY tenant, namespace ORDER BY match_count DESC, document_id, ordinal, chunk_id) AS r, least(count(*) OVER (PARTITION BY tenant, namespace), 64) AS n FROM s WHERE match_count > 0)
+SELECT tenant, namespace, 'hit' AS outcome, n AS candidate_count, n > 8 AS truncated_by_top_k, document_id, chunk_id, ordinal, match_count, CAST(strlen(text) AS BIGINT) AS byte_len, strlen(text) > 4096 AS truncated FROM t WHERE r <= 8
+UNION ALL SELECT DISTINCT tenant, namespace, 'empty', 0, false, NULL, NULL, NULL, NULL, NULL, NULL FROM {{docs}} AS d WHERE (tenant, namespace) NOT IN (SELECT (tenant, namespace) FROM t)""")
+def _(spark, sf):
+    return search.retrieve_each(lens(spark, sf, "chunks"), lens(spark, sf, "docs"), "the").drop("text")
+
+
 @_query("byte_truncate")
 def _(spark, sf):
     return lens(spark, sf, "documents").select("doc_id", scalars.truncate_bytes(F.col("text"), 1001).alias("text"))
