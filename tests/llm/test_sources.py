@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import gzip
 import io
+import struct
 import tarfile
 import zipfile
 
@@ -124,6 +125,25 @@ def test_records_of_all_forms(spark, warcs):
     assert next(r for r in rows if r.file == "a.warc" and r.content_length > 50_000 and r.record_type == "response").headers["folded"] == "a b"
 
 
+@pytest.mark.parametrize("per_member", [2, 4, len(RECORDS)])
+def test_several_records_in_a_gzip_member(spark, tmp_path, per_member):
+    """Every record is read, with and without its payload, also if skip lengths are there or members are empty."""
+    parts = [plain(*r) for r in RECORDS]
+    raw = [b"".join(parts[i : i + per_member]) for i in range(0, len(parts), per_member)]
+    (tmp_path / "a.warc.gz").write_bytes(b"".join(gzip.compress(x) + gzip.compress(b"") for x in raw))
+    skip = lambda b, n: b[:3] + b"\x04" + b[4:10] + struct.pack("<H2sHII", 12, b"sl", 8, len(b) + 14, n) + b[10:]
+    (tmp_path / "b.warc.gz").write_bytes(b"".join(skip(gzip.compress(x), len(x)) for x in raw))
+    for options in ({}, {"payload": "false"}):
+        rows = warc.read_warc(spark, str(tmp_path), **options).collect()
+        for name in ("a.warc.gz", "b.warc.gz"):
+            got = [(r.record_type, r.target_uri or "", r.content_length, r.payload if options else bytes(r.payload)) for r in rows if r.file == name]
+            assert got == [(k, u, len(p), None if options else p) for k, u, p, _ in RECORDS]
+    assert warc.read_warc(spark, str(tmp_path)).where("record_type = 'metadata'").count() == 2
+    (tmp_path / "b.warc.gz").write_bytes(gzip.compress(raw[0] + b"garbage\r\n\r\n"))
+    with pytest.raises(Exception, match="WARC"):
+        warc.read_warc(spark, str(tmp_path)).collect()
+
+
 @pytest.mark.parametrize("condition", ["record_type = 'response'", "record_type in ('request', 'metadata')", "target_uri like 'http://b%'", "record_type = 'response' and target_uri = 'http://a/1'", "target_uri is null", "content_length > 100 and record_type <> 'request'"])
 def test_predicates(spark, warcs, condition):
     df = warc.read_warc(spark, str(warcs))

@@ -2,8 +2,9 @@
 
 Partitions are files. Predicates on the record type and headers are pushed down. A
 record's headers are parsed first; where a predicate fails, its payload is neither
-read (plain files, and gzip members that carry a skip length) nor kept (other gzip
-members, which have to be inflated to find their end).
+read (plain files, and gzip members of one record that carry skip lengths) nor kept
+(other gzip members, which have to be inflated to find their end). A gzip member may
+hold several records, or the whole file.
 
     spark.dataSource.register(WarcSource)
     spark.read.format("warc").option("path", folder).load().where("record_type = 'response'")
@@ -68,15 +69,18 @@ class Source:
             start = self.at
             body = Body(self, start)
             head = body.head()
-            if head is None:
+            if head is None and not self.gz:
                 return
-            yield start, head, body
+            while head is not None:
+                yield start, head, body
+                head = body.head() if body.passed() else None
             self.at = body.finish()
 
 
 class Body:
     def __init__(self, source: Source, start: int):
         self.s, self.buffer, self.next, self.end, self.inflate, self.eof = source, bytearray(), start, None, None, False
+        self.whole, self.read = None, 0  # bytes of the member once inflated, if it tells; bytes of its first header
         if source.gz:
             source.f.seek(start)
             head = source.f.read(12)
@@ -89,7 +93,8 @@ class Body:
                 while e + 4 <= len(extra):
                     (n,) = struct.unpack_from("<H", extra, e + 2)
                     if extra[e : e + 2] == b"sl" and n == 8:
-                        self.end = start + struct.unpack_from("<I", extra, e + 4)[0]
+                        size, self.whole = struct.unpack_from("<II", extra, e + 4)
+                        self.end = start + size
                     e += 4 + n
 
     def more(self) -> bool:
@@ -124,9 +129,11 @@ class Body:
         skip = len(self.buffer) - len(self.buffer.lstrip(b"\r\n")) if self.buffer[:1] in (b"\r", b"\n") else 0
         if skip:
             del self.buffer[:skip]
+            self.read += skip
             return self.head()
         headers = parse_headers(bytes(self.buffer[:cut_at]))
         del self.buffer[: cut_at + 4]
+        self.read += cut_at + 4
         try:
             self.length = int(headers.get("content-length", "0"))
         except ValueError as e:
@@ -140,6 +147,27 @@ class Body:
                 raise WarcError("the file ends inside a payload")
         return bytes(self.buffer[: self.length])
 
+    def passed(self) -> bool:
+        """Goes to the end of the record and says whether its gzip member goes on; not in plain files, nor if the member tells that it ends there."""
+        if self.inflate is None or self.whole is not None and self.whole == (self.read + self.length + 4) & 0xFFFFFFFF:
+            return False
+        self.whole = None
+        left = self.length
+        while left > len(self.buffer):
+            left -= len(self.buffer)
+            self.buffer.clear()
+            if not self.more():
+                raise WarcError("the file ends inside a payload")
+        del self.buffer[:left]
+        while True:
+            del self.buffer[: len(self.buffer) - len(self.buffer.lstrip(b"\r\n"))]
+            if self.buffer:
+                return True
+            if not self.more():
+                if not self.inflate.eof:
+                    raise WarcError("the file ends inside a gzip member")
+                return False
+
     def finish(self) -> int:
         """Where the next record begins, by as little reading as the format allows."""
         if self.inflate is None:
@@ -235,8 +263,8 @@ def read_warc(spark: SparkSession, path: str, **options) -> DataFrame:
 
     Cases: an empty folder or file gives no rows, a missing folder is an error; a header
     that a record lacks is null; of a repeated header the last value counts; an empty
-    payload is empty, not null; repeated records are all returned; a cut or malformed
-    record is an error that names the fault.
+    payload is empty, not null; repeated records are all returned; records of one gzip
+    member share its offset; a cut or malformed record is an error that names the fault.
     """
     ship(spark)
     spark.conf.set("spark.sql.python.filterPushdown.enabled", "true")
