@@ -278,3 +278,9 @@ def test_every_row_is_a_query(spark):
     assert search.tier_topk_each(queries.where("false"), points, 4).isEmpty() and search.tier_topk_each(queries, points.where("false"), 4).isEmpty()
     with pytest.raises(Exception, match="must be finite"):
         search.log_topk_each(queries.limit(1).withColumn("vector", F.array(F.lit(float("nan")))), points, 1).collect()
+
+
+def test_retention_counts_records_not_sequences(spark):
+    log = spark.createDataFrame([("a", s) for s in (1, 2, 50, 51, 90)] + [("b", s) for s in (3, 4)] + [("c", s) for s in range(7, 20)], "stream string, sequence long")
+    got = sorted((r.stream, r.sequence) for r in logs.retain_newest(log, "stream", "sequence", 3).collect())
+    assert got == [("a", 50), ("a", 51), ("a", 90), ("b", 3), ("b", 4), ("c", 17), ("c", 18), ("c", 19)]

@@ -94,11 +94,11 @@ def gaps(log: DataFrame, stream: str, seq: str = "sequence") -> DataFrame:
 
 
 def retain_newest(log: DataFrame, stream: str, seq: str, count: int) -> DataFrame:
-    """The newest `count` records of each stream. Sequences have no gaps, so the bound is the tip less the count: an aggregate and a join, not a sort of the log."""
+    """The newest `count` records of each stream, also where sequences have gaps. The rank is bounded, so each task hands on `count` records of a stream at most."""
     if count <= 0:
         raise InvalidState("retention must keep at least one record")
-    tips = log.groupBy(stream).agg((F.max(seq) - count).alias("__floor"))
-    return log.join(tips, stream).where(F.col(seq) > F.col("__floor")).drop("__floor")
+    newest = Window.partitionBy(stream).orderBy(F.desc(seq))
+    return log.withColumn("__rank", F.row_number().over(newest)).where(F.col("__rank") <= count).drop("__rank")
 
 
 def publish(log: DataFrame | None, arrivals: DataFrame, stream: str, order: Column | str) -> DataFrame:
