@@ -698,6 +698,14 @@ def _(spark, sf):
     return maintenance.merge_parts([log.where("shard = 0"), log.where("shard = 1")], "global_sequence").select("global_sequence", "execution_id")
 
 
+@_query("merge_execute_all", "SELECT global_sequence, execution_id FROM {event_log} AS e")
+def _(spark, sf):
+    log = lens(spark, sf, "event_log").select("shard", "global_sequence", "execution_id")
+    shards = [log.where(f"shard = {i}") for i in range(4)]
+    rest = log.where("shard IS NULL OR shard NOT IN (0, 1, 2, 3)")
+    return maintenance.merge_parts([*shards, rest], "global_sequence").select("global_sequence", "execution_id")
+
+
 @_query("retention_drop", f"SELECT shard, part, max_seq < 500 AS drop FROM {_PARTS} AS p")
 def _(spark, sf):
     return maintenance.retention(maintenance.manifest(_parts(spark, sf), "shard", "global_sequence"), 500).select("shard", "part", "drop")
