@@ -110,3 +110,26 @@ def test_phrases_by_brute_force(spark):
         want = {name for p, name in licences.PHRASES.items() if re.search((r"(?<![^\W_])" if p[0].isalnum() else "") + re.escape(p), low)}
         assert set(got[r.doc_id]) == want
     assert sum(map(bool, got.values())) > 10
+
+
+BSD = "Redistribution and use in source and binary forms, with or without\nmodification, are permitted"
+FSF = "{} as published by\nthe Free Software Foundation, either version {} of the License, or\n(at your option) any later version."
+
+
+@pytest.mark.parametrize("sign", ["", "# ", " * ", "// ", "//", ";; ", "-- ", "> ", "\t"])
+def test_wrapped_notices(spark, sign):
+    texts = {BSD: "BSD-3-Clause", "the Apache\n\nLicense,  Version\t2.0": "Apache-2.0", "the MIT\r\nLicense": "MIT"} | {FSF.format(f"GNU {n}General\nPublic License", v): k for n, v, k in (("", 3, "GPL-3.0"), ("", 2, "GPL-2.0"), ("Lesser ", 3, "LGPL-3.0"), ("Lesser ", 2, "LGPL-2.0"), ("Lesser ", 2.1, "LGPL-2.1"), ("Affero ", 3, "AGPL-3.0"))}
+    rows = [(i, "\n".join(sign + x for x in t.split("\n"))) for i, t in enumerate(texts)]
+    got = {r.doc_id: r.licences for r in licences.scan(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert got == {i: [k] for i, k in enumerate(texts.values())}
+
+
+@pytest.mark.parametrize(
+    ("text", "canonical"),
+    [
+        ("MIT OR\n// Apache-2.0", "MIT OR Apache-2.0"), ("(MIT\n# OR Apache-2.0)\n# AND ISC", "(MIT OR Apache-2.0) AND ISC"), ("GPL-2.0-only */\n/* WITH Classpath-exception-2.0 */", "GPL-2.0-only WITH Classpath-exception-2.0"), ("MIT\r\n * AND Zlib\r\n */", "MIT AND Zlib"),
+        ("MIT\nand some words", "MIT"), ("MIT\nORDER BY x", "MIT"), ("MIT\nwith thanks", "MIT"), ("MIT.\nOR else", "MIT"),
+    ],
+)
+def test_expressions_over_lines(text, canonical):
+    assert licences.evaluate(licences.parse(licences.tokens_of(text, 0)[0]))[2] == canonical

@@ -1,13 +1,15 @@
 """Operator 9: licence scans.
 
-One Aho-Corasick automaton finds identifier tags and notice phrases in whole texts,
-without ASCII case. The expression after a tag is read by a shunting-yard parser (WITH
+An Aho-Corasick automaton finds notice phrases in whole texts, without ASCII case and
+with white space, line ends and the comment signs around them folded to one space; tags
+are found in the text as it is. The expression after a tag is read by a shunting-yard parser (WITH
 binds closest, then AND, then OR) and evaluated on a scale of restrictions: AND takes
 the stricter side, OR the freer one, a known exception moves a licence one step down.
 """
 
 from __future__ import annotations
 
+import re
 from collections.abc import Iterator
 
 import numpy as np
@@ -48,6 +50,22 @@ PHRASES = {
     "creative commons attribution-noncommercial 4.0": "CC-BY-NC-4.0", "creative commons attribution-sharealike 4.0": "CC-BY-SA-4.0", "creative commons attribution 4.0": "CC-BY-4.0", "creativecommons.org/publicdomain/zero/1.0": "CC0-1.0", "cc0 1.0": "CC0-1.0",
     "this is free and unencumbered software released into the public domain": "Unlicense", "do what the fuck you want to public license": "WTFPL", "business source license 1.1": "BUSL-1.1",
 }
+#: The headers of the Free Software Foundation name the version after the publisher.
+_PUBLISHED = "as published by the free software foundation"
+for _name, _version, _id in (
+    ("general", "1", "GPL-1.0"), ("general", "2", "GPL-2.0"), ("general", "3", "GPL-3.0"), ("library general", "2", "LGPL-2.0"), ("library general", "2.1", "LGPL-2.1"), ("lesser general", "2 ", "LGPL-2.0"), ("lesser general", "2,", "LGPL-2.0"), ("lesser general", "2.0", "LGPL-2.0"),
+    ("lesser general", "2.1", "LGPL-2.1"), ("lesser general", "3", "LGPL-3.0"), ("affero general", "3", "AGPL-3.0"),
+):
+    for _sign in (",", ";"):
+        for _either in ("either ", ""):
+            PHRASES[f"gnu {_name} public license {_PUBLISHED}{_sign} {_either}version {_version}"] = _id
+_TAG = re.compile("|".join(map(re.escape, TAGS)), re.I | re.A)
+_SIGNS = r"(?:(?:[/*#;%!>|]++|--++|<!--)\s*+)*+"
+_BREAK = rf"(?:[^\S\n]++[*/#;%|]++|[^\S\n]++-->)?[^\S\n]*+\n\s*+{_SIGNS}"
+#: What counts as one space: a line end with the comment signs before and after it, and other white space.
+_FOLD = re.compile(rf"{_BREAK}|[^\S\n]{{2,}}+|[^\S\n ]")
+_LINE_END = re.compile(_BREAK)
+_OPERATOR = re.compile(r"(?:AND|OR|WITH)(?![0-9A-Za-z.+:-])")
 _WORD = frozenset("abcdefghijklmnopqrstuvwxyzABCDEFGHIJKLMNOPQRSTUVWXYZ0123456789.-+:")
 _BINDS = {"or": 1, "and": 2, "with": 3}
 
@@ -59,11 +77,17 @@ def level_of(name: str) -> int:
 
 
 def tokens_of(text: str, at: int) -> tuple[list[str], int]:
-    """Words and parentheses of a licence expression at text[at:], to the end of its line or sentence, or the first other sign; (tokens, end)."""
+    """Words and parentheses of a licence expression at text[at:], to the end of its line or sentence, or the first other sign; (tokens, end).
+
+    A line that ends after an operator or inside parentheses, or before an operator in
+    capitals, is continued by the next, whatever comment signs stand between.
+    """
     out, n = [], len(text)
     while at < n:
         c = text[at]
-        if c in " \t":
+        if out and (line := _LINE_END.match(text, at)) and (out[-1].lower() in _BINDS or out.count("(") > out.count(")") or _OPERATOR.match(text, line.end())):
+            at = line.end()
+        elif c in " \t\r":
             at += 1
         elif c in "()":
             out.append(c)
@@ -144,8 +168,6 @@ def automaton():
     import ahocorasick
 
     a = ahocorasick.Automaton()
-    for t in TAGS:
-        a.add_word(t, (len(t), None))
     for p, name in PHRASES.items():
         a.add_word(p, (len(p), name))
     a.make_automaton()
@@ -153,29 +175,28 @@ def automaton():
 
 
 def scan_text(a, text: str, folded: str) -> tuple[list[str], list[str], int, int]:
-    """(licences, expressions, level, hits) of one text; folded is it in ASCII lower case."""
+    """(licences, expressions, level, hits) of one text; text may be empty if it has no tags; folded is it in ASCII lower case with its spaces folded."""
     names: set[str] = set()
     expressions: set[str] = set()
     level, hits, end_seen, last = 0, 0, -1, 0
+    for tag in _TAG.finditer(text):
+        rpn = parse(tokens_of(text, tag.end())[0])
+        if rpn is None:
+            continue
+        grade, found, canonical = evaluate(rpn)
+        names.update(found)
+        expressions.add(canonical)
+        level = max(level, grade)
+        hits += 1
     for end, (size, name) in a.iter(folded):
         start = end + 1 - size
-        if name is None:
-            tokens, _ = tokens_of(text, end + 1)
-            rpn = parse(tokens)
-            if rpn is None:
-                continue
-            grade, found, canonical = evaluate(rpn)
-            names.update(found)
-            expressions.add(canonical)
-            level = max(level, grade)
-        else:
-            if end == end_seen and size < last:
-                continue
-            if start and folded[start - 1].isalnum() and folded[start].isalnum():
-                continue  # inside a longer word
-            end_seen, last = end, size
-            names.add(name)
-            level = max(level, level_of(name))
+        if end == end_seen and size < last:
+            continue
+        if start and folded[start - 1].isalnum() and folded[start].isalnum():
+            continue  # inside a longer word
+        end_seen, last = end, size
+        names.add(name)
+        level = max(level, level_of(name))
         hits += 1
     return sorted(names), sorted(expressions), level, hits
 
@@ -191,7 +212,7 @@ def scan(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", allowe
     restriction 'none', and are kept; of a malformed expression the longest well-formed
     head counts, and a tag without one is no hit; names that are not known count as
     'unknown', the strictest; phrases are matched across the whole text, also several
-    times, but not inside a longer word; repeated rows and null ids give a row each; an empty
+    times and over line ends and comment signs, but not inside a longer word; repeated rows and null ids give a row each; an empty
     table gives no rows; other columns are not carried.
     """
     id_type = docs.schema[id_col].dataType.simpleString()
@@ -204,7 +225,7 @@ def scan(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", allowe
         for batch in pieces(batches, "text"):
             data, offsets, _ = flat_text(batch.column(1))
             raw, low = data.tobytes(), fold[data].tobytes()
-            found = [scan_text(a, raw[s:e].decode() if b"spdx-license" in low[s:e] else "", low[s:e].decode()) for s, e in zip(offsets[:-1].tolist(), offsets[1:].tolist(), strict=True)]
+            found = [scan_text(a, raw[s:e].decode() if b"spdx-license" in low[s:e] else "", _FOLD.sub(" ", low[s:e].decode())) for s, e in zip(offsets[:-1].tolist(), offsets[1:].tolist(), strict=True)]
             lists = [list_array(np.cumsum([0, *(len(x[k]) for x in found)]), np.array([y for x in found for y in x[k]], object)) for k in (0, 1)]
             level = np.array([x[2] for x in found])
             yield pa.RecordBatch.from_arrays([batch.column(0), *(x.cast(pa.list_(pa.string())) for x in lists), pa.array(np.array(LEVELS, object)[level], pa.string()), pa.array([x[3] for x in found], pa.int32()), pa.array(level <= bar)], names=["id", "licences", "expressions", "restriction", "n_hits", "keep"])
