@@ -264,12 +264,12 @@ def test_every_row_is_a_query(spark):
     points = spark.createDataFrame([(f"c{i % 2}", f"m{i % 3}", f"p{i}", vector(i)) for i in range(60)], "collection string, model_id string, point_id string, vector array<double>").cache()
     rows = points.collect()
     queries = points.withColumnRenamed("point_id", "query_id")
-    old, search.BLOCK = search.BLOCK, 7
+    old, search.BLOCK, search.STEP = (search.BLOCK, search.STEP), 7, 3
     try:
         tier = {(r.query_id, r.point_id): r.score for r in search.tier_topk_each(queries, points, 4).collect()}
         log = {(r.query_id, r.point_id): r.score for r in search.log_topk_each(queries, points, 9).collect()}
     finally:
-        search.BLOCK = old
+        search.BLOCK, search.STEP = old
     assert {q for q, _ in tier} == {q for q, _ in log} == {r.point_id for r in rows}
     for r in rows[14:26]:
         assert {p: s for (q, p), s in log.items() if q == r.point_id} == {x.point_id: x.score for x in search.log_topk(points, r.collection, r.vector, 9).collect()}

@@ -28,8 +28,8 @@ MAX_CHUNK_BYTES, DEFAULT_CHUNK_BYTES = 65_536, 4_096
 DIGITS = 6
 _TIES = ["document_id", "ordinal", "chunk_id"]
 _SCOPE = ["tenant", "namespace"]
-#: Vectors of one scope that are multiplied at once, on either side.
-BLOCK = 1_024
+#: Vectors of one scope in a block, on either side; queries of a block that are scored at once.
+BLOCK, STEP = 4_096, 256
 
 
 def _positive(limit: int) -> int:
@@ -190,19 +190,19 @@ def _candidates(queries: DataFrame, points: DataFrame, by: list[str], k: int, ve
         for batch in batches:
             for i in range(batch.num_rows):
                 (q, vectors), (p, n, others) = (batch.column(c)[i].values.flatten() for c in (0, 1))
-                score = _block_scores(vectors, others)
-                total = vector_weight * score + text_weight * np.asarray(n)
-                more = 0
-                if not zeros:
-                    total[np.abs(total) < 1e-12] = -np.inf
-                    more = int((np.abs(total) <= slack).sum(1).max(initial=0))  # these may be zero once rounded
-                if k + more < len(p):
-                    least = np.partition(total, len(p) - k - more, axis=1)[:, len(p) - k - more]
-                    found = (total >= least[:, None] - slack) & np.isfinite(total)
-                else:
+                for at in range(0, len(q), STEP):
+                    score = _block_scores(vectors.slice(at, STEP), others)
+                    total = vector_weight * score + text_weight * np.asarray(n)
+                    more = 0
+                    if not zeros:
+                        total[np.abs(total) < 1e-12] = -np.inf
+                        more = int((np.abs(total) <= slack).sum(1).max(initial=0))  # these may be zero once rounded
                     found = np.isfinite(total)
-                a, b = np.nonzero(found)
-                yield pa.RecordBatch.from_arrays([q.take(pa.array(a)), p.take(pa.array(b)), pa.array(score[a, b])], names=["q", "p", "vector_score"])
+                    if k + more < len(p):
+                        least = np.partition(total, len(p) - k - more, axis=1)[:, len(p) - k - more] if k + more else np.full(len(total), np.inf)
+                        found &= total >= least[:, None] - slack
+                    a, b = np.nonzero(found)
+                    yield pa.RecordBatch.from_arrays([q.slice(at, STEP).take(pa.array(a)), p.take(pa.array(b)), pa.array(score[a, b])], names=["q", "p", "vector_score"])
 
     schema = f"q {queries.select(F.struct(*keys)).schema[0].dataType.simpleString()}, p {points.select(F.struct(*rest)).schema[0].dataType.simpleString()}, vector_score double"
     ship(queries.sparkSession)
