@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import random
 import re
+from collections import Counter
 
 import numpy as np
 import pyarrow as pa
@@ -19,30 +20,32 @@ def brute_shares(text, lengths):
     ws = [(m.group(), m.group().lower() if m.group().isascii() else "".join(c.lower() if c.isascii() else c for c in m.group())) for m in re.finditer(r"[0-9A-Za-z\x80-\U0010ffff]+", text)]
     sizes, ws = [len(a) for a, _ in ws], [b for _, b in ws]
     out = []
-    for n in lengths:
-        seen, covered = set(), set()
-        for i in range(len(ws) - n + 1):
-            g = tuple(ws[i : i + n])
-            if g in seen:
-                covered.update(range(i, i + n))
-            seen.add(g)
-        out.append(sum(sizes[i] for i in covered) / max(1, sum(sizes)))
+    for least in (1, 2):
+        for n in lengths:
+            seen, covered = Counter(), set()
+            for i in range(len(ws) - n + 1):
+                g = tuple(ws[i : i + n])
+                if seen[g] >= least:
+                    covered.update(range(i, i + n))
+                seen[g] += 1
+            out.append(sum(sizes[i] for i in covered) / max(1, sum(sizes)))
     lines = [x for x in text.split("\n") if x]
-    seen, again = set(), 0
+    seen, again = Counter(), [0, 0]
     for x in lines:
-        again += len(x) if x in seen else 0
-        seen.add(x)
-    return len(ws), out, again / max(1, sum(map(len, lines)))
+        for k in (0, 1):
+            again[k] += len(x) if seen[x] > k else 0
+        seen[x] += 1
+    return len(ws), out, [x / max(1, sum(map(len, lines))) for x in again]
 
 
 def check(texts):
     lengths = (2, 3, 5, 6, 10)
     data, offsets, _ = flat_text(pa.array(texts, pa.string()))
-    n, shares, lines = repetition.repetition(data, offsets, lengths)
+    n, shares, lines, thrice, lines_thrice = repetition.repetition(data, offsets, lengths)
     for i, t in enumerate(texts):
         want = brute_shares(t, lengths)
         assert n[i] == want[0]
-        assert np.allclose([shares[k][i] for k in lengths], want[1]) and np.isclose(lines[i], want[2])
+        assert np.allclose([x[k][i] for x in (shares, thrice) for k in lengths], want[1]) and np.allclose([lines[i], lines_thrice[i]], want[2])
 
 
 def test_random_texts():
@@ -63,7 +66,26 @@ def test_clean_prose_is_kept_and_spam_is_not(spark):
     spam = prose + " " + "buy this product now and be happy " * 60
     lines = prose + "\n" + "\n".join(["subscribe to the list below"] * 100)
     got = {r.doc_id: r.keep for r in repetition.quality_rules(spark.createDataFrame([(1, prose), (2, spam), (3, lines), (4, "short short short short short short")], "doc_id long, text string")).collect()}
-    assert got == {1: True, 2: False, 3: False, 4: True}
+    assert got == {1: True, 2: False, 3: False, 4: False}
+
+
+def test_rules_hold_at_every_length(spark):
+    """Spam of few words goes as that of many does; a heading that stands twice in a short text stays, a text that stands twice in whole goes."""
+    words = [f"w{i}" for i in range(400)]
+    line = " ".join(words[:10])
+    cases = {f"spam {n}": (("buy this product now and be happy " * 60).split()[:n], False) for n in (15, 20, 49, 50, 51, 400)}
+    cases |= {f"one word {n}": (["x"] * n, n < 6) for n in (1, 5, 6, 49, 50, 300)}
+    cases |= {f"twice {n}": (words[:n] * 2, False) for n in (10, 24, 25, 26, 200)}
+    cases |= {f"plain {n}": (words[:n], True) for n in (1, 10, 49, 50, 400)}
+    texts = {k: (" ".join(v), keep) for k, (v, keep) in cases.items()}
+    texts |= {f"heading {n}": ("\n".join([line, " ".join(words[50 : 50 + n]), line]), True) for n in (8, 20, 40, 300)}
+    texts |= {f"lines {n}": ("\n".join([line] * n), False) for n in (2, 3, 5, 40)}
+    docs = spark.createDataFrame([(k, t) for k, (t, _) in texts.items()], "doc_id string, text string")
+    assert {r.doc_id: r.keep for r in repetition.quality_rules(docs).collect()} == {k: keep for k, (_, keep) in texts.items()}
+    import duckdb
+
+    rows = docs.toPandas()  # noqa: F841
+    assert dict(duckdb.sql("SELECT doc_id, keep FROM (" + repetition.rules_sql("rows") + ")").fetchall()) == {k: keep for k, (_, keep) in texts.items()}
 
 
 @pytest.mark.parametrize(
