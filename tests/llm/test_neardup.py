@@ -8,6 +8,7 @@ from collections import Counter, defaultdict
 import numpy as np
 import pyarrow as pa
 import pytest
+from pyspark.sql import functions as F
 
 from tidelog.llm import neardup
 from tidelog.llm.textbatch import flat_text
@@ -120,3 +121,35 @@ def test_components_of_paths(spark):
     chain = [(i + 1, i) for i in range(n)] + [(1000, 1001), (1001, 1002), (5000, 5000)]
     got = {r.id: r.root for r in neardup.components(spark.createDataFrame(chain, "u long, v long")).collect()}
     assert got == {i: 0 for i in range(1, n + 1)} | {1001: 1000, 1002: 1000}
+
+
+def test_large_buckets_in_blocks(spark, corpus):
+    """Buckets cut into blocks give the same groups as whole ones."""
+    docs = spark.createDataFrame(list(enumerate(corpus)), "doc_id long, text string").repartition(5)
+    whole = {tuple(r) for r in neardup.near_groups(docs).collect()}
+    assert {tuple(r) for r in neardup.near_groups(docs, bucket_rows=3).collect()} == whole
+    size = Counter(g for _, g, _, _ in whole)
+    assert all(n == size[g] - 1 and keep == (i == g) for i, g, n, keep in whole)
+
+
+def test_repeated_rows_cost_no_pairs(spark, monkeypatch):
+    """Repeats of a row and copies of a text under other ids are one node: none reach a bucket."""
+    seen = []
+    whole = neardup.bucket_pairs
+    monkeypatch.setattr(neardup, "bucket_pairs", lambda heads, *a: seen.append(heads.count()) or whole(heads, *a))
+    text = " ".join(f"w{i}" for i in range(60))
+    rows = [(1, text)] * 20_000 + [(i, text) for i in range(2, 3_000)] + [(5_000, text + " more"), (6_000, "another thing")]
+    got = {r.doc_id: (r.group_id, r.n_links) for r in neardup.near_groups(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert seen == [3] and got == {i: (1, 2_999) for i in [*range(1, 3_000), 5_000]} | {6_000: (6_000, 0)}
+
+
+def test_who_stays_of_a_shared_id(spark):
+    rows = [
+        (1, "zebra apple", 1, "a"), (1, "apple zebra text", 9, "b"), (1, None, 0, "c"), (1, "apple zebra text", 2, None), (1, "apple zebra text", 2, "z"),
+        (2, None, 5, None), (2, None, 4, "q"), (3, "apple zebra text", 0, "copy of a text of 1"), (4, "zebra apple", 0, "copy of the other"), (None, "apple zebra text", 0, ""),
+    ]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, n int, note string").withColumn("extra", F.create_map(F.lit("k"), "n")).repartition(4)
+    for one in (docs, docs.coalesce(1)):
+        kept = {tuple(r)[:4] for r in neardup.drop_near_copies(one).collect()}
+        assert kept == {(1, "apple zebra text", 2, "z"), (2, None, 4, "q"), (None, "apple zebra text", 0, "")}
+        assert {r.doc_id: r.group_id for r in neardup.near_groups(one).collect()} == {1: 1, 2: 2, 3: 1, 4: 1}

@@ -8,10 +8,12 @@ K coordinates, and each coordinate keeps its earliest dart. Two documents agree
 coordinate with the probability of their weighted Jaccard similarity. Only as many
 darts are made as a signature needs, whatever the number of bigrams times K.
 
-Signatures are cut into bands. Documents that share a band are compared by their whole
-signatures. Inside a bucket every pair counts, by a breadth-first search that compares
-only with documents not reached yet: exact, and linear where copies are many. Links
-are merged to groups by alternating star contraction.
+Documents of one signature are one node from here on, so exact copies and repeated rows
+cost an aggregation. Signatures are cut into bands; buckets with the same members are one
+bucket. Inside a bucket every pair counts, by a breadth-first search that compares only
+with documents not reached yet: exact, and linear where copies are many. A bucket of more
+than BUCKET_ROWS is cut into blocks, and every two blocks meet in a task of their own, so
+no task holds more. Links are merged to groups by alternating star contraction.
 """
 
 from __future__ import annotations
@@ -22,6 +24,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import ArrayType, DataType, MapType, StructType, VariantType
 
 from tidelog.llm.shared import cut, map_arrow
 from tidelog.llm.textbatch import flat_text, pieces, ragged_range
@@ -31,6 +34,8 @@ COORDINATES = 128
 BANDS, ROWS = 25, 5
 #: Documents are near copies if their signatures agree in at least this share.
 THRESHOLD = 0.6
+#: Signatures that one task compares at once; larger buckets are compared in blocks of half as many.
+BUCKET_ROWS = 20_000
 _POISSON = np.cumsum([np.exp(-1) / f for f in (1, 1, 2, 6, 24, 120, 720, 5040, 40320, 362880, 3628800, 39916800)])
 _UNIT = 2.0**-53
 
@@ -112,7 +117,7 @@ def band_keys(signature: np.ndarray, bands: int = BANDS, rows: int = ROWS) -> np
 
 
 def signatures(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
-    """(id, whole long, more long, signature binary, bands array<long>) of the documents that have an id and text; whole and more hash the signature."""
+    """(id, whole long, more long, signature binary) of the documents that have an id and text; whole and more hash the signature."""
     id_type = docs.schema[id_col].dataType.simpleString()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -120,13 +125,33 @@ def signatures(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
             data, offsets, _ = flat_text(batch.column(1))
             s = dart_signatures(*weighted_elements(data, offsets), batch.num_rows)
             whole, more = band_keys(s, 1, COORDINATES)[:, 0], band_keys(s[:, ::-1], 1, COORDINATES)[:, 0]
-            bands = band_keys(s)
             binary = pa.Array.from_buffers(pa.binary(), len(s), [None, pa.py_buffer(np.arange(0, s.nbytes + 1, 4 * COORDINATES, dtype=np.int32)), pa.py_buffer(s.tobytes())])
-            lists = pa.ListArray.from_arrays(pa.array(np.arange(0, bands.size + 1, BANDS, dtype=np.int32)), pa.array(bands.ravel()))
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(whole), pa.array(more), binary, lists], names=["id", "whole", "more", "signature", "bands"])
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(whole), pa.array(more), binary], names=["id", "whole", "more", "signature"])
 
     picked = docs.select(docs[id_col].alias("id"), docs[text_col].cast("string").alias("text")).where("id is not null and length(text) > 0")
-    return map_arrow(picked, run, f"id {id_type}, whole long, more long, signature binary, bands array<long>")
+    return map_arrow(picked, run, f"id {id_type}, whole long, more long, signature binary")
+
+
+def signature_rows(column: pa.Array | pa.ChunkedArray) -> np.ndarray:
+    """(rows, COORDINATES) of a binary column."""
+    raw = column.combine_chunks() if isinstance(column, pa.ChunkedArray) else column
+    if isinstance(raw, pa.ChunkedArray):
+        raw = raw.chunk(0)
+    begin = np.frombuffer(raw.buffers()[1], np.int32 if pa.types.is_binary(raw.type) else np.int64)[raw.offset]
+    return np.frombuffer(raw.buffers()[2], np.uint32, len(raw) * COORDINATES, int(begin)).reshape(-1, COORDINATES)
+
+
+def banded(heads: DataFrame) -> DataFrame:
+    """(id, whole, key): a row for each band of each signature."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            if batch.num_rows:
+                keys = band_keys(signature_rows(batch.column(2)))
+                again = pa.array(np.repeat(np.arange(batch.num_rows), BANDS))
+                yield pa.RecordBatch.from_arrays([batch.column(0).take(again), batch.column(1).take(again), pa.array(keys.ravel())], names=["id", "whole", "key"])
+
+    return map_arrow(heads.select("id", "whole", "signature"), run, f"id {heads.schema['id'].dataType.simpleString()}, whole long, key long")
 
 
 def bucket_links(ids: np.ndarray, signature: np.ndarray, threshold: float = THRESHOLD) -> list[tuple[int, int]]:
@@ -154,11 +179,7 @@ def links_of_sorted(batches: Iterator[pa.RecordBatch], threshold: float) -> Iter
     def solve(table: pa.Table) -> pa.RecordBatch:
         table = table.combine_chunks()
         key, ids = table.column("key").to_numpy(), table.column("id")
-        raw = table.column("signature").combine_chunks()
-        if isinstance(raw, pa.ChunkedArray):
-            raw = raw.chunk(0)
-        begin = np.frombuffer(raw.buffers()[1], np.int32 if pa.types.is_binary(raw.type) else np.int64)[raw.offset]
-        s = np.frombuffer(raw.buffers()[2], np.uint32, len(key) * COORDINATES, int(begin)).reshape(-1, COORDINATES)
+        s = signature_rows(table.column("signature"))
         starts = np.flatnonzero(np.diff(key, prepend=key[:1] - 1))
         ends = np.append(starts[1:], len(key))
         two = ends - starts == 2
@@ -183,7 +204,7 @@ def links_of_sorted(batches: Iterator[pa.RecordBatch], threshold: float) -> Iter
         if key[0].as_py() == last:
             continue
         cut_at = int(np.searchsorted(key.to_numpy(), last))
-        if held.num_rows >= 20_000:
+        if held.num_rows >= BUCKET_ROWS:
             yield solve(held.slice(0, cut_at))
             held = held.slice(cut_at)
     if held is not None and held.num_rows:
@@ -198,10 +219,11 @@ def components(links: DataFrame) -> DataFrame:
     """
 
     def stars(edges: DataFrame) -> DataFrame:
+        # least neighbours by aggregation and a join: a hub's links are split over tasks, which a window would not do
         both = edges.unionByName(edges.select(F.col("v").alias("u"), F.col("u").alias("v")))
-        near = both.withColumn("m", F.least(F.min("v").over(Window.partitionBy("u")), "u"))
+        near = both.join(both.groupBy("u").agg(F.min("v").alias("m")), "u").withColumn("m", F.least("m", "u"))
         large = near.where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).distinct()
-        small = large.withColumn("m", F.min("v").over(Window.partitionBy("u")))
+        small = large.join(large.groupBy("u").agg(F.min("v").alias("m")), "u")
         return small.select(F.explode(F.array(F.struct("u", F.col("m").alias("v")), F.struct(F.col("v").alias("u"), F.col("m").alias("v")))).alias("e")).select("e.u", "e.v").where("u <> v").distinct()
 
     def print_of(edges: DataFrame):
@@ -218,24 +240,40 @@ def components(links: DataFrame) -> DataFrame:
     return edges.select(F.col("u").alias("id"), F.col("v").alias("root"))
 
 
-def copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", threshold: float = THRESHOLD) -> DataFrame:
-    """(id, root) of the documents that are near copies of one with a lesser id: all but the least id of each group."""
-    table = cut(signatures(docs, id_col, text_col))
-    # equal signatures first: a copy is stood for by its least id, so exact copies never meet in buckets
-    owner = cut(table.select("id", F.min("id").over(Window.partitionBy("whole", "more")).alias("root")))
-    same = owner.where("id <> root").select(F.col("id").alias("u"), F.col("root").alias("v"))
-    heads = table.join(owner.where("id = root").select("id").distinct(), "id", "left_semi")
-    banded = heads.select("id", F.explode("bands").alias("key"))
-    shared = banded.withColumn("n", F.count("*").over(Window.partitionBy("key"))).where("n > 1").select("id", "key")
-    rows = shared.join(table.select("id", "signature"), "id")
+def bucket_pairs(heads: DataFrame, threshold: float = THRESHOLD, bucket_rows: int = BUCKET_ROWS) -> DataFrame:
+    """(u, v): links among nodes (id, whole, signature) that share a band and agree in `threshold` of their coordinates; as many as connect all that do."""
+    keyed = banded(heads)
+    sizes = keyed.groupBy("key").agg(F.count("*").alias("n"), F.bit_xor("whole").alias("a"), F.bit_xor(F.xxhash64("whole")).alias("b")).where("n > 1")
+    # near copies share many bands: of buckets with the same members one is enough
+    chosen = sizes.groupBy("n", "a", "b").agg(F.min("key").alias("key"))
+    shared = keyed.join(chosen.select("key", "n"), "key")
+    blocks = F.ceil(F.col("n") / F.lit(max(1, bucket_rows // 2)))
+    block = F.pmod(F.xxhash64("whole", "id"), blocks)
+    others = F.filter(F.sequence(F.lit(0).cast("long"), blocks - 1), lambda j: j != block)
+    cells = F.transform(others, lambda j: F.xxhash64("key", F.least(j, block), F.greatest(j, block)))
+    shared = shared.withColumn("key", F.explode(F.when(F.col("n") > bucket_rows, cells).otherwise(F.array("key"))))
+    rows = shared.select("id", "whole", "key").join(heads, ["id", "whole"])
     grouped = rows.select("key", "id", "signature").repartition("key").sortWithinPartitions("key", "id")
-    id_type = table.schema["id"].dataType.simpleString()
-    links = map_arrow(grouped, lambda batches: links_of_sorted(batches, threshold), f"u {id_type}, v {id_type}")
-    return components(links.unionByName(same))
+    id_type = heads.schema["id"].dataType.simpleString()
+    return map_arrow(grouped, lambda batches: links_of_sorted(batches, threshold), f"u {id_type}, v {id_type}")
+
+
+def members(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", threshold: float = THRESHOLD, bucket_rows: int = BUCKET_ROWS) -> DataFrame:
+    """(id, root) of every id that has text: root is the least id of its group."""
+    table = cut(signatures(docs, id_col, text_col))
+    # a node for each signature, named by its least id: exact copies and repeated rows never meet in buckets
+    heads = cut(table.groupBy("whole", "more").agg(F.min("id").alias("id"), F.first("signature").alias("signature")))
+    names = heads.select("whole", "more", F.col("id").alias("head"))
+    belongs = cut(table.select("id", "whole", "more").distinct().join(names, ["whole", "more"]).select("id", "head"))
+    one = belongs.groupBy("id").agg(F.min("head").alias("head"), F.max("head").alias("last"))
+    # an id of several texts joins their nodes
+    torn = belongs.join(one.where("head <> last").select("id", F.col("head").alias("v")), "id").select(F.col("head").alias("u"), "v")
+    found = components(bucket_pairs(heads.select("id", "whole", "signature"), threshold, bucket_rows).unionByName(torn))
+    return one.select("id", "head").join(found.select(F.col("id").alias("head"), "root"), "head", "left").select("id", F.coalesce("root", "head").alias("root"))
 
 
-def near_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", threshold: float = THRESHOLD) -> DataFrame:
-    """(id, group_id, keep): one row for each id; group_id is the least id of its group, keep is true for that one alone.
+def near_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", threshold: float = THRESHOLD, bucket_rows: int = BUCKET_ROWS) -> DataFrame:
+    """(id, group_id, n_links, keep): one row for each id; group_id is the least id of its group, n_links the number of other ids in the group, as links are transitive; keep is true for the least id alone.
 
     Cases: an id that several rows share is one document, with all their texts; null ids
     are left out, as nothing can name them; null and empty texts have no copies and are
@@ -243,22 +281,35 @@ def near_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     alone) by its bytes; groups are transitive; an empty table gives no rows; other
     columns are not carried.
     """
-    found = copies(docs, id_col, text_col, threshold)
+    found = members(docs, id_col, text_col, threshold, bucket_rows)
     ids = docs.select(docs[id_col].alias("id")).where("id is not null").distinct()
-    out = ids.join(found, "id", "left").select("id", F.coalesce("root", "id").alias("group_id"), F.col("root").isNull().alias("keep"))
+    out = cut(ids.join(found, "id", "left").select("id", F.coalesce("root", "id").alias("group_id")))
+    sizes = out.groupBy("group_id").agg((F.count("*") - 1).alias("n_links")).where("n_links > 0")
+    out = out.join(sizes, "group_id", "left").select("id", "group_id", F.coalesce("n_links", F.lit(0).cast("long")).alias("n_links"), (F.col("id") == F.col("group_id")).alias("keep"))
     return out.withColumnRenamed("id", id_col)
 
 
-def drop_near_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", threshold: float = THRESHOLD) -> DataFrame:
+def drop_near_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", threshold: float = THRESHOLD, bucket_rows: int = BUCKET_ROWS) -> DataFrame:
     """One row for each group of near copies, with all columns of `docs`.
 
-    Cases: of rows that share an id, the one whose text sorts first stays (nulls last);
-    rows with a null id pass through, all of them; otherwise as in near_groups().
+    Cases: the least id of a group stays; of rows that share it, the one whose text sorts
+    first stays (nulls last), of equal texts the one whose other columns sort first, in
+    their order, nulls last; rows with a null id pass through, all of them; otherwise as
+    in near_groups().
     """
-    found = copies(docs, id_col, text_col, threshold).select(F.col("id").alias(id_col))
+    found = members(docs, id_col, text_col, threshold, bucket_rows).where("id <> root").select(F.col("id").alias(id_col))
     left = docs.where(docs[id_col].isNotNull()).join(found, id_col, "left_anti").select(*docs.columns)
     number = "__number"
     while number in docs.columns:
         number += "_"
-    one = left.withColumn(number, F.row_number().over(Window.partitionBy(id_col).orderBy(F.xxhash64(text_col)))).where(F.col(number) == 1).drop(number)
+    others = [F.col(f"`{f.name}`") if _sorts(f.dataType) else F.to_json(F.struct(F.col(f"`{f.name}`"))) for f in docs.schema if f.name not in (id_col, text_col)]
+    order = [F.col(text_col).asc_nulls_last(), *(c.asc_nulls_last() for c in others)]
+    one = left.withColumn(number, F.row_number().over(Window.partitionBy(id_col).orderBy(*order))).where(F.col(number) == 1).drop(number)
     return one.unionByName(docs.where(docs[id_col].isNull()))
+
+
+def _sorts(kind: DataType) -> bool:
+    """Whether Spark can order values of a type."""
+    if isinstance(kind, StructType):
+        return all(_sorts(f.dataType) for f in kind)
+    return _sorts(kind.elementType) if isinstance(kind, ArrayType) else not isinstance(kind, (MapType, VariantType))
