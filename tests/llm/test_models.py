@@ -78,34 +78,74 @@ def test_gradients():
             assert math.isclose((ends[0] - ends[1]) / 2e-5, g[k][i], rel_tol=1e-4, abs_tol=1e-8)
 
 
-def test_reader_by_brute_force():
-    """Windows one position after the other, document by document."""
+def brute_reader(p, raw):
+    """One position after the other over the whole text: (mean probabilities, positions labelled)."""
+    total, votes, states = np.zeros(len(p["b"])), np.zeros(len(p["b"])), {}
+    for way, order in (("f", range(len(raw))), ("b", range(len(raw) - 1, -1, -1))):
+        h = np.zeros(len(p["Uf"]))
+        for t in order:
+            h = cell(p, way, h, raw[t])
+            states[way, t] = h
+    for t in range(len(raw)):
+        z = states["f", t] @ p["Wf"] + states["b", t] @ p["Wb"] + p["b"]
+        e = np.exp(z - z.max())
+        total += e / e.sum()
+        votes[z.argmax()] += 1
+    return total / max(1, len(raw)), votes
+
+
+def net(seed=2):
+    """A network that remembers for hundreds of bytes."""
+    p = language.initial(["a", "b", "c"], 5, np.random.default_rng(seed))
+    for d in "fb":
+        p["E" + d][:, 5:10] += 3
+    return language.Model(["a", "b", "c"], p)
+
+
+@pytest.mark.parametrize("cells", [64, 16_384])
+def test_reader_by_brute_force(monkeypatch, cells):
+    """Whole texts without windows: states go on from end to end, whatever stands beside a text."""
+    monkeypatch.setattr(language, "STEP_CELLS", cells)
     rng = np.random.default_rng(2)
-    model = language.Model(["a", "b", "c"], language.initial(["a", "b", "c"], 5, rng))
-    texts = [bytes(rng.integers(32, 250, n).astype(np.uint8)) for n in (0, 1, 40, 128, 129, 400)]
+    model = net()
+    texts = [bytes(rng.integers(32, 250, n).astype(np.uint8)) for n in (0, 1, 40, 128, 129, 400, 1500, 3, 400)]
     data = np.frombuffer(b"".join(texts), np.uint8)
     offsets = np.cumsum([0, *map(len, texts)])
     pooled, labelled = language.Reader(model).documents(data, offsets)
-    p = model.params
     for d, raw in enumerate(texts):
-        total, votes = np.zeros(3), np.zeros(3)
-        for at in range(0, len(raw), language.WINDOW):
-            piece = raw[at : at + language.WINDOW]
-            states = {}
-            for way, order in (("f", range(len(piece))), ("b", range(len(piece) - 1, -1, -1))):
-                h = np.zeros(5)
-                for t in order:
-                    h = cell(p, way, h, piece[t])
-                    states[way, t] = h
-            for t in range(len(piece)):
-                z = states["f", t] @ p["Wf"] + states["b", t] @ p["Wb"] + p["b"]
-                e = np.exp(z - z.max())
-                total += e / e.sum()
-                votes[z.argmax()] += 1
-        assert np.allclose(pooled[d], total / max(1, len(raw)), atol=1e-4)
+        mean, votes = brute_reader(model.params, raw)
+        assert np.allclose(pooled[d], mean, atol=1e-4)
         assert np.abs(labelled[d] - votes).sum() <= 2
 
 
+@pytest.mark.parametrize(("n", "block"), [(4000, 512), (4096, 512), (700, 2048), (5000, 1000)])
+def test_long_texts_by_blocks(monkeypatch, n, block):
+    """A text that is not held at once gives what it gives when held."""
+    rng = np.random.default_rng(n)
+    raw = rng.integers(32, 250, n).astype(np.uint8)
+    reader = language.Reader(net())
+    want = reader.documents(raw, np.array([0, n]))
+    monkeypatch.setattr(language, "HELD_BYTES", 600)
+    monkeypatch.setattr(language, "BLOCK_BYTES", block)
+    got = reader.documents(raw, np.array([0, n]))
+    assert np.allclose(got[0], want[0], atol=1e-5) and np.abs(got[1] - want[1]).sum() <= 2
+    mixed = reader.documents(np.concatenate([raw, raw[:90]]), np.array([0, n, n, n + 90]))
+    assert np.allclose(mixed[0][0], want[0], atol=1e-5) and mixed[0][1].sum() == 0 and abs(mixed[0][2].sum() - 1) < 1e-5
+
+
+def test_spans():
+    from tidelog.llm.textbatch import spans
+
+    rng = np.random.default_rng(1)
+    texts = [None if n == 7 else "x" * int(n) for n in rng.integers(0, 40, 300)] + ["y" * 500, "", "z"]
+    table = pa.table({"id": list(range(len(texts))), "text": texts})
+    for rows in (1, 7, 1000):
+        out = list(spans(iter(table.to_batches(max_chunksize=rows)), 100, 1))
+        assert pa.Table.from_batches(out).to_pydict() == table.to_pydict()
+        sizes = [sum(len(t or "") for t in b.column(1).to_pylist()) for b in out]
+        assert all(s <= 100 or b.num_rows == 1 for s, b in zip(sizes, out, strict=True)) and len(out) < 100
+
+
 def cell(p, way, h, byte):
     e, u, n = p["E" + way][byte], h @ p["U" + way], len(h)
     sig = lambda x: 1 / (1 + np.exp(-x))

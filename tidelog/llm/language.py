@@ -2,8 +2,11 @@
 
 The network is trained in numpy by backpropagation through time on a bounded sample
 of labelled rows. Every byte position gets a label from the states of both
-directions; a document's probabilities are the means over its positions. Whole texts
-are read, cut into windows that are run side by side.
+directions; a document's probabilities are the means over its positions. Each
+direction reads a whole text from its one end to the other, with one state; documents
+of like length are advanced side by side. A text too long to hold its positions'
+states is read twice: once for the states at the borders of its blocks, then block by
+block from those states, which gives the same as reading it in one go.
 """
 
 from __future__ import annotations
@@ -17,15 +20,18 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tidelog.llm.shared import map_arrow
-from tidelog.llm.textbatch import flat_text, pieces
+from tidelog.llm.textbatch import flat_text, spans
 
 #: Labelled rows used for training, per language at most.
 TRAIN_ROWS_PER_LANGUAGE = 300
 HIDDEN = 12
-WINDOW = 128
 PAD = 256
-#: Windows that one numpy step advances together.
-LANES = 1024
+#: Text bytes whose documents are sorted by length and read together; positions whose figures are held at once; positions of one array operation.
+SPAN_BYTES = 16 << 20
+HELD_BYTES = 4 << 20
+STEP_CELLS = 16_384
+#: Positions between the states that are kept of a text of more than HELD_BYTES.
+BLOCK_BYTES = 8_192
 #: A document is kept if the pooled probability of its language is at least this.
 MIN_PROBABILITY = 0.5
 
@@ -50,30 +56,43 @@ def initial(languages: list[str], hidden: int, rng: np.random.Generator) -> dict
     return {k: v.astype(np.float32) for k, v in p.items()}
 
 
-def _sigmoid(x: np.ndarray) -> np.ndarray:
-    return 0.5 * np.tanh(0.5 * x) + 0.5
+def _stack(p: dict[str, np.ndarray], name: str) -> np.ndarray:
+    return np.stack([p[name + d] for d in "fb"])
 
 
 def loss_and_gradients(p: dict[str, np.ndarray], x: np.ndarray, y: np.ndarray, mask: np.ndarray) -> tuple[float, dict[str, np.ndarray]]:
-    """Mean cross-entropy over positions and its gradients. x (T, B) bytes, y (B) labels, mask (T, B)."""
+    """Mean cross-entropy over positions and its gradients. x (T, B) bytes, y (B) labels, mask (T, B). Both directions advance in one array."""
     steps, lanes = x.shape
-    hidden = p["Uf"].shape[0]
-    logits = np.broadcast_to(p["b"], (steps, lanes, len(p["b"]))).copy()
-    seen = {}
-    for d, order in (("f", range(steps)), ("b", range(steps - 1, -1, -1))):
-        h = np.zeros((lanes, hidden), p["b"].dtype)
-        states, kept = np.empty((steps, lanes, hidden), h.dtype), [None] * steps
-        for t in order:
-            e, u = p["E" + d][x[t]], h @ p["U" + d]
-            r = _sigmoid(e[:, :hidden] + u[:, :hidden])
-            z = _sigmoid(e[:, hidden : 2 * hidden] + u[:, hidden : 2 * hidden])
-            m = u[:, 2 * hidden :] + p["c" + d]
-            n = np.tanh(e[:, 2 * hidden :] + r * m)
-            kept[t] = (h, r, z, m, n)
-            h = (n + z * (h - n)) * mask[t][:, None]  # padding leaves no trace
-            states[t] = h
-        logits += states @ p["W" + d]
-        seen[d] = (states, kept, order)
+    size, kind = p["Uf"].shape[0], p["b"].dtype
+    u, c, w = _stack(p, "U"), _stack(p, "c")[:, None], _stack(p, "W")
+    way = np.stack([x, x[::-1]], 1)  # (T, 2, B): the second direction reads from the end
+    real = np.stack([mask, mask[::-1]], 1)[..., None].astype(kind)
+    e = np.stack([p["Ef"][way[:, 0]], p["Eb"][way[:, 1]]], 1)  # (T, 2, B, 3H)
+    before, r, z, m, n, states = (np.empty((steps, 2, lanes, size), kind) for _ in range(6))
+    h = np.zeros((2, lanes, size), kind)
+    a, gates = np.empty((2, lanes, 3 * size), kind), np.empty((2, lanes, 2 * size), kind)
+    half = kind.type(0.5)
+    e[..., : 2 * size] *= half  # a sigmoid is half a tanh of half, and a half
+    u_half = u.copy()
+    u_half[..., : 2 * size] *= half
+    for t in range(steps):
+        before[t] = h
+        np.matmul(h, u_half, out=a)
+        np.add(e[t, ..., : 2 * size], a[..., : 2 * size], out=gates)
+        np.tanh(gates, out=gates)
+        gates *= half
+        gates += half
+        r[t], z[t] = gates[..., :size], gates[..., size:]
+        np.add(a[..., 2 * size :], c, out=m[t])
+        np.multiply(r[t], m[t], out=n[t])
+        n[t] += e[t, ..., 2 * size :]
+        np.tanh(n[t], out=n[t])
+        h = h - n[t]
+        h *= z[t]
+        h += n[t]
+        h *= real[t]  # padding leaves no trace
+        states[t] = h
+    logits = states[:, 0] @ w[0] + (states[:, 1] @ w[1])[::-1] + p["b"]
     logits -= logits.max(2, keepdims=True)
     probability = np.exp(logits)
     probability /= probability.sum(2, keepdims=True)
@@ -82,28 +101,38 @@ def loss_and_gradients(p: dict[str, np.ndarray], x: np.ndarray, y: np.ndarray, m
     dl = probability
     dl[:, np.arange(lanes), y] -= 1
     dl *= (mask / total)[:, :, None]
+    both = np.stack([dl, dl[::-1]], 1)  # (T, 2, B, L)
+    dstates = np.stack([both[:, 0] @ w[0].T, both[:, 1] @ w[1].T], 1)
+    # what each step multiplies the state's gradient by, for all steps at once
+    keep = real * z
+    into_new = real * (1 - z) * (1 - n * n)
+    into_reset = m * r * (1 - r)
+    into_keep = real * (before - n) * z * (1 - z)
+    de, du = (np.empty((steps, 2, lanes, 3 * size), kind) for _ in range(2))
+    back = np.ascontiguousarray(u.transpose(0, 2, 1))
+    dh, kept = (np.zeros((2, lanes, size), kind) for _ in range(2))
+    for t in range(steps - 1, -1, -1):
+        dh += dstates[t]
+        row, pull = de[t], du[t]
+        dn = row[..., 2 * size :]
+        np.multiply(dh, into_new[t], out=dn)
+        np.multiply(dn, into_reset[t], out=row[..., :size])
+        np.multiply(dh, into_keep[t], out=row[..., size : 2 * size])
+        pull[..., : 2 * size] = row[..., : 2 * size]
+        np.multiply(dn, r[t], out=pull[..., 2 * size :])
+        np.multiply(dh, keep[t], out=kept)
+        np.matmul(pull, back, out=dh)
+        dh += kept
     g = {k: np.zeros_like(v) for k, v in p.items()}
     g["b"] = dl.sum((0, 1))
-    for d in "fb":
-        states, kept, order = seen[d]
-        g["W" + d] = np.tensordot(states, dl, ((0, 1), (0, 1)))
-        dstates = dl @ p["W" + d].T
-        dh = np.zeros((lanes, hidden), p["b"].dtype)
-        de = np.empty((steps, lanes, 3 * hidden), dh.dtype)
-        for t in reversed(order):
-            before, r, z, m, n = kept[t]
-            dh = (dh + dstates[t]) * mask[t][:, None]
-            dn = dh * (1 - z) * (1 - n * n)
-            dz = dh * (before - n) * z * (1 - z)
-            dr = dn * m * r * (1 - r)
-            du = np.concatenate([dr, dz, dn * r], 1)
-            de[t] = np.concatenate([dr, dz, dn], 1)
-            g["U" + d] += before.T @ du
-            g["c" + d] += (dn * r).sum(0)
-            dh = dh * z + du @ p["U" + d].T
-        flat, rows = x.ravel(), de.reshape(-1, 3 * hidden)
-        for k in range(3 * hidden):
-            g["E" + d][:, k] = np.bincount(flat, rows[:, k], 257)
+    for k, d in enumerate("fb"):
+        flat, rows = way[:, k].ravel(), de[:, k].reshape(-1, 3 * size)
+        pulled = du[:, k].reshape(-1, 3 * size)
+        g["W" + d] = np.tensordot(states[:, k], both[:, k], ((0, 1), (0, 1)))
+        g["U" + d] = before[:, k].reshape(-1, size).T @ pulled
+        g["c" + d] = pulled[:, 2 * size :].sum(0)
+        for j in range(3 * size):
+            g["E" + d][:, j] = np.bincount(flat, rows[:, j], 257)
     return float(loss), g
 
 
@@ -111,17 +140,22 @@ def train(texts: list[bytes], labels: list[str], hidden: int = HIDDEN, steps: in
     """A model of the languages in `labels`; equally many windows of each are drawn."""
     rng = np.random.default_rng(seed)
     languages = sorted(set(labels))
-    by = [[np.frombuffer(t, np.uint8) for t, lab in zip(texts, labels, strict=True) if lab == x] for x in languages]
+    data = np.frombuffer(b"".join(texts) + bytes(2 * window), np.uint8)
+    long = np.array([len(t) for t in texts])
+    begin = np.cumsum(long) - long
+    by = [np.flatnonzero(np.array(labels, object) == x) for x in languages]
+    many = np.array([len(i) for i in by])
+    first_of = np.cumsum(many) - many
+    grouped = np.concatenate(by)
+    place = np.arange(window)
     p = initial(languages, hidden, rng)
     first, second = ({k: np.zeros_like(v) for k, v in p.items()} for _ in range(2))
     for step in range(1, steps + 1):
         y = rng.integers(0, len(languages), batch)
-        x = np.full((batch, window), PAD, np.int64)
-        for i, lab in enumerate(y):
-            t = by[lab][rng.integers(len(by[lab]))]
-            size = min(len(t), window, int(rng.integers(8, 2 * window)))
-            at = int(rng.integers(0, len(t) - size + 1))
-            x[i, :size] = t[at : at + size]
+        t = grouped[first_of[y] + rng.integers(0, many[y])]
+        size = np.minimum(np.minimum(long[t], window), rng.integers(8, 2 * window, batch))
+        at = begin[t] + rng.integers(0, long[t] - size + 1)
+        x = np.where(place < size[:, None], data[at[:, None] + place], PAD).astype(np.int64)
         _, g = loss_and_gradients(p, np.ascontiguousarray(x.T), y, (x.T != PAD).astype(np.float32))
         norm = np.sqrt(sum(float((v * v).sum()) for v in g.values()))
         rate = 0.03 * (1 - step / (steps + 1)) * min(1.0, step / 10)
@@ -134,90 +168,161 @@ def train(texts: list[bytes], labels: list[str], hidden: int = HIDDEN, steps: in
 
 
 class Reader:
-    """Runs a model over windows; gates are folded so that each step is a few contiguous array operations."""
+    """Runs a model over whole documents, both directions in one array."""
 
     def __init__(self, model: Model):
         p, h = model.params, model.params["Uf"].shape[0]
-        self.languages, self.hidden = model.languages, h
-        self.ways = {}
-        for d in "fb":
-            e, u = p["E" + d], p["U" + d]
-            half = np.float32(0.5)
-            self.ways[d] = tuple(np.ascontiguousarray(a, np.float32) for a in (e[:, :h] * half, e[:, h : 2 * h] * half, e[:, 2 * h :], u[:, :h] * half, u[:, h : 2 * h] * half, u[:, 2 * h :], p["c" + d], p["W" + d].T))
-        self.bias = p["b"][None, :, None]
-
-    def windows(self, x: np.ndarray, length: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """x (T, B), length (B) ascending -> (sum of probabilities (L, B), positions labelled (L, B)); positions past a length do not count and leave no trace."""
-        steps, lanes = x.shape
-        logits = np.empty((2, steps, len(self.languages), lanes), np.float32)
-        shape = (lanes, self.hidden)
-        r, z, n, tmp = (np.empty(shape, np.float32) for _ in range(4))
-        for k, d in enumerate("fb"):
-            er, ez, en, ur, uz, un, c, w = self.ways[d]
-            h = np.zeros(shape, np.float32)
-            for t in range(steps) if d == "f" else range(steps - 1, -1, -1):
-                at = x[t]
-                np.take(er, at, 0, out=r, mode="clip")
-                np.matmul(h, ur, out=tmp)
-                r += tmp
-                np.tanh(r, out=r)
-                r *= 0.5
-                r += 0.5
-                np.take(ez, at, 0, out=z, mode="clip")
-                np.matmul(h, uz, out=tmp)
-                z += tmp
-                np.tanh(z, out=z)
-                z *= 0.5
-                z += 0.5
-                np.matmul(h, un, out=tmp)
-                tmp += c
-                tmp *= r
-                np.take(en, at, 0, out=n, mode="clip")
-                n += tmp
-                np.tanh(n, out=n)
-                h -= n
-                h *= z
-                h += n
-                h[: np.searchsorted(length, t, side="right")] = 0
-                np.matmul(w, h.T, out=logits[k, t])
-        both = logits[0]
-        both += logits[1]
-        both += self.bias
-        top = both.max(1, keepdims=True)
-        real = (x != PAD)[:, None, :]
-        labelled = ((both == top) & real).sum(0)
-        both -= top
-        np.exp(both, out=both)
-        both /= both.sum(1, keepdims=True)
-        both *= real
-        return both.sum(0, dtype=np.float64), labelled
+        self.languages, self.size = model.languages, h
+        e, u = _stack(p, "E").astype(np.float32), _stack(p, "U").astype(np.float32)
+        half = np.float32(0.5)  # a sigmoid is half a tanh of half, and a half
+        gates = np.stack([e[..., :h], e[..., h : 2 * h]], 1) * half  # (2 ways, 2 gates, 257, H)
+        self.gate_table, self.new_table = gates.reshape(-1, h), np.ascontiguousarray(e[..., 2 * h :]).reshape(-1, h)
+        self.gate_u = np.ascontiguousarray(np.stack([u[..., :h], u[..., h : 2 * h]], 1) * half)
+        self.new_u = np.ascontiguousarray(u[..., 2 * h :] * half)  # the gate that multiplies it comes without its half
+        self.new_c = (_stack(p, "c").astype(np.float32) * half)[:, None]
+        self.w, self.bias = _stack(p, "W").astype(np.float32), p["b"].astype(np.float32)
+        self.gate_place = (np.arange(4) * 257).reshape(2, 2, 1)
+        self.new_place = (np.arange(2) * 257).reshape(2, 1)
+
+    def run(self, x: np.ndarray, h: np.ndarray) -> np.ndarray:
+        """States (T, 2, n, H) after each byte of x (T, 2, n); h (2, n, H) becomes the last."""
+        steps, _, n = x.shape
+        gates = np.take(self.gate_table, x[:, :, None, :] + self.gate_place, 0)  # (T, 2, 2, n, H)
+        new = np.take(self.new_table, x + self.new_place, 0)
+        out = np.empty((steps, 2, n, self.size), np.float32)
+        g, m, shared = np.empty((2, 2, n, self.size), np.float32), np.empty_like(h), h[:, None]
+        for t in range(steps):
+            np.matmul(shared, self.gate_u, out=g)
+            g += gates[t]
+            np.tanh(g, out=g)
+            g += 1
+            np.matmul(h, self.new_u, out=m)
+            m += self.new_c
+            m *= g[:, 0]
+            m += new[t]
+            np.tanh(m, out=m)
+            h -= m
+            h *= g[:, 1]
+            h *= 0.5
+            h += m
+            out[t] = h
+        return out
+
+    def held(self, data: np.ndarray, start: np.ndarray, length: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Sums of probabilities and positions labelled, (n, L) each, of texts whose positions fit in memory together; length descends and is 1 at least."""
+        top, labels = int(length[0]), len(self.bias)
+        h, t0, used = np.zeros((2, len(length), self.size), np.float32), 0, 0
+        row_at = np.empty(top, np.int64)  # where the figures of each step begin
+        blocks: list[tuple[int, int, int, np.ndarray]] = []
+        behind: list[np.ndarray] = []
+        while t0 < top:
+            n = int(np.searchsorted(-length, -t0, side="left"))  # texts that go on; those that end within the block run on over nothing
+            steps = min(max(16, STEP_CELLS // n), top - t0)
+            t = np.arange(t0, t0 + steps)[:, None]
+            last = length[:n] - 1
+            x = np.empty((steps, 2, n), np.intp)
+            x[:, 0] = data[start[:n] + np.minimum(t, last)]
+            x[:, 1] = data[start[:n] + np.maximum(last - t, 0)]
+            h = np.ascontiguousarray(h[:, :n])
+            states = self.run(x, h)
+            row_at[t0 : t0 + steps] = used + np.arange(steps) * n
+            used += steps * n
+            blocks.append((t0, steps, n, states[:, 0].reshape(-1, self.size) @ self.w[0] + self.bias))
+            behind.append(states[:, 1].reshape(-1, self.size) @ self.w[1])
+            t0 += steps
+        other = np.concatenate(behind)
+        del behind
+        probability, labelled = np.zeros((len(length), labels)), np.zeros((len(length), labels), np.int64)
+        for t0, steps, n, logits in blocks:
+            ahead = length[:n] - 1 - np.arange(t0, t0 + steps)[:, None]  # the step at which the other direction was here
+            real = ahead >= 0
+            logits += np.take(other, (row_at[np.maximum(ahead, 0)] + np.arange(n)).ravel(), 0)
+            p, leads = soft(logits)
+            if not real[-1].all():
+                p *= real.reshape(-1, 1)
+                leads &= real.reshape(-1, 1)
+            probability[:n] += p.reshape(steps, -1).sum(0).reshape(n, labels)
+            labelled[:n] += leads.reshape(steps, -1).sum(0).reshape(n, labels)
+        return probability, labelled
+
+    def long(self, text: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """The same of one text of any length, (L) each: states at the borders of its blocks first, then the blocks side by side."""
+        n = len(text)
+        blocks = -(-n // BLOCK_BYTES)
+        begin = np.arange(blocks) * BLOCK_BYTES
+        size = np.minimum(BLOCK_BYTES, n - begin)
+        h = np.zeros((2, 1, self.size), np.float32)
+        borders = np.empty((blocks, 2, self.size), np.float32)  # before each block, in reading order
+        for k in range(blocks):
+            borders[k] = h[:, 0]
+            ahead = text[begin[k] : begin[k] + size[k]]
+            behind = text[n - begin[k] - size[k] : n - begin[k]][::-1]
+            for a in range(0, int(size[k]), 1024):
+                self.run(np.stack([ahead[a : a + 1024], behind[a : a + 1024]], 1)[:, :, None].astype(np.intp), h)
+        probability, labelled = np.zeros(len(self.bias)), np.zeros(len(self.bias), np.int64)
+        for k in range(blocks):
+            # positions begin[k]... forward from their border; backward from the border of the block of the reading from the end that holds them
+            lo, hi = int(begin[k]), int(begin[k] + size[k])
+            states = [self._between(text, borders, lo, hi, way) for way in (0, 1)]
+            logits = states[0] @ self.w[0] + states[1] @ self.w[1] + self.bias
+            p, leads = soft(logits)
+            probability += p.sum(0, dtype=np.float64)
+            labelled += leads.sum(0)
+        return probability, labelled
+
+    def _between(self, text: np.ndarray, borders: np.ndarray, lo: int, hi: int, way: int) -> np.ndarray:
+        """States of one direction at the positions lo to hi, in the text's order."""
+        n = len(text)
+        a, b = (lo, hi) if way == 0 else (n - hi, n - lo)  # in reading order
+        first = a // BLOCK_BYTES
+        h = np.zeros((2, 1, self.size), np.float32)
+        h[way, 0] = borders[first, way]
+        read = text if way == 0 else text[::-1]
+        out = []
+        for at in range(first * BLOCK_BYTES, b, 1024):
+            x = read[at : min(b, at + 1024)].astype(np.intp)
+            out.append(self.run(np.stack([x, x], 1)[:, :, None], h)[:, way, 0])
+        states = np.concatenate(out)[a - first * BLOCK_BYTES :]
+        return states if way == 0 else states[::-1]
 
     def documents(self, data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """(mean probabilities (docs, L), positions labelled (docs, L)); an empty document has zeros."""
         sizes = np.diff(offsets)
-        each = -(-sizes // WINDOW)
-        owner = np.repeat(np.arange(len(sizes)), each)
-        number = np.arange(len(owner)) - np.repeat(np.cumsum(each) - each, each)
-        start = offsets[:-1][owner] + number * WINDOW
-        length = np.minimum(WINDOW, offsets[1:][owner] - start)
-        pooled = np.zeros((len(sizes), len(self.languages)))
-        labelled = np.zeros((len(sizes), len(self.languages)), np.int64)
-        padded = np.concatenate([data, np.zeros(WINDOW, np.uint8)])
-        order = np.argsort(length, kind="stable")  # windows of like length together, so short ones take few steps
-        for k in range(0, len(order), LANES):
-            chosen = order[k : k + LANES]
-            steps = int(length[chosen].max())
-            x = padded[start[chosen][None, :] + np.arange(steps)[:, None]].astype(np.intp)
-            x[np.arange(steps)[:, None] >= length[chosen][None, :]] = PAD
-            probability, labels = self.windows(x, length[chosen])
-            for j in range(len(self.languages)):
-                pooled[:, j] += np.bincount(owner[chosen], probability[j], len(sizes))
-                labelled[:, j] += np.bincount(owner[chosen], labels[j], len(sizes)).astype(np.int64)
+        pooled = np.zeros((len(sizes), len(self.bias)))
+        labelled = np.zeros((len(sizes), len(self.bias)), np.int64)
+        order = np.argsort(-sizes, kind="stable")
+        order = order[: int((sizes > 0).sum())]
+        at = 0
+        while at < len(order):
+            i = order[at]
+            if sizes[i] > HELD_BYTES:
+                pooled[i], labelled[i] = self.long(data[offsets[i] : offsets[i + 1]])
+                at += 1
+                continue
+            total = np.cumsum(sizes[order[at : at + HELD_BYTES]])
+            own = order[at : at + max(1, int(np.searchsorted(total, HELD_BYTES, side="right")))]
+            pooled[own], labelled[own] = self.held(data, offsets[own], sizes[own])
+            at += len(own)
         return pooled / np.maximum(sizes, 1)[:, None], labelled
 
 
+def soft(logits: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(probabilities, which labels lead) of positions' logits, which it changes."""
+    top = logits[:, 0].copy()
+    for k in range(1, logits.shape[1]):
+        np.maximum(top, logits[:, k], out=top)
+    leads = logits == top[:, None]
+    logits -= top[:, None]
+    np.exp(logits, out=logits)
+    total = logits[:, 0].copy()
+    for k in range(1, logits.shape[1]):
+        total += logits[:, k]
+    logits /= total[:, None]
+    return logits, leads
+
+
 def training_rows(docs: DataFrame, label_col: str, text_col: str, id_col: str, per_label: int) -> tuple[list[bytes], list[str]]:
-    """A bounded sample by hash of the id: at most `per_label` texts of each label; null labels and empty texts are not used."""
+    """A bounded sample by hash of id and text: at most `per_label` texts of each label; null labels and empty texts are not used, repeated rows once."""
     rows = docs.where(F.col(label_col).isNotNull() & (F.length(text_col) > 0))
     counts = {r[0]: r[1] for r in rows.groupBy(F.col(label_col).cast("string")).count().collect()}
     if not counts:
@@ -226,6 +331,7 @@ def training_rows(docs: DataFrame, label_col: str, text_col: str, id_col: str, p
     rank = F.pmod(F.xxhash64(id_col, text_col), F.lit(1_000_000_007))
     label = F.col(label_col).cast("string")
     picked = rows.select(label.alias("label"), F.col(text_col).cast("string").alias("text"), rank.alias("rank")).where(F.col("rank") < share[F.col("label")] * 1_000_000_007)
+    picked = picked.groupBy("label", "rank").agg(F.min("text").alias("text")).select("label", "text", "rank")  # however often a row stands
     got = sorted(map(tuple, picked.collect()), key=lambda r: (r[2], r[0], r[1]))
     texts, labels, used = [], [], dict.fromkeys(counts, 0)
     for lab, text, _ in got:
@@ -258,7 +364,7 @@ def identify(docs: DataFrame, model: Model | None, id_col: str = "doc_id", text_
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         reader = Reader(model) if model else None
-        for batch in pieces(batches, "text"):
+        for batch in spans(batches, SPAN_BYTES, 1):
             data, offsets, null = flat_text(batch.column(1))
             sizes = np.diff(offsets)
             if reader:
@@ -288,7 +394,7 @@ def keep_identified(docs: DataFrame, model: Model | None, text_col: str = "text"
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         reader = Reader(model) if model else None
-        for batch in pieces(batches, text_col):
+        for batch in spans(batches, SPAN_BYTES, at):
             data, offsets, _ = flat_text(batch.column(at))
             keep = np.diff(offsets) > 0
             keep &= (reader.documents(data, offsets)[0].max(1) >= min_probability) if reader else False

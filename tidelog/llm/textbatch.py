@@ -44,6 +44,32 @@ def pieces(batches: Iterator[pa.RecordBatch], column: str, limit: int = PIECE_BY
             start = end
 
 
+def spans(batches: Iterator[pa.RecordBatch], limit: int, column: int) -> Iterator[pa.RecordBatch]:
+    """Record batches put together, or cut by rows, so that the text of `column` has about `limit` bytes in each; a longer text stands alone."""
+    held, size = [], 0
+
+    def whole() -> pa.RecordBatch:
+        return held[0] if len(held) == 1 else pa.Table.from_batches(held).combine_chunks().to_batches()[0]
+
+    for batch in batches:
+        if not batch.num_rows:
+            continue
+        _, offsets, _ = flat_text(batch.column(column))
+        start = 0
+        while start < batch.num_rows:
+            end = int(np.searchsorted(offsets, offsets[start] + limit - size, side="right")) - 1
+            if end <= start and held:
+                yield whole()
+                held, size = [], 0
+                continue
+            end = min(max(end, start + 1), batch.num_rows)
+            held.append(batch.slice(start, end - start))
+            size += int(offsets[end] - offsets[start])
+            start = end
+    if held:
+        yield whole()
+
+
 def ragged_range(starts: np.ndarray, lengths: np.ndarray) -> np.ndarray:
     """Indices start, start+1, ... for each (start, length), one after another."""
     total = int(lengths.sum())
