@@ -73,9 +73,10 @@ def brute(docs, weights, n_blocks, lane_bytes):
     return sorted(out)
 
 
-@pytest.mark.parametrize(("weights", "n_blocks", "lane_bytes"), [(None, None, 20_000), ({"src0": 0.1, "src1": 3.0, "src2": 1.0}, 250, 1 << 20)])
-def test_against_brute_force(docs, weights, n_blocks, lane_bytes):
-    got = mixing.mix_sources(docs, weights, n_blocks, TOKENS, SHARD, lane_bytes=lane_bytes).drop("lang").collect()
+@pytest.mark.parametrize(("weights", "n_blocks", "lane_bytes", "group_bytes"), [(None, None, 20_000, 32 << 20), ({"src0": 0.1, "src1": 3.0, "src2": 1.0}, 250, 1 << 20, 1 << 20), ({"src0": 0.001, "src1": 30.0}, 9_000, 10_000, 100_000)])
+def test_against_brute_force(docs, weights, n_blocks, lane_bytes, group_bytes):
+    """The last case draws one source many times over, in several groups of epochs."""
+    got = mixing.mix_sources(docs, weights, n_blocks, TOKENS, SHARD, lane_bytes=lane_bytes, group_bytes=group_bytes).drop("lang").collect()
     got = sorted((r.shard, r.slot, r.source, r.epoch, r.block, r.n_tokens, tuple(r.doc_ids), r.text) for r in got)
     assert got == brute(docs, weights, n_blocks, lane_bytes)
 
@@ -97,6 +98,28 @@ def test_packing_loses_nothing(docs):
         assert max(uses[s].values()) - min(uses[s].values()) <= 1
 
 
+def test_groups_are_bounded(docs, spark):
+    """A small source of great weight is packed in many groups, each of a bounded number of epochs."""
+    small = docs.where("source = 'src1'").limit(1)
+    rows = small.unionByName(docs.where("source = 'src0'"))
+    plan = mixing.mix_sources(rows, {"src0": 0.01, "src1": 0.99}, 5_000, TOKENS, SHARD, group_bytes=50_000)
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")
+    try:
+        got = plan.where("source = 'src1'").select(F.spark_partition_id().alias("p"), F.length("text").alias("n")).collect()
+    finally:
+        spark.conf.unset("spark.sql.adaptive.coalescePartitions.enabled")
+    by = Counter()
+    for r in got:
+        by[r.p] += r.n
+    assert sum(by.values()) > 1_000_000 and len(by) == 4 and max(by.values()) < 0.6 * sum(by.values())
+
+
+def test_sums_before(spark):
+    rows = [(k, i, (i * 7 + k) % 11) for k in range(3) for i in range(0, 300, k + 1)]
+    got = mixing.sum_before(spark.createDataFrame(rows, "k int, i long, n long"), ["k"], "i", "n", "before", run=16).collect()
+    assert {(r.k, r.i): r.before for r in got} == {(k, i): sum(n for a, j, n in rows if a == k and j < i) for k, i, _ in rows}
+
+
 def test_shares_meet_the_targets(docs):
     target = {"src0": 0.5, "src1": 0.3, "src2": 0.2}
     got = Counter(r.source for r in mixing.mix_sources(docs, target, 4000, TOKENS, SHARD).select("source").collect())

@@ -8,17 +8,21 @@ one for every pass over them, and slots meet blocks by number.
 
 Plan: documents are dealt by hash into lanes of one source, about LANE_BYTES each. A
 first pass over the texts counts tokens, which fixes the block numbers of every lane;
-slots are then small rows (source, lane, block). A cogroup by (source, lane) packs a
-lane and joins its blocks with their slots in one place, so texts are shuffled once.
+slots are then small rows (source, lane, block). A cogroup by (source, lane, group of
+epochs) packs a lane and joins its blocks with their slots in one place. A group has as
+many epochs as give about GROUP_BYTES of output; a lane's texts go to each of its groups.
+So a source that is drawn within that many passes is shuffled once, and one that is drawn
+far more often than it has blocks is spread over tasks, none of which makes more.
 """
 
 from __future__ import annotations
 
+import json
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tidelog.llm.shared import cut, map_arrow
@@ -29,6 +33,7 @@ from tidelog.session import ship
 BLOCK_TOKENS = 1024
 SHARD_BLOCKS = 512
 LANE_BYTES = 1 << 20
+GROUP_BYTES = 32 << 20
 SEED = 20_240_601
 _SPACE = np.zeros(256, bool)
 _SPACE[[9, 10, 11, 12, 13, 32]] = True
@@ -108,7 +113,25 @@ def pack_lane(docs: pa.Table, block_tokens: int) -> dict[str, list | np.ndarray]
     return out
 
 
-def mix_sources(docs: DataFrame, weights: dict[str | None, float] | None = None, n_blocks: int | None = None, block_tokens: int = BLOCK_TOKENS, shard_blocks: int = SHARD_BLOCKS, seed: int = SEED, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", lang_col: str = "lang", lane_bytes: int = LANE_BYTES) -> DataFrame:
+def sum_before(rows: DataFrame, keys: list[str], order: str, value: str, name: str, run: int = 4096) -> DataFrame:
+    """rows with `name`: the sum of `value` over the rows of the same keys and a lesser `order`, a whole number that stands once in a key.
+
+    Runs of `run` orders are summed first, so no task has to hold a whole key.
+    """
+    rows = rows.withColumn("__run", F.expr(f"`{order}` div {run}"))
+    runs = rows.groupBy(*keys, "__run").agg(F.sum(value).alias("__sum"))
+    runs = runs.select(*keys, "__run", (F.sum("__sum").over(Window.partitionBy(*keys).orderBy("__run")) - F.col("__sum")).alias("__before"))
+    within = F.sum(value).over(Window.partitionBy(*keys, "__run").orderBy(order)) - F.col(value)
+    out = rows.withColumn("__within", within).join(runs, [*keys, "__run"])
+    return out.withColumn(name, F.col("__before") + F.col("__within")).drop("__run", "__before", "__within")
+
+
+def of_source(values: dict[str, int]) -> Column:
+    """The value of a row's source, from one literal map."""
+    return F.from_json(F.lit(json.dumps(values)), "map<string,long>")[F.col("source_key")]
+
+
+def mix_sources(docs: DataFrame, weights: dict[str | None, float] | None = None, n_blocks: int | None = None, block_tokens: int = BLOCK_TOKENS, shard_blocks: int = SHARD_BLOCKS, seed: int = SEED, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", lang_col: str = "lang", lane_bytes: int = LANE_BYTES, group_bytes: int = GROUP_BYTES) -> DataFrame:
     """(shard, slot, source, epoch, block, n_tokens, doc_ids, lang, text): one row for each slot of the output shards.
 
     `weights` are the sources' target shares of blocks (equal if None; those of sources
@@ -123,7 +146,8 @@ def mix_sources(docs: DataFrame, weights: dict[str | None, float] | None = None,
     own (weight key None); null ids are packed as others; repeated rows are packed as
     often as they stand; ties in the deal are broken by id; no tokens at all, or no
     weight above zero, give no rows; other columns are not carried, so names cannot
-    clash. A negative or infinite weight is an error.
+    clash. A negative or infinite weight is an error. The driver holds one row for each
+    source, as the weights are a list of sources.
     """
     if weights is not None and any(not 0 <= w < float("inf") for w in weights.values()):
         raise ValueError("weights must be finite and not negative")
@@ -145,17 +169,18 @@ def mix_sources(docs: DataFrame, weights: dict[str | None, float] | None = None,
         return spark.createDataFrame([], schema)
     share = np.array([wanted[k] for k in keys])
     share /= share.sum()
-    lane_map = F.create_map(*[F.lit(x) for k in sorted(sizes) for x in (k, sizes[k])])
-    with_lane = lambda df: df.withColumn("lane", F.pmod("deal", lane_map[F.col("source_key")]))
-    lanes = with_lane(counted).groupBy("source_key", "lane").agg(F.ceil(F.sum("n_tokens") / block_tokens).alias("blocks"))
-    lanes = lanes.withColumn("to", F.sum("blocks").over(Window.partitionBy("source_key").orderBy("lane"))).withColumn("from", F.col("to") - F.col("blocks"))
-    lanes = cut(lanes.select("source_key", "lane", "from", "to"))
-    totals = dict(map(tuple, lanes.groupBy("source_key").agg(F.max("to")).collect()))
+    with_lane = lambda df: df.withColumn("lane", F.pmod("deal", of_source(sizes)))
+    lanes = with_lane(counted).groupBy("source_key", "lane").agg(F.ceil(F.sum("n_tokens") / block_tokens).alias("blocks"), F.sum("n_bytes").alias("n_bytes"))
+    lanes = sum_before(lanes, ["source_key"], "lane", "blocks", "from").withColumn("to", F.col("from") + F.col("blocks"))
+    lanes = cut(lanes.select("source_key", "lane", "from", "to", "n_bytes"))
+    found = {r[0]: (r[1], r[2]) for r in lanes.groupBy("source_key").agg(F.max("to"), F.max("n_bytes")).collect()}
+    totals = {k: v[0] for k, v in found.items()}
     slots = sum(totals.values()) if n_blocks is None else int(n_blocks)
     if slots <= 0:
         return spark.createDataFrame([], schema)
     shards = -(-slots // shard_blocks)
     have = np.array([totals[k] for k in keys], np.int64)
+    per_group = np.array([max(1, group_bytes // max(1, found[k][1])) for k in keys], np.int64)  # epochs
 
     def draw(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -177,16 +202,18 @@ def mix_sources(docs: DataFrame, weights: dict[str | None, float] | None = None,
             salt = mix(np.uint64(seed) + mix(which[row].astype(np.uint64) << np.uint64(40) | epoch.astype(np.uint64)))
             block = permute(at, total, salt)
             slot = permute(within[row] + step, size[row], mix(shard[row].astype(np.uint64) + np.uint64(seed + 1)))
-            yield pa.RecordBatch.from_arrays([pa.array(np.array(keys, object)[which[row]], pa.string()), pa.array(shard[row]), pa.array(slot.astype(np.int32)), pa.array(epoch), pa.array(block)], names=["source_key", "shard", "slot", "epoch", "block"])
-
-    drawn = map_arrow(spark.range(shards), draw, "shard long, which int, size long, n long, within long")
-    order = Window.partitionBy("which").orderBy("shard")
-    drawn = drawn.withColumn("before", F.sum("n").over(order) - F.col("n")).where("n > 0")
-    placed = map_arrow(drawn, place, "source_key string, shard long, slot int, epoch long, block long")
-    spans = lanes.withColumn("chunk", F.explode(F.sequence(F.expr(f"`from` div {_CHUNK}"), F.expr(f"(`to` - 1) div {_CHUNK}"))))
+            yield pa.RecordBatch.from_arrays([pa.array(np.array(keys, object)[which[row]], pa.string()), pa.array(shard[row]), pa.array(slot.astype(np.int32)), pa.array(epoch), pa.array(epoch // per_group[which[row]]), pa.array(block)], names=["source_key", "shard", "slot", "epoch", "group", "block"])
+
+    drawn = cut(map_arrow(spark.range(shards), draw, "shard long, which int, size long, n long, within long"))
+    draws = dict(map(tuple, drawn.groupBy("which").agg(F.sum("n")).collect()))
+    groups = {k: max(1, -(-(-(-draws[i] // int(have[i]))) // int(per_group[i]))) for i, k in enumerate(keys)}
+    drawn = sum_before(drawn, ["which"], "shard", "n", "before").where("n > 0").select("shard", "which", "size", "n", "within", "before")
+    placed = map_arrow(drawn, place, "source_key string, shard long, slot int, epoch long, group long, block long")
+    in_groups = lambda df: df.withColumn("group", F.explode(F.sequence(F.lit(0).cast("long"), of_source(groups) - 1)))
+    spans = lanes.where(F.col("source_key").isin(keys)).withColumn("chunk", F.explode(F.sequence(F.expr(f"`from` div {_CHUNK}"), F.expr(f"(`to` - 1) div {_CHUNK}"))))
     # the planner takes the slots, which Python makes from a short range, for few rows: no broadcast
-    met = placed.withColumn("chunk", F.expr(f"block div {_CHUNK}")).join(spans.hint("merge"), ["source_key", "chunk"]).where("block >= `from` and block < `to`")
-    met = met.select("source_key", "lane", "shard", "slot", "epoch", "block", (F.col("block") - F.col("from")).alias("local"))
+    met = placed.withColumn("chunk", F.expr(f"block div {_CHUNK}")).join(in_groups(spans).hint("merge"), ["source_key", "chunk", "group"]).where("block >= `from` and block < `to`")
+    met = met.select("source_key", "lane", "group", "shard", "slot", "epoch", "block", (F.col("block") - F.col("from")).alias("local"))
 
     arrow_schema = pa.schema([("shard", pa.int64()), ("slot", pa.int32()), ("source", pa.string()), ("epoch", pa.int64()), ("block", pa.int64()), ("n_tokens", pa.int32()), ("doc_ids", pa.list_(_arrow_type(docs, id_col))), ("lang", pa.string()), ("text", pa.string())])
 
@@ -201,9 +228,10 @@ def mix_sources(docs: DataFrame, weights: dict[str | None, float] | None = None,
         columns += [pa.array(blocks[c], arrow_schema.field(c).type).take(pa.array(at)) for c in ("n_tokens", "doc_ids", "lang", "text")]
         return pa.table([c.cast(f.type) for c, f in zip(columns, arrow_schema, strict=True)], schema=arrow_schema)
 
-    dealt = with_lane(base.where(F.col("source_key").isin(keys)))
+    dealt = in_groups(with_lane(base.where(F.col("source_key").isin(keys))))
     ship(spark)
-    return dealt.groupBy("source_key", "lane").cogroup(met.groupBy("source_key", "lane")).applyInArrow(fill, schema)
+    by = ["source_key", "lane", "group"]
+    return dealt.groupBy(*by).cogroup(met.groupBy(*by)).applyInArrow(fill, schema)
 
 
 def _arrow_type(df: DataFrame, column: str) -> pa.DataType:
