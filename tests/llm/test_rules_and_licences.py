@@ -11,6 +11,7 @@ import pyarrow as pa
 import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
+from pyspark.sql import functions as F
 
 from tidelog.llm import licences, repetition
 from tidelog.llm.textbatch import flat_text
@@ -120,18 +121,126 @@ def test_scan(spark):
     assert got[3].licences == ["CC-BY-NC-4.0", "MIT"] and got[3].restriction == "restricted" and not got[3].keep
     assert got[4].licences == [] and got[5].licences == [] and got[5].n_hits == 0
     assert got[6].restriction == "copyleft" and not got[6].keep
-    assert got[7].licences == ["GPL-3.0"] or got[7].licences == []
+    assert got[7].licences == [] and got[7].n_hits == 0 and got[7].keep
     assert got[8].restriction == "none" and got[9].n_hits == 2
 
 
-def test_phrases_by_brute_force(spark):
-    docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet")
-    got = {r.doc_id: r.licences for r in licences.scan(docs).collect()}
-    for r in docs.collect():
-        low = "".join(c.lower() if c.isascii() else c for c in r.text)
-        want = {name for p, name in licences.PHRASES.items() if re.search((r"(?<![^\W_])" if p[0].isalnum() else "") + re.escape(p), low)}
-        assert set(got[r.doc_id]) == want
-    assert sum(map(bool, got.values())) > 10
+@pytest.mark.parametrize(
+    ("text", "names"),
+    [
+        ("gplv3x", []), ("gplv3", ["GPL-3.0"]), ("xgplv3", []), ("(gplv3)", ["GPL-3.0"]), ("gplv3+", ["GPL-3.0"]), ("mit licensed", []), ("mit license", ["MIT"]), ("MIT License.", ["MIT"]), ("isc licenses", []), ("isc license, gplv2", ["GPL-2.0", "ISC"]),
+        ("GNU GPL v3é", []), ("cc by 4.01", []), ("cc by 4.0", ["CC-BY-4.0"]), ("gnu general public license version 21", []), ("opensource.org/licenses/mit/", ["MIT"]), ("opensource.org/licenses/mitre", []),
+    ],
+)
+def test_words_are_whole(text, names):
+    assert licences.scan_text(licences.automaton(), "", text.lower())[0] == names
+
+
+def plain_fold(text):
+    """One space for white space, and for line ends with the comment signs beside them, written line by line."""
+    lines = "".join(c.lower() if c.isascii() else c for c in text).split("\n")
+    out = []
+    for i, line in enumerate(lines):
+        if i + 1 < len(lines):
+            line = re.sub(r"\s+([*/#;%|]+|-->)\s*$", "", line)
+        if i:
+            line = re.sub(r"^(\s*([/*#;%!>|]+|--+|<!--))*\s*", "", line)
+        out.append(line)
+    return re.sub(r"\s+", " ", " ".join(out))
+
+
+def plain_level(tokens):
+    """(level, names, text) by recursive descent; the longest well-formed head."""
+
+    def atom(i):
+        if i < len(tokens) and tokens[i] == "(":
+            got, j = either(i + 1)
+            if got is None or j >= len(tokens) or tokens[j] != ")":
+                return None, i
+            return (got[0], got[1], got[2], 4) if got[3] == 4 else (got[0], got[1], got[2], got[3]), j + 1
+        if i < len(tokens) and tokens[i].lower() not in ("and", "or", "with", ")", "("):
+            known = {k.lower(): k for k in licences.LICENCES}
+            low = tokens[i].lower()
+            name = known.get(low) or known.get(low.rstrip("+"))
+            return (licences.LEVELS.index(licences.LICENCES[name]) if name else licences.LEVELS.index("unknown"), [known.get(low) or tokens[i]], known.get(low) or tokens[i], 4), i + 1
+        return None, i
+
+    def joined(i, word, inner, binds, pick):
+        a, i = inner(i)
+        while a is not None and i < len(tokens) and tokens[i].lower() == word:
+            b, j = inner(i + 1)
+            if b is None:
+                break
+            if word == "with":
+                down = {"network-copyleft": "weak-copyleft", "copyleft": "weak-copyleft", "weak-copyleft": "permissive"}
+                known = b[2].lower() in licences.EXCEPTIONS
+                level = licences.LEVELS.index(down.get(licences.LEVELS[a[0]], licences.LEVELS[a[0]])) if known else a[0]
+                a = (level, a[1], f"{a[2]} WITH {b[2]}", 3)
+            else:
+                x, y = (f"({s[2]})" if s[3] < binds else s[2] for s in (a, b))
+                a = (pick(a[0], b[0]), a[1] + b[1], f"{x} {word.upper()} {y}", binds)
+            i = j
+        return a, i
+
+    def exception(i):
+        return joined(i, "with", atom, 3, None)
+
+    def both(i):
+        return joined(i, "and", exception, 2, max)
+
+    def either(i):
+        return joined(i, "or", both, 1, min)
+
+    return either(0)[0]
+
+
+def plain_scan(text):
+    """(licences, expressions, restriction, hits, keep) without the automaton and without shunting-yard."""
+    names, expressions, level, hits = set(), set(), 0, 0
+    for m in re.finditer(r"(?i)spdx-license-identifier:[ \t\r]*([^\n]*)", text or ""):
+        line = m.group(1)
+        tokens = []
+        for t in re.finditer(r"[ \t\r]*([()]|[A-Za-z0-9.:+-]+)|.", line):
+            if t.group(1) is None:
+                break
+            w = t.group(1)
+            if w.rstrip(".:"):
+                tokens.append(w.rstrip(".:"))
+            if w[-1] in ".:":
+                break
+        got = plain_level(tokens)
+        if got is not None:
+            level, hits = max(level, got[0]), hits + 1
+            names.update(got[1])
+            expressions.add(got[2])
+    low, ends = plain_fold(text or ""), {}
+    for p, name in licences.PHRASES.items():
+        for m in re.finditer(f"(?={re.escape(p)})", low):
+            a, b = m.start(), m.start() + len(p)
+            if a and low[a - 1].isalnum() and p[0].isalnum() or low[b : b + 1].isalnum() and p[-1].isalnum():
+                continue
+            ends[b] = max(ends.get(b, (0, "")), (len(p), name))
+    for _, name in ends.values():
+        names.add(name)
+        level, hits = max(level, licences.level_of(name)), hits + 1
+    return sorted(names), sorted(expressions), licences.LEVELS[level], hits, level <= licences.LEVELS.index("permissive")
+
+
+def test_whole_rows_by_brute_force(spark):
+    """Every column over the whole table, and over texts made to hit the rules."""
+    rng = random.Random(9)
+    words = [*licences.PHRASES, "SPDX-License-Identifier:", "MIT", "OR", "AND", "WITH", "(", ")", "GPL-2.0-only", "AGPL-3.0", "Classpath-exception-2.0", "\n", "\n# ", " ", "x", ".", "Nobody-1", "\n * ", "é", ",", "version 2", "License"]
+    made = ["".join(rng.choice(words) + rng.choice(["", " ", " "]) for _ in range(rng.randrange(1, 14))) for _ in range(300)]
+    terms = ["MIT", "mit", "GPL-2.0-only", "AGPL-3.0", "LGPL-2.1+", "Apache-2.0", "Nobody-1", "AND", "and", "OR", "or", "WITH", "Classpath-exception-2.0", "(", ")", "made-up"]
+    made += ["// spdx-license-identifier: " + " ".join(rng.choice(terms) for _ in range(rng.randrange(0, 10))) + rng.choice(["", ".", " *", " // x"]) for _ in range(300)]
+    one_line = [t for t in made if "\n" not in t]
+    notices = [t for t in made if "SPDX" not in t]
+    docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet").select(F.col("doc_id").cast("string").alias("doc_id"), "text")
+    docs = docs.unionByName(spark.createDataFrame([(f"m{i}", t) for i, t in enumerate(one_line + notices)], "doc_id string, text string"))
+    got = {r.doc_id: (r.licences, r.expressions, r.restriction, r.n_hits, r.keep) for r in licences.scan(docs).collect()}
+    want = {r.doc_id: plain_scan(r.text) for r in docs.collect()}
+    assert {k: (got[k], want[k]) for k in want if got[k] != want[k]} == {}
+    assert sum(v[3] > 0 for k, v in want.items() if k[0] != "m") > 10 and sum(bool(v[1]) for v in want.values()) > 20
 
 
 BSD = "Redistribution and use in source and binary forms, with or without\nmodification, are permitted"

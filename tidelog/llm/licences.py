@@ -192,8 +192,8 @@ def scan_text(a, text: str, folded: str) -> tuple[list[str], list[str], int, int
         start = end + 1 - size
         if end == end_seen and size < last:
             continue
-        if start and folded[start - 1].isalnum() and folded[start].isalnum():
-            continue  # inside a longer word
+        if start and folded[start - 1].isalnum() and folded[start].isalnum() or folded[end].isalnum() and folded[end + 1 : end + 2].isalnum():
+            continue  # it begins or ends inside a longer word
         end_seen, last = end, size
         names.add(name)
         level = max(level, level_of(name))
@@ -212,7 +212,8 @@ def scan(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", allowe
     restriction 'none', and are kept; of a malformed expression the longest well-formed
     head counts, and a tag without one is no hit; names that are not known count as
     'unknown', the strictest; phrases are matched across the whole text, also several
-    times and over line ends and comment signs, but not inside a longer word; repeated rows and null ids give a row each; an empty
+    times and over line ends and comment signs, but not inside a longer word, neither at
+    its beginning nor at its end; repeated rows and null ids give a row each; an empty
     table gives no rows; other columns are not carried.
     """
     id_type = docs.schema[id_col].dataType.simpleString()
