@@ -42,6 +42,54 @@ def test_votes_by_brute_force(labelled):
         assert math.isclose(score, want, abs_tol=2e-3)
 
 
+def plain_vector(model, raw):
+    """A document's latent-semantic vector, byte by byte and term by term."""
+    counts = [0] * quality.FEATURES
+    padded = raw + bytes(max(0, 3 - len(raw))) if raw else b""
+    for n, odd in ((3, 0x9E3779B1), (6, 0x85EBCA77)):
+        for i in range(len(padded) - n + 1):
+            h = 0
+            for b in padded[i : i + n]:
+                h = (h * 0x01000193 & 0xFFFFFFFF) ^ b
+            counts[(h * odd & 0xFFFFFFFF) >> 20] += 1
+    total, square = sum(counts), sum(c * c for c in counts)
+    terms = [math.log(1 + c) * float(w) for c, w in zip(counts, model.weights, strict=True)]
+    size = math.sqrt(sum(t * t for t in terms)) or 1
+    level = min(max(2 * (min(math.log2(total), quality.PROSE_BITS) - math.log2(total * total / square)), 0), quality.LEVELS - 1)
+    terms = [t / size for t in terms] + [quality.TEXTURE_WEIGHT * max(0, 1 - abs(level - k)) for k in range(quality.LEVELS)]
+    v = [sum(t * float(p) for t, p in zip(terms, column, strict=True) if t) for column in model.projection.T]
+    size = math.sqrt(sum(x * x for x in v)) or 1
+    return [x / size for x in v]
+
+
+def test_scores_without_the_codes_own_functions(labelled):
+    table = labelled[2]
+    model = quality.fit_model(list(table.text[:80]), list(table.quality[:80]))
+    texts = ["a", "é", "ab", "abc", "abcde", "aaaaaa", *(t[:400] for t in table.text[150:156])]
+    data, offsets, _ = flat_text(pa.array(texts))
+    for text, score in zip(texts, quality.score_flat(model, data, offsets), strict=True):
+        v = plain_vector(model, text.encode())
+        near = sorted(((sum(a * float(b) for a, b in zip(v, row, strict=True)), float(y), float(w)) for row, y, w in zip(model.vectors, model.labels, model.balance, strict=True)), reverse=True)
+        voters = [x for x in near if x[0] >= near[quality.NEIGHBOURS - 1][0] - 1e-6 and x[0] > 0]
+        assert math.isclose(score, sum(s * w * y for s, y, w in voters) / sum(s * w for s, y, w in voters), abs_tol=2e-3)
+
+
+def test_short_texts_are_judged(spark, labelled):
+    model = quality.fit(labelled[0], labelled[1], per_label=60)
+    rows = [(1, "a"), (2, "é"), (3, "ab"), (4, ""), (5, None), (6, "abc")]
+    got = {r.doc_id: r.score for r in quality.classify(spark.createDataFrame(rows, "doc_id long, text string"), model).collect()}
+    assert all(0 <= got[i] <= 1 for i in (1, 2, 3, 6)) and got[4] is None and got[5] is None
+
+
+def test_the_sample_is_bounded_where_ids_repeat(spark):
+    """However often a labelled id stands, one text of it reaches the driver."""
+    docs = spark.createDataFrame([(1, f"text {i % 3}") for i in range(500)] + [(2, "other")] * 500, "doc_id long, text string")
+    labels = spark.createDataFrame([(1, 1), (2, 0)], "doc_id long, quality int")
+    assert quality.labelled_rows(docs, labels, "doc_id", "text", "quality", 20) == (["text 0", "other"], [1, 0])
+    tagged = spark.createDataFrame([(1, "wort", "de")] * 800 + [(2, "word", "en")] * 5, "doc_id long, text string, lang string")
+    assert sorted(zip(*language.training_rows(tagged, "lang", "text", "doc_id", 1000), strict=True)) == [(b"word", "en"), (b"wort", "de")]
+
+
 def test_quality_on_held_out_rows(labelled):
     table = labelled[2].sample(frac=1, random_state=4)
     train, test = table[:250], table[250:]

@@ -2,8 +2,8 @@
 
 A bounded sample of labelled rows gives the reference set. A document is a vector of
 hashed byte 3-grams and 6-grams of whole texts (log counts times inverse document
-frequency) beside a few columns for how concentrated those counts are, projected on the leading singular vectors of the reference matrix and
-brought to unit length. The labelled vectors are broadcast; every document is
+frequency) beside a few terms for how concentrated those counts are, projected on the
+leading singular vectors of the reference matrix and brought to unit length. The labelled vectors are broadcast; every document is
 compared with all of them by blocked matrix products, and its nearest neighbours vote
 with their similarities as weights.
 """
@@ -44,21 +44,32 @@ class Model:
     balance: np.ndarray  # (rows) 1 / share of the label in the sample
 
 
+def _hash(grams: list[np.ndarray], odd: int) -> np.ndarray:
+    """Features of n-grams given as n arrays of their bytes."""
+    h = np.zeros(len(grams[0]), np.uint32)
+    for g in grams:
+        h *= np.uint32(0x01000193)
+        h ^= g
+    h *= np.uint32(odd)
+    h >>= np.uint32(32 - FEATURES.bit_length() + 1)
+    return h
+
+
 def count_features(data: np.ndarray, offsets: np.ndarray) -> np.ndarray:
-    """(documents, FEATURES) counts of hashed byte 3-grams and 6-grams inside each document."""
+    """(documents, FEATURES) counts of hashed byte 3-grams and 6-grams inside each document; one or two bytes are a 3-gram with zero bytes after them."""
     docs = len(offsets) - 1
     out = np.zeros(docs * FEATURES, np.float32)
     sizes = np.diff(offsets)
+    brief = np.flatnonzero((sizes > 0) & (sizes < 3))
+    if len(brief):
+        ends = np.concatenate([data, np.zeros(1, np.uint8)])[offsets[brief] + 1]
+        grams = [data[offsets[brief]], np.where(sizes[brief] == 2, ends, 0), np.zeros(len(brief))]
+        np.add.at(out, brief * FEATURES + _hash([g.astype(np.uint32) for g in grams], 0x9E3779B1), 1)
     wide = data.astype(np.uint32)
     for n, odd in ((3, 0x9E3779B1), (6, 0x85EBCA77)):
         if len(data) < n:
             continue
-        h = np.zeros(len(data) - n + 1, np.uint32)
-        for k in range(n):
-            h *= np.uint32(0x01000193)
-            h ^= wide[k : len(data) - n + 1 + k]
-        h *= np.uint32(odd)
-        h >>= np.uint32(32 - FEATURES.bit_length() + 1)
+        h = _hash([wide[k : len(data) - n + 1 + k] for k in range(n)], odd)
         owner = np.repeat(np.arange(docs), sizes)[: len(h)]
         inside = np.arange(len(h)) + n <= offsets[1:][owner]
         out += np.bincount((owner * FEATURES + h)[inside], minlength=docs * FEATURES).astype(np.float32)
@@ -115,7 +126,7 @@ def fit_model(texts: list[str], labels: list[int], topics: int = TOPICS, seed: i
 
 
 def score_flat(model: Model, data: np.ndarray, offsets: np.ndarray, neighbours: int = NEIGHBOURS) -> np.ndarray:
-    """Weighted share of the good label among the nearest labelled rows of each document; NaN for no features."""
+    """Weighted share of the good label among the nearest labelled rows of each document; 0.5 if none is at all alike, NaN for an empty text."""
     out = np.full(len(offsets) - 1, np.nan)
     k = min(neighbours, len(model.labels))
     for at, x in feature_blocks(data, offsets, BLOCK):
@@ -127,7 +138,8 @@ def score_flat(model: Model, data: np.ndarray, offsets: np.ndarray, neighbours:
         near *= model.balance
         total = near.sum(1)
         with np.errstate(invalid="ignore", divide="ignore"):
-            out[at : at + len(x)] = np.where(total > 0, near @ model.labels / total, np.nan)
+            out[at : at + len(x)] = np.where(total > 0, near @ model.labels / total, 0.5)
+    out[np.diff(offsets) == 0] = np.nan
     return out
 
 
@@ -146,9 +158,9 @@ def labelled_rows(docs: DataFrame, labels: DataFrame, id_col: str, text_col: str
         return [], []
     ids = F.broadcast(docs.sparkSession.createDataFrame([(r[2], r[1]) for r in chosen], known.select("id", "label").schema))
     found = docs.select(docs[id_col].alias("id"), docs[text_col].cast("string").alias("text")).where("length(text) > 0").join(ids, "id")
-    rows = sorted((r["id"], r["label"], r["text"]) for r in found.collect())
-    first = {r[0]: r for r in reversed(rows)}  # of repeated ids one text
-    return [r[2] for r in first.values()], [r[1] for r in first.values()]
+    # of repeated ids one text, chosen where the rows are: no more than the sample reaches the driver
+    rows = sorted(map(tuple, found.groupBy("id", "label").agg(F.min("text").alias("text")).collect()))
+    return [r[2] for r in rows], [r[1] for r in rows]
 
 
 def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "quality", per_label: int = SAMPLE_ROWS_PER_LABEL) -> Model | None:
@@ -160,9 +172,10 @@ def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: st
 def classify(docs: DataFrame, model: Model | None, id_col: str = "doc_id", text_col: str = "text", min_score: float = MIN_SCORE) -> DataFrame:
     """(id, score, keep) for every row: score is the vote for good quality, keep says score >= min_score.
 
-    Cases: null texts, and texts too short to have a feature (under 3 bytes, empty),
-    have a null score and are not kept; without a model every score is null and every
-    row with text is kept, as nothing speaks against it; neighbours that tie with the
+    Cases: null and empty texts have a null score and are not kept; a text of one byte
+    is judged as any other; a text that no labelled row is alike at all has 0.5; without
+    a model every score is null and every row with text is kept, as nothing speaks
+    against it; neighbours that tie with the
     last one all vote; repeated rows and null ids give a row each; an empty table gives
     no rows; other columns are not carried.
     """
