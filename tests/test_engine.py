@@ -248,13 +248,53 @@ def test_constraints(spark):
     assert stores.resolve_bindings(binds, lib).first().path == "q"
 
 
-def test_the_rest_stands_without_the_optional_folders(tmp_path):
+_STANDS = """
+import sys, __spark_entry__ as e
+from pyspark.sql import SparkSession
+q, sql = e.queries(), e.oracle_sql()
+ops = [n for n in q if n.startswith("op") and n[2].isdigit()]
+assert len(q) > 60 and set(sql) <= set(q) and (len(ops), "pipeline" in q) == (int(sys.argv[1]), sys.argv[2] == "True"), (ops, "pipeline" in q)
+import tidelog.streaming.demos, tidelog.sources.ipc, tidelog.__main__
+s = SparkSession.builder.master("local[1]").config("spark.ui.enabled", "false").config("spark.sql.shuffle.partitions", "1").getOrCreate()
+assert e.entry(s).columns == ["execution_id", "status"] and q["log_tip"](s, "/root/testdata/sf0.001").first()[0] == 1000
+"""
+
+
+@pytest.mark.parametrize(
+    ("gone", "ops", "pipeline"),
+    [(("tidelog/llm", "tests/llm", "corpus_pipeline.py"), 0, False), (("tidelog/llm", "tests/llm"), 0, False), (("tidelog/llm/neardup.py",), 0, False), (("corpus_pipeline.py",), 10, False)],
+)
+def test_the_rest_stands_without_the_optional_parts(tmp_path, gone, ops, pipeline):
     root = Path(__file__).resolve().parents[1]
+    if not (root / "tidelog/llm").exists() and ops:
+        pytest.skip("the optional folders are not here")
     shutil.copytree(root, tmp_path / "r", ignore=shutil.ignore_patterns(".git", "__pycache__", ".pytest_cache", "spark-warehouse"))
-    shutil.rmtree(tmp_path / "r/tidelog/llm", ignore_errors=True)
-    (tmp_path / "r/corpus_pipeline.py").unlink(missing_ok=True)
-    done = subprocess.run([sys.executable, "-B", "-c", "import __spark_entry__ as e; q = e.queries(); assert len(q) > 60 and set(e.oracle_sql()) <= set(q) and not any(n.startswith('op') and n[2].isdigit() for n in q); import tidelog.streaming.demos, tidelog.sources.ipc, tidelog.__main__"], cwd=tmp_path / "r", capture_output=True, text=True, timeout=120)
-    assert done.returncode == 0, done.stderr
+    for name in gone:
+        at = tmp_path / "r" / name
+        shutil.rmtree(at) if at.is_dir() else at.unlink(missing_ok=True)
+    done = subprocess.run([sys.executable, "-B", "-c", _STANDS, str(ops), str(pipeline)], cwd=tmp_path / "r", capture_output=True, text=True, timeout=180)
+    assert done.returncode == 0, done.stderr[-3000:]
+
+
+def test_folders_of_a_run(spark, tmp_path):
+    """Scratch folders lie in the shared folder; a cluster without one is an error, not a folder on one machine."""
+    from tidelog import session
+
+    made = session.scratch_folder(spark, "kind")
+    assert made.startswith(session.shared_folder(spark) + "/kind-") and Path(made.removeprefix("file://")).is_dir()
+    session.remove_folder(spark, made)
+    assert not Path(made.removeprefix("file://")).exists()
+
+    class Cluster:
+        class conf:  # noqa: N801
+            get = staticmethod(lambda name, default: default)
+
+        class sparkContext:  # noqa: N801
+            master = "spark://host:7077"
+            getCheckpointDir = staticmethod(lambda: None)  # noqa: N815
+
+    with pytest.raises(InvalidState, match="share"):
+        session.shared_folder(Cluster)
 
 
 def test_every_row_is_a_query(spark):

@@ -1,22 +1,23 @@
 """Checksummed frames: magic, length, CRC-32, JSON body. Format "frames" reads folders of .frames files.
 
 A file that ends inside a frame keeps what came before it (a torn tail); a wrong magic
-or checksum is an error.
+or checksum is an error. Files are read by URI, frame by frame.
 """
 
 from __future__ import annotations
 
-import glob
-import os
+import io
 import struct
 import zlib
 from collections.abc import Iterator
+from typing import BinaryIO
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql.datasource import DataSource, DataSourceReader, InputPartition
 
 from tidelog.errors import StorageCorrupt
 from tidelog.session import ship
+from tidelog.sources.storage import list_files, open_folder
 
 MAGIC = b"TLF1"
 _HEAD = struct.Struct("<4sII")
@@ -28,12 +29,18 @@ def encode(body: bytes) -> bytes:
 
 def decode(raw: bytes, start: int = 0) -> Iterator[tuple[int, bytes]]:
     """(offset, body) of every whole frame from `start` on."""
-    at = start
-    while at + _HEAD.size <= len(raw):
-        magic, size, crc = _HEAD.unpack_from(raw, at)
+    f = io.BytesIO(raw)
+    f.seek(start)
+    return decode_stream(f, start)
+
+
+def decode_stream(f: BinaryIO, at: int = 0) -> Iterator[tuple[int, bytes]]:
+    """The same of a stream that stands at `at`; one frame is held at a time."""
+    while len(head := f.read(_HEAD.size)) == _HEAD.size:
+        magic, size, crc = _HEAD.unpack(head)
         if magic != MAGIC:
             raise StorageCorrupt(f"no frame begins at byte {at}")
-        body = raw[at + _HEAD.size : at + _HEAD.size + size]
+        body = f.read(size)
         if len(body) < size:
             return
         if zlib.crc32(body) != crc:
@@ -44,17 +51,16 @@ def decode(raw: bytes, start: int = 0) -> Iterator[tuple[int, bytes]]:
 
 class FramesReader(DataSourceReader):
     def __init__(self, path: str):
-        self.path = path.removeprefix("file://")
+        self.path = path
 
     def partitions(self) -> list[InputPartition]:
-        files = sorted(glob.glob(f"{self.path}/*.frames")) if os.path.isdir(self.path) else [self.path]
-        return [InputPartition(f) for f in files] or [InputPartition(None)]
+        return [InputPartition(f) for f, _ in list_files(self.path, (".frames",))] or [InputPartition(None)]
 
     def read(self, partition: InputPartition) -> Iterator[tuple[str, int, str]]:
         if partition.value is not None:
-            with open(partition.value, "rb") as f:
-                for at, body in decode(f.read()):
-                    yield os.path.basename(partition.value), at, body.decode()
+            with open_folder(self.path)[0].open_input_stream(partition.value, buffer_size=1 << 20) as f:
+                for at, body in decode_stream(f):
+                    yield partition.value.rsplit("/", 1)[-1], at, body.decode()
 
 
 class FramesSource(DataSource):

@@ -6,8 +6,6 @@
 
 from __future__ import annotations
 
-import glob
-import os
 from collections.abc import Iterator
 
 import pyarrow as pa
@@ -17,11 +15,11 @@ from pyspark.sql.datasource import DataSource, DataSourceReader, InputPartition
 from pyspark.sql.types import StructType
 
 from tidelog.session import ship
+from tidelog.sources.storage import list_files, open_folder, publish
 
 
 def _files(path: str) -> list[str]:
-    path = path.removeprefix("file://")
-    return sorted(glob.glob(f"{path}/*.arrow")) if os.path.isdir(path) else [path]
+    return [f for f, _ in list_files(path, (".arrow",))]
 
 
 class ArrowIpcReader(DataSourceReader):
@@ -34,7 +32,7 @@ class ArrowIpcReader(DataSourceReader):
     def read(self, partition: InputPartition) -> Iterator[pa.RecordBatch]:
         if partition.value is None:
             return
-        with pa.memory_map(partition.value) as f, pa.ipc.open_file(f) as reader:
+        with open_folder(self.path)[0].open_input_file(partition.value) as f, pa.ipc.open_file(f) as reader:
             if reader.schema.names != self.wanted.names:
                 raise ValueError(f"{partition.value}: the schema differs from the first file's")
             for i in range(reader.num_record_batches):
@@ -52,7 +50,7 @@ class ArrowIpcSource(DataSource):
         files = _files(self.options["path"])
         if not files:
             raise ValueError(f"{self.options['path']} holds no .arrow file")
-        with pa.memory_map(files[0]) as f, pa.ipc.open_file(f) as reader:
+        with open_folder(self.options["path"])[0].open_input_file(files[0]) as f, pa.ipc.open_file(f) as reader:
             return from_arrow_schema(reader.schema)
 
     def reader(self, schema: StructType) -> ArrowIpcReader:
@@ -68,22 +66,19 @@ def read_ipc(spark: SparkSession, path: str) -> DataFrame:
 def write_ipc(df: DataFrame, folder: str) -> DataFrame:
     """One .arrow file a task, complete or absent; returns (file, rows) and writes when that is run."""
     ship(df.sparkSession)
-    folder = folder.removeprefix("file://")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         name = f"part-{TaskContext.get().partitionId():06d}.arrow"
         first = next(batches, None)
         if first is None:
             return
-        os.makedirs(folder, exist_ok=True)
-        hidden, rows = f"{folder}/.{name}.{TaskContext.get().taskAttemptId()}", 0
-        with pa.OSFile(hidden, "wb") as f, pa.ipc.new_file(f, first.schema) as out:
+        rows = 0
+        with publish(folder, name) as f, pa.ipc.new_file(f, first.schema) as out:
             batch = first
             while batch is not None:
                 out.write_batch(batch)
                 rows += batch.num_rows
                 batch = next(batches, None)
-        os.replace(hidden, f"{folder}/{name}")
         yield pa.RecordBatch.from_arrays([pa.array([name]), pa.array([rows])], names=["file", "rows"])
 
     return df.mapInArrow(run, "file string, rows long")

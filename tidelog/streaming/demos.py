@@ -2,14 +2,12 @@
 
 from __future__ import annotations
 
-import uuid
-
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tidelog.operators import folds
 from tidelog.plans.lenses import LENSES, duck
-from tidelog.session import shared_folder
+from tidelog.session import hadoop_path, scratch_folder
 from tidelog.streaming import feeds, groups
 
 
@@ -17,8 +15,8 @@ def _events(spark: SparkSession, sf: str) -> DataFrame:
     """The events as a stream, whether the table is a folder or one file (which a stream reads by its folder and name)."""
     path = f"{sf}/events.parquet"
     reader = spark.readStream.schema(spark.read.parquet(path).schema)
-    at = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
-    if at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).getFileStatus(at).isDirectory():
+    fs, at = hadoop_path(spark, path)
+    if fs.getFileStatus(at).isDirectory():
         return reader.parquet(path)
     return reader.option("recursiveFileLookup", "true").option("pathGlobFilter", "events.parquet").parquet(sf)
 
@@ -28,20 +26,16 @@ def _through(spark: SparkSession, sf: str, name: str) -> DataFrame:
     return spark.sql(LENSES[name], events=_events(spark, sf))
 
 
-def _folder(spark: SparkSession, name: str) -> str:
-    return f"{shared_folder(spark)}/{name}-{uuid.uuid4()}"
-
-
 def fold_available_now(spark: SparkSession, sf: str) -> DataFrame:
     """Execution states from an incrementally materialised log."""
-    folder = _folder(spark, "fold")
+    folder = scratch_folder(spark, "fold")
     feeds.materialise(_through(spark, sf, "event_log"), f"{folder}/log", f"{folder}/checkpoint").awaitTermination()
     return folds.fold_executions(spark.read.parquet(f"{folder}/log"))
 
 
 def routed_by_shard(spark: SparkSession, sf: str) -> DataFrame:
     """Records of one subject filter past a cursor, routed to a folder for each shard."""
-    folder = _folder(spark, "routed")
+    folder = scratch_folder(spark, "routed")
     rows = _through(spark, sf, "stream").where(F.col("sequence") > 100)
     from tidelog.functions.subjects import subject_matches
 
@@ -57,7 +51,7 @@ CASE WHEN event_type IN ('view', 'click') THEN event_id + 1 ELSE NULL END AS seq
 
 def group_redelivery(spark: SparkSession, sf: str) -> DataFrame:
     """Deliveries of a consumer group with redelivery after 40 ticks."""
-    folder = _folder(spark, "group")
+    folder = scratch_folder(spark, "group")
     script = spark.sql(SCRIPT_LENS, events=_events(spark, sf))
     feeds.append_to(groups.deliver(script, 40), f"{folder}/out", f"{folder}/checkpoint").awaitTermination()
     return spark.read.schema(groups.DELIVERIES).parquet(f"{folder}/out")
