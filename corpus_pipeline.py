@@ -6,13 +6,12 @@ Parquet and read again as the next one's docs.
 
 from __future__ import annotations
 
-import uuid
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
 from tidelog.llm import bpe, language, mixing, neardup, quality
-from tidelog.llm.shared import ensure_checkpoint_dir
+from tidelog.session import remove_folder, scratch_folder
 
 Stage = Callable[[SparkSession, DataFrame, str], DataFrame]
 
@@ -58,8 +57,11 @@ ORACLE_SQL: str | None = None
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     """STAGES applied to documents, with a Parquet table in the shared folder between stages."""
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
-    folder = f"{ensure_checkpoint_dir(spark).rstrip('/')}/pipeline-{uuid.uuid4()}"
+    folder, before = scratch_folder(spark, "pipeline"), None
     for name, stage in STAGES[:-1]:
         stage(spark, docs, sf_dir).write.parquet(f"{folder}/{name}")
         docs = spark.read.parquet(f"{folder}/{name}")
+        if before is not None:
+            remove_folder(spark, before)
+        before = f"{folder}/{name}"
     return STAGES[-1][1](spark, docs, sf_dir)

@@ -12,7 +12,8 @@ import pytest
 from pyspark.sql import functions as F
 from pyspark.sql.datasource import EqualTo, In, StringStartsWith
 
-from tidelog.llm import files, media, warc
+from tidelog.llm import media, warc
+from tidelog.sources import storage as files
 
 MEMBERS = {f"dir/file-{i}-é.bin": bytes([i % 251]) * (i * 137 % 5000) + b"\x89PNG" for i in range(60)} | {"empty": b"", "big": b"RIFF\0\0\0\0WAVE" + b"s" * 3_000_000}
 
@@ -41,6 +42,103 @@ def test_members_of_archives(spark, folder, range_bytes):
     assert df.where("media_type = 'audio/wav'").count() == 2 and df.where("attempts <> 1 or error is not null").isEmpty()
 
 
+def test_tar_sizes_and_global_records(spark, tmp_path):
+    """Sizes in PAX records count, global ones too; links, folders and long link names are passed over."""
+    with open(tmp_path / "B.TAR", "wb") as out:
+        for name, body in (("x", b"1" * 700), ("y", b"2" * 3), ("", b""), ("z" * 300, b"3" * 513)):
+            if not name:
+                record = b"20 comment=anything\n"
+                head = tarfile.TarInfo("global")
+                head.type, head.size = tarfile.XGLTYPE, len(record)
+                out.write(head.tobuf(tarfile.USTAR_FORMAT) + record.ljust(512, b"\0"))
+                continue
+            info = tarfile.TarInfo(name)
+            info.pax_headers = {"size": str(len(body))}
+            info.size = len(body)
+            raw = bytearray(info.tobuf(tarfile.PAX_FORMAT))
+            raw[-512 + 124 : -512 + 136] = b"0" * 11 + b"\0"  # the header itself has no size
+            raw[-512 + 148 : -512 + 156] = b" " * 8
+            raw[-512 + 148 : -512 + 156] = b"%06o\0 " % sum(raw[-512:])
+            out.write(raw + body.ljust(-(-len(body) // 512) * 512, b"\0"))
+        out.write(bytes(1024))
+    with tarfile.open(tmp_path / "c.tar", "w", format=tarfile.GNU_FORMAT) as t:
+        for kind, name, target in ((tarfile.DIRTYPE, "d", ""), (tarfile.SYMTYPE, "link", "t" * 200), (tarfile.LNKTYPE, "hard", "h"), (tarfile.REGTYPE, "n" * 150, ""), (tarfile.FIFOTYPE, "f", "")):
+            info = tarfile.TarInfo(name)
+            info.type, info.linkname = kind, target
+            t.addfile(info, io.BytesIO(b""))
+    with tarfile.open(tmp_path / "B.TAR") as t:
+        assert {m.name: m.size for m in t} == {"x": 700, "y": 3, "z" * 300: 513}
+    for size in (1, 1 << 20):
+        rows = media.read_media(spark, str(tmp_path), range_bytes=size).collect()
+        assert {(r.archive, r.member): bytes(r.payload) for r in rows} == {("B.TAR", "x"): b"1" * 700, ("B.TAR", "y"): b"2" * 3, ("B.TAR", "z" * 300): b"3" * 513, ("c.tar", "n" * 150): b""}
+
+
+class Counted:
+    def __init__(self, f):
+        self.f, self.reads = f, 0
+
+    def read(self, n):
+        self.reads += 1
+        return self.f.read(n)
+
+    def __getattr__(self, name):
+        return getattr(self.f, name)
+
+    def __enter__(self):
+        return self
+
+    def __exit__(self, *how):
+        self.f.close()
+
+
+@pytest.mark.parametrize("kind", ["zip", "tar"])
+def test_directories_are_read_once(tmp_path, kind, monkeypatch):
+    """Reads of headers grow with the members, not with members times ranges; every handle is closed."""
+    seen = {}
+    for n in (200, 800):
+        path = tmp_path / f"{n}.{kind}"
+        if kind == "zip":
+            with zipfile.ZipFile(path, "w") as z:
+                for i in range(n):
+                    z.writestr(f"m{i}", bytes(500))
+        else:
+            with tarfile.open(path, "w") as t:
+                for i in range(n):
+                    info = tarfile.TarInfo(f"m{i}")
+                    info.size = 500
+                    t.addfile(info, io.BytesIO(bytes(500)))
+        opened = []
+
+        class Local:
+            def open_input_file(self, at):
+                opened.append(Counted(open(at, "rb")))
+                return opened[-1]
+
+        monkeypatch.setattr(media, "open_folder", lambda uri: (Local(), uri))
+        for payload in ("false", "true"):
+            opened.clear()
+            reader = media.MediaReader({"path": str(path), "range_bytes": "5000", "payload": payload})
+            parts = reader.partitions()
+            rows = [r for p in parts for b in reader.read(p) for r in b.to_pylist()]
+            assert len(parts) == n // 10 and len(rows) == n and {r["member"] for r in rows} == {f"m{i}" for i in range(n)}
+            assert all((r["payload"] is None) == (payload == "false") for r in rows) and all(f.f.closed for f in opened)
+            seen[n, payload] = sum(f.reads for f in opened)
+    assert seen[800, "false"] <= 4.2 * seen[200, "false"] and seen[800, "true"] <= 4.2 * seen[200, "true"]
+
+
+def test_what_is_no_archive(spark, tmp_path):
+    for name, raw, said in (("a.zip", b"", "empty file"), ("a.tar", b"", "empty file"), ("a.zip", b"x" * 100, "central directory"), ("a.tar", b"x" * 600, "bad"), ("a.tar.gz", b"x", "compressed as a whole"), ("A.TGZ", b"x", "compressed as a whole")):
+        (tmp_path / name).write_bytes(raw)
+        with pytest.raises(Exception, match=said):
+            media.read_media(spark, str(tmp_path)).collect()
+        (tmp_path / name).unlink()
+    with zipfile.ZipFile(tmp_path / "none.zip", "w"):
+        pass
+    with tarfile.open(tmp_path / "none.tar", "w"):
+        pass
+    assert media.read_media(spark, str(tmp_path)).collect() == []
+
+
 def test_a_broken_member_does_not_touch_the_others(spark, folder, tmp_path):
     raw = bytearray((folder / "a.zip").read_bytes())
     with zipfile.ZipFile(folder / "a.zip") as z:

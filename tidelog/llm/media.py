@@ -1,26 +1,29 @@
 """Operator 2: media columns. A Spark data source over folders of ZIP and TAR archives.
 
-Partitions are byte ranges of the archives, planned from file sizes alone. A task
-reads the archive's directory (the ZIP central directory, or the chain of TAR
-headers), takes the members whose headers lie in its range, in offset order, and
-streams their payloads in bounded Arrow batches. A member that fails to read or to
-match its checksum is tried again by its offset, without touching the others; when
-its attempts are spent, its row has a null payload and the error.
+Partitions are byte ranges. Planning walks each archive's directory once (the ZIP
+central directory, or the chain of TAR headers), several archives at a time, and cuts it
+where the members so far hold about RANGE_BYTES: a partition is a slice of the central
+directory, or the bytes from one TAR header to another. So a task reads only its own
+part of a directory, whatever the archive's size, and streams payloads in offset order
+in bounded Arrow batches. A member that fails to read or to match its checksum is tried
+again by its offset, without touching the others; when its attempts are spent, its row
+has a null payload and the error.
 
     spark.dataSource.register(MediaSource)
     spark.read.format("media").option("path", folder).load()
 
 Options: path; range_bytes (default 32 MB); batch_bytes (8 MB); attempts (3); mode
-"permissive" (default) or "failfast".
+"permissive" (default) or "failfast"; payload ("true"), with "false" only directories are
+read, as Spark tells a Python source nothing about the columns it needs.
 """
 
 from __future__ import annotations
 
 import struct
 import time
-import uuid
 import zlib
 from collections.abc import Iterator
+from concurrent.futures import ThreadPoolExecutor
 from dataclasses import dataclass
 
 import pyarrow as pa
@@ -30,13 +33,17 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.datasource import DataSource, DataSourceReader, InputPartition
 
-from tidelog.llm.files import list_files, open_folder, publish
-from tidelog.llm.shared import cut, ensure_checkpoint_dir, map_arrow
-from tidelog.session import ship
+from tidelog.llm.shared import cut, map_arrow
+from tidelog.session import scratch_folder, ship
+from tidelog.sources.storage import list_files, open_folder, publish
 
 RANGE_BYTES = 32 << 20
 BATCH_BYTES = 8 << 20
 ATTEMPTS = 3
+#: Archives whose directories are walked at a time; bytes read of a directory at once.
+PLANNERS = 16
+_STEP = 1 << 20
+_COMPRESSED = tuple(f"{a}{b}" for a in (".tar", ".t") for b in (".gz", ".bz2", ".xz", ".zst", "gz", "bz2", "xz", "zst"))
 SCHEMA = "archive string, member string, offset long, size long, crc32 long, media_type string, payload binary, attempts int, error string"
 _ARROW = pa.schema([("archive", pa.string()), ("member", pa.string()), ("offset", pa.int64()), ("size", pa.int64()), ("crc32", pa.int64()), ("media_type", pa.string()), ("payload", pa.binary()), ("attempts", pa.int32()), ("error", pa.string())])
 _MAGIC = ((b"\x89PNG\r\n\x1a\n", "image/png"), (b"\xff\xd8\xff", "image/jpeg"), (b"GIF8", "image/gif"), (b"%PDF", "application/pdf"), (b"OggS", "audio/ogg"), (b"ID3", "audio/mpeg"), (b"fLaC", "audio/flac"), (b"\x1f\x8b", "application/gzip"))
@@ -70,17 +77,17 @@ class Member:
 @dataclass
 class Range(InputPartition):
     path: str
-    length: int
-    start: int
+    start: int  # in a ZIP of its central directory, in a TAR of its first header
     end: int
+    extra: dict[str, str]  # what PAX global headers before it said
 
 
 class ArchiveError(OSError):
     pass
 
 
-def zip_directory(f, length: int) -> list[Member]:
-    """Members by the central directory, ZIP64 fields included."""
+def zip_directory(f, length: int) -> tuple[int, int, int]:
+    """(offset, size, members) of the central directory, ZIP64 fields included."""
     tail_at = max(0, length - 65_557)
     f.seek(tail_at)
     tail = f.read(length - tail_at)
@@ -92,14 +99,24 @@ def zip_directory(f, length: int) -> list[Member]:
         where = struct.unpack_from("<Q", tail, tail.rfind(b"PK\x06\x07", 0, at) + 8)[0]
         f.seek(where)
         count, size, begin = struct.unpack_from("<QQQ", f.read(56), 32)
-    f.seek(begin)
-    raw, at, out = f.read(size), 0, []
-    for _ in range(count):
-        if raw[at : at + 4] != b"PK\x01\x02":
+    return begin, size, count
+
+
+def zip_entries(f, start: int, end: int) -> Iterator[tuple[int, int, Member | None]]:
+    """(begin, end, member) of the entries of a central directory's slice; None for folders."""
+    at, raw, base = start, b"", start
+    while at < end:
+        if at + 46 > base + len(raw) or at + 46 + sum(struct.unpack_from("<HHH", raw, at - base + 28)) > base + len(raw):
+            f.seek(at)
+            raw, base = f.read(min(end - at, _STEP)), at
+        here = at - base
+        if raw[here : here + 4] != b"PK\x01\x02" or len(raw) < here + 46:
             raise ArchiveError("bad central directory entry")
-        flags, method, crc, stored, full, n, m, k, offset = struct.unpack_from("<HH4xIIIHHH8xI", raw, at + 8)
-        name = raw[at + 46 : at + 46 + n].decode("utf-8" if flags & 0x800 else "cp437")
-        extra, e = raw[at + 46 + n : at + 46 + n + m], 0
+        flags, method, crc, stored, full, n, m, k, offset = struct.unpack_from("<HH4xIIIHHH8xI", raw, here + 8)
+        if len(raw) < here + 46 + n + m + k:
+            raise ArchiveError("bad central directory entry")
+        name = raw[here + 46 : here + 46 + n].decode("utf-8" if flags & 0x800 else "cp437")
+        extra, e = raw[here + 46 + n : here + 46 + n + m], 0
         while e + 4 <= len(extra):
             kind, width = struct.unpack_from("<HH", extra, e)
             if kind == 1:
@@ -108,46 +125,102 @@ def zip_directory(f, length: int) -> list[Member]:
                 stored = wide.pop(0) if stored == 0xFFFFFFFF else stored
                 offset = wide.pop(0) if offset == 0xFFFFFFFF else offset
             e += 4 + width
-        if not name.endswith("/"):
-            out.append(Member(name, offset, stored, full, crc, method))
-        at += 46 + n + m + k
+        past = at + 46 + n + m + k
+        yield at, past, None if name.endswith("/") else Member(name, offset, stored, full, crc, method)
+        at = past
+
+
+def pax_records(body: bytes) -> dict[str, str]:
+    out = {}
+    while body and body[:1] != b"\0":
+        digits, _, rest = body.partition(b" ")
+        if not digits.isdigit() or not 0 < int(digits) <= len(body):
+            raise ArchiveError("bad PAX record")
+        key, _, value = rest[: int(digits) - len(digits) - 1].rstrip(b"\n").partition(b"=")
+        out[key.decode()] = value.decode("utf-8", "replace")
+        body = body[int(digits) :]
     return out
 
 
-def tar_directory(f, length: int) -> list[Member]:
-    """Members by the chain of headers; only headers are read. GNU and PAX long names are known."""
-    at, out, long_name = 0, [], None
-    while at + 512 <= length:
+def _number(field: bytes) -> int:
+    if field[0] & 0x80:
+        return int.from_bytes(field[1:], "big")
+    text = field.strip(b"\0 ")
+    if text and not text.isdigit():
+        raise ArchiveError("bad number in a header")
+    return int(text or b"0", 8)
+
+
+def tar_entries(f, start: int, end: int, extra: dict[str, str]) -> Iterator[tuple[int, int, Member | None]]:
+    """(begin, end, member) along the chain of headers from `start`; None for what is no regular file. Begin is that of the first header that belongs to the member.
+
+    Only headers are read. GNU long names and PAX records are known: a PAX size counts
+    before the header's, and global records (`extra`, which is updated) before both lack.
+    """
+    at, begin, own, long_name = start, start, {}, None
+    while at + 512 <= end:
         f.seek(at)
         head = f.read(512)
         if head == bytes(512):
-            break
-        if sum(head[:148]) + 8 * 32 + sum(head[156:]) != int(head[148:156].strip(b"\0 ") or b"0", 8):
+            return
+        if sum(head[:148]) + 8 * 32 + sum(head[156:]) != _number(head[148:156]):
             raise ArchiveError(f"bad header at {at}")
-        size = int.from_bytes(head[125:136], "big") if head[124] & 0x80 else int(head[124:136].strip(b"\0 ") or b"0", 8)
-        kind = head[156:157]
-        if kind in (b"L", b"x"):
+        size, kind = _number(head[124:136]), head[156:157]
+        if kind in b"LKxg":
+            if size > _STEP:
+                raise ArchiveError(f"an extended header of {size} bytes at {at}")
             body = f.read(size)
             if kind == b"L":
-                long_name = body.rstrip(b"\0").decode()
-            else:
-                while body:
-                    n = int(body.split(b" ", 1)[0])
-                    key, _, value = body[:n].split(b" ", 1)[1].rstrip(b"\n").partition(b"=")
-                    long_name = value.decode() if key == b"path" else long_name
-                    body = body[n:]
+                long_name = body.split(b"\0")[0].decode("utf-8", "replace")
+            elif kind == b"x":
+                own = pax_records(body)
+            elif kind == b"g":
+                extra.update(pax_records(body))
         else:
-            if kind in (b"0", b"\0"):
+            if kind == b"S":
+                raise ArchiveError(f"a sparse member at {at} is not supported")
+            said = extra | own
+            size = int(said["size"]) if said.get("size", "").isdigit() else size
+            name = said.get("path") or long_name
+            if not name:
                 prefix = head[345:500].rstrip(b"\0") if head[257:262] == b"ustar" and head[263:265] != b" \0" else b""
-                name = head[:100].split(b"\0")[0]
-                out.append(Member(long_name or ((prefix + b"/" if prefix else b"") + name).decode(), at, size, size, None, 0))
-            long_name = None
+                name = ((prefix + b"/" if prefix else b"") + head[:100].split(b"\0")[0]).decode("utf-8", "replace")
+            size = size if kind in b"0\x007" or not kind.isdigit() else 0  # links, folders and devices have no bytes
+            past = at + 512 + -(-size // 512) * 512
+            regular = kind in b"0\x007" and not (kind == b"\0" and name.endswith("/"))  # old archives mark folders so
+            yield begin, past, Member(name, at, size, size, None, 0) if regular else None
+            own, long_name, begin = {}, None, past
         at += 512 + -(-size // 512) * 512
-    return out
 
 
-def directory(f, path: str, length: int) -> list[Member]:
-    return zip_directory(f, length) if path.endswith(".zip") else tar_directory(f, length)
+def entries(f, path: str, start: int, end: int, extra: dict[str, str]) -> Iterator[tuple[int, int, Member | None]]:
+    return zip_entries(f, start, end) if is_zip(path) else tar_entries(f, start, end, extra)
+
+
+def is_zip(path: str) -> bool:
+    return path.lower().endswith(".zip")
+
+
+def plan(fs, path: str, length: int, range_bytes: int) -> list[Range]:
+    """The partitions of one archive, by one walk of its directory."""
+    try:
+        if not length:
+            raise ArchiveError("an empty file is no archive")
+        with fs.open_input_file(path) as f:
+            start, end = 0, length
+            if is_zip(path):
+                start, size, _ = zip_directory(f, length)
+                end = start + size
+            out, extra, before, held, at, last = [], {}, {}, 0, start, start
+            for begin, past, m in entries(f, path, start, end, extra):
+                if held >= range_bytes:
+                    out.append(Range(path, at, begin, before))
+                    at, held, before = begin, 0, dict(extra)
+                held += m.stored if m else 0
+                last = past
+            return [*out, Range(path, at, last, before)] if last > at else out
+    except ArchiveError as e:
+        raise ArchiveError(f"{path}: {e}") from e
 
 
 def read_member(f, m: Member, is_zip: bool) -> bytes:
@@ -186,37 +259,49 @@ class MediaReader(DataSourceReader):
         self.batch_bytes = int(options.get("batch_bytes", BATCH_BYTES))
         self.attempts = int(options.get("attempts", ATTEMPTS))
         self.failfast = options.get("mode", "permissive").lower() == "failfast"
+        self.with_payload = options.get("payload", "true").lower() != "false"
 
     def partitions(self) -> list[Range]:
-        found = list_files(self.path, (".zip", ".tar"))
-        return [Range(p, n, at, min(n, at + self.range_bytes)) for p, n in found for at in range(0, n, self.range_bytes)] or [Range("", 0, 0, 0)]
+        found = list_files(self.path, (".zip", ".tar", *_COMPRESSED))
+        for path, _ in found:
+            if path.lower().endswith(_COMPRESSED):
+                raise ArchiveError(f"{path}: an archive compressed as a whole cannot be read by ranges")
+        fs, _ = open_folder(self.path)
+        with ThreadPoolExecutor(PLANNERS) as pool:
+            planned = pool.map(lambda x: plan(fs, *x, self.range_bytes), found)
+            return [r for own in planned for r in own] or [Range("", 0, 0, {})]
 
     def read(self, part: Range) -> Iterator[pa.RecordBatch]:
         if not part.path:
             return
         fs, _ = open_folder(self.path)
-        rows, held = [], 0
+        rows, held, archive = [], 0, part.path.rsplit("/", 1)[-1]
         opened = fs.open_input_file(part.path)
-        members = sorted((m for m in directory(opened, part.path, part.length) if part.start <= m.offset < part.end), key=lambda m: m.offset)
-        for m in members:
-            payload = error = None
-            tries = 0
-            while payload is None and tries < self.attempts:
-                tries += 1
-                try:
-                    payload = read_member(opened, m, part.path.endswith(".zip"))
-                    error = None
-                except OSError as e:
-                    error = f"{type(e).__name__}: {e}"
-                    time.sleep(0.05 * (tries - 1))
-                    opened = fs.open_input_file(part.path)
-            if error and self.failfast:
-                raise ArchiveError(f"{part.path}, {m.name} at {m.offset}: {error}")
-            rows.append((part.path.rsplit("/", 1)[-1], m.name, m.offset, m.size, None if payload is None else zlib.crc32(payload), None if payload is None else media_type(payload), payload, tries, error))
-            held += m.size + 200
-            if held >= self.batch_bytes:
-                yield _batch(rows)
-                rows, held = [], 0
+        try:
+            members = [m for _, _, m in entries(opened, part.path, part.start, part.end, dict(part.extra)) if m]
+            for m in sorted(members, key=lambda m: m.offset):
+                payload = error = None
+                tries = 0
+                while self.with_payload and payload is None and tries < self.attempts:
+                    tries += 1
+                    try:
+                        payload = read_member(opened, m, is_zip(part.path))
+                        error = None
+                    except OSError as e:
+                        error = f"{type(e).__name__}: {e}"
+                        time.sleep(0.05 * (tries - 1))
+                        opened.close()
+                        opened = fs.open_input_file(part.path)
+                if error and self.failfast:
+                    raise ArchiveError(f"{part.path}, {m.name} at {m.offset}: {error}")
+                crc = zlib.crc32(payload) if payload is not None else None if self.with_payload else m.crc
+                rows.append((archive, m.name, m.offset, m.size, crc, None if payload is None else media_type(payload), payload, tries, error))
+                held += 200 + (m.size if payload is not None else 0)
+                if held >= self.batch_bytes:
+                    yield _batch(rows)
+                    rows, held = [], 0
+        finally:
+            opened.close()
         if rows:
             yield _batch(rows)
 
@@ -240,12 +325,16 @@ class MediaSource(DataSource):
 
 
 def read_media(spark: SparkSession, path: str, **options) -> DataFrame:
-    """(archive, member, offset, size, crc32, media_type, payload, attempts, error): a row for each member of the .zip and .tar files below `path`.
+    """(archive, member, offset, size, crc32, media_type, payload, attempts, error): a row for each member of the .zip and .tar files below `path`, whatever the case of their names' ends.
 
     Cases: an empty folder gives no rows, a missing one is an error; an empty member has
     an empty payload; members of one name are all returned, told apart by offset; a broken
-    member has a null payload, crc32 and media_type and an error (mode failfast raises); an archive whose
-    directory cannot be read is an error; directories inside archives are no members.
+    member has a null payload, crc32 and media_type and an error (mode failfast raises); an
+    archive whose directory cannot be read is an error, so are a file of no bytes, a TAR
+    that is compressed as a whole, and GNU sparse members; folders, links and devices
+    inside archives are no members; an archive without members gives no rows. With
+    payload=false, payload and media_type are null, attempts are 0, and crc32 is that of
+    the ZIP directory.
     """
     ship(spark)
     spark.dataSource.register(MediaSource)
@@ -305,9 +394,8 @@ def page_media(spark: SparkSession, pages: DataFrame) -> DataFrame:
 
     Cases: as in write_archives() and read_media(); pages with a null id or null html have no member and so no row.
     """
-    folder = f"{ensure_checkpoint_dir(spark).rstrip('/')}/media-{uuid.uuid4()}"
+    folder = scratch_folder(spark, "media")
     named = pages.withColumn("__member", F.concat(F.lit("pages/"), F.col("page_id").cast("string"), F.lit(".html")))
-    if cut(write_archives(named, folder, "__member", "html")).isEmpty():
-        open_folder(folder)[0].create_dir(open_folder(folder)[1], recursive=True)
+    cut(write_archives(named, folder, "__member", "html"))
     found = read_media(spark, folder)
     return found.select(F.regexp_extract("member", r"pages/(-?\d+)\.html", 1).cast("long").alias("page_id"), "member", "size", "media_type", F.md5("payload").alias("md5"), F.decode("payload", "UTF-8").alias("body"), "error")

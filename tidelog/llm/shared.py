@@ -10,8 +10,6 @@ from pyspark.sql.types import StructType
 
 from tidelog.session import shared_folder, ship
 
-ensure_checkpoint_dir = shared_folder
-
 
 def cut(df: DataFrame) -> DataFrame:
     """df written once to the shared folder, so a lost executor costs a read and not the work before it."""

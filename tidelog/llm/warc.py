@@ -15,7 +15,6 @@ Pushdown asks for spark.sql.python.filterPushdown.enabled; read_warc() sets it.
 from __future__ import annotations
 
 import struct
-import uuid
 import zlib
 from collections.abc import Iterator
 
@@ -25,9 +24,9 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.datasource import DataSource, DataSourceReader, EqualTo, Filter, In, InputPartition, IsNotNull, StringStartsWith
 
-from tidelog.llm.files import list_files, open_folder, publish
-from tidelog.llm.shared import cut, ensure_checkpoint_dir, map_arrow
-from tidelog.session import ship
+from tidelog.llm.shared import cut, map_arrow
+from tidelog.session import scratch_folder, ship
+from tidelog.sources.storage import list_files, open_folder, publish
 
 BATCH_BYTES = 8 << 20
 SCHEMA = "file string, offset long, record_type string, record_id string, target_uri string, date string, content_type string, content_length long, headers map<string,string>, payload binary"
@@ -322,9 +321,8 @@ def page_responses(spark: SparkSession, pages: DataFrame) -> DataFrame:
 
     Cases: as in write_pages() and read_warc().
     """
-    folder = f"{ensure_checkpoint_dir(spark).rstrip('/')}/warc-{uuid.uuid4()}"
-    if cut(write_pages(pages, folder)).isEmpty():
-        open_folder(folder)[0].create_dir(open_folder(folder)[1], recursive=True)
+    folder = scratch_folder(spark, "warc")
+    cut(write_pages(pages, folder))
     found = read_warc(spark, folder).where("record_type = 'response'")
     text = F.decode("payload", "UTF-8")
     at = F.instr(text, "\r\n\r\n")
