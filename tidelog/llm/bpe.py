@@ -102,6 +102,17 @@ class Vocabulary:
             ids[at : at + 2] = [rank]
         return ids[0], ids[1]
 
+    def halves(self) -> tuple[np.ndarray, np.ndarray]:
+        """For every token the two that its last merge joins; -1, -1 for a single byte."""
+        left, right = np.full(self.size, -1, np.int32), np.full(self.size, -1, np.int32)
+        own = np.flatnonzero((self.lengths > 1) & (self.lengths <= LONG_PIECE))
+        for limit in (4, 8, 16, LONG_PIECE):
+            chosen = own[(self.lengths[own] <= limit) & (left[own] < 0)]
+            self._merge_block(self.tokens, chosen, limit, [b""] * self.size, (left, right))
+        for i in np.flatnonzero(self.lengths > LONG_PIECE).tolist():
+            left[i], right[i] = self.last_merge(self.tokens[i])
+        return left, right
+
     def merge_many(self, words: list[bytes]) -> list[bytes]:
         """int32 bytes of the tokens of each word."""
         out: list[bytes] = [b""] * len(words)
@@ -116,7 +127,10 @@ class Vocabulary:
             out[i] = np.array(self.merge_one(words[i]), np.int32).tobytes()
         return out
 
-    def _merge_block(self, words: list[bytes], chosen: np.ndarray, width: int, out: list[bytes]) -> None:
+    def _merge_block(self, words: list[bytes], chosen: np.ndarray, width: int, out: list[bytes], pairs: tuple[np.ndarray, np.ndarray] | None = None) -> None:
+        """Tokens of words[i] for i of chosen into out[i]; into `pairs` the two tokens that are left before the last merge."""
+        if not len(chosen):
+            return
         raw = np.frombuffer(b"".join(words[i].ljust(width, b"\0") for i in chosen.tolist()), np.uint8).reshape(-1, width)
         count = np.array([len(words[i]) for i in chosen.tolist()])
         ids = self.byte[raw]
@@ -138,6 +152,9 @@ class Vocabulary:
                 rows = np.arange(len(best))
                 if not len(where):
                     return
+            if pairs is not None:
+                two = count == 2
+                pairs[0][where[two]], pairs[1][where[two]] = ids[two, 0], ids[two, 1]
             past = columns[None, :-1] > best[:, None]
             ids[:, :-1] = np.where(past, ids[:, 1:], ids[:, :-1])
             rank[:, :-1] = np.where(past, rank[:, 1:], rank[:, :-1])
