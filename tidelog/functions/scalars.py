@@ -104,11 +104,6 @@ def shard_for(execution_id: Column, shards: int) -> Column:
     return shard(execution_id)
 
 
-def shard_of_sequence(key: Column, shards: int) -> Column:
-    """A shard by Spark's own hash, for plans that need not agree with other writers; stays in generated code."""
-    return F.pmod(F.xxhash64(key), F.lit(shards)).cast("int")
-
-
 def encode_key(*parts: Column) -> Column:
     return F.concat_ws(UNIT_SEPARATOR, *parts)
 

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from tidelog.errors import InvalidState
 from tidelog.functions.subjects import subject_matches
+from tidelog.operators.numbering import number, previous
 
 
 def after_cursor(log: DataFrame, seq: str, cursor: int) -> DataFrame:
@@ -47,17 +48,34 @@ def acknowledge(consumers: DataFrame, consumer: str, sequence: int, tip: int, st
     return consumers.withColumn("acked", F.when(F.col("consumer") == consumer, F.lit(sequence).cast("long")).otherwise(F.col("acked")))
 
 
+def acknowledge_each(consumers: DataFrame, acks: DataFrame, log: DataFrame, seq: str = "sequence", strict: bool = True) -> DataFrame:
+    """(consumer, acked, outcome) for acknowledgements (consumer, sequence), one a consumer, and the cursors they leave.
+
+    outcome is 'moved', 'unchanged' (no acknowledgement), 'refused: no consumer',
+    'refused: beyond the tip', and for a cursor that would go back 'refused: backwards' if
+    `strict`, else 'ignored'. What is refused or ignored leaves the cursor as it was.
+    """
+    tip = log.agg(F.coalesce(F.max(seq), F.lit(0)).alias("__tip"))
+    state = consumers.select("consumer", F.coalesce("acked", F.lit(0)).alias("acked"), F.lit(True).alias("__there"))
+    both = state.join(acks.select("consumer", F.col("sequence").alias("__to")), "consumer", "full_outer").crossJoin(tip)
+    back = F.lit("refused: backwards" if strict else "ignored")
+    outcome = (
+        F.when(F.col("__there").isNull(), "refused: no consumer").when(F.col("__to").isNull(), "unchanged").when(F.col("__to") > F.col("__tip"), "refused: beyond the tip")
+        .when(F.col("__to") < F.col("acked"), back).otherwise("moved")
+    )
+    return both.select("consumer", F.when(outcome == "moved", F.col("__to")).otherwise(F.col("acked")).alias("acked"), outcome.alias("outcome"))
+
+
 def interest_ceiling(consumers: DataFrame) -> DataFrame:
     """One row: the least cursor of all consumers (missing ones are 0); null without consumers."""
     return consumers.agg(F.min(F.coalesce("acked", F.lit(0))).cast("long").alias("ceiling"))
 
 
 def lag(log: DataFrame, cursors: DataFrame, shard: str, seq: str) -> DataFrame:
-    """(shard, lag) with a total row of shard null: records past each shard's committed cursor."""
-    joined = log.select(shard, seq).join(cursors, shard, "left").where(F.col(seq) > F.coalesce("committed", F.lit(0)))
-    shards = log.select(shard).distinct()
-    counted = shards.join(joined.groupBy(shard).agg(F.count("*").alias("lag")), shard, "left").select(shard, F.coalesce("lag", F.lit(0)).alias("lag"))
-    return counted.unionByName(counted.agg(F.lit(None).cast(log.schema[shard].dataType).alias(shard), F.sum("lag").alias("lag")))
+    """(shard, lag) with a total row of shard null: records past each shard's committed cursor. One scan and one partial aggregation of the log; cursors are a row a shard."""
+    past = F.col(seq) > F.coalesce("committed", F.lit(0))
+    counted = log.select(shard, seq).join(cursors.select(shard, "committed"), shard, "left").groupBy(shard).agg(F.count_if(past).alias("lag"))
+    return counted.rollup(shard).agg(F.sum("lag").alias("lag"))
 
 
 def lag_metrics(lags: DataFrame, shard: str, name: str = "consumer_lag") -> DataFrame:
@@ -80,7 +98,7 @@ def deliveries_with_attempts(deliveries: DataFrame, order: str = "tick") -> Data
 
 def assign_sequence(arrivals: DataFrame, stream: str, order: Column | str, after: DataFrame | None = None) -> DataFrame:
     """`sequence` from 1 without gaps in each stream, or on from (stream, tip) of `after`."""
-    numbered = arrivals.withColumn("sequence", F.row_number().over(Window.partitionBy(stream).orderBy(order)).cast("long"))
+    numbered = number(arrivals, [stream], order, "sequence")
     if after is None:
         return numbered
     joined = numbered.join(after.select(stream, "tip"), stream, "left")
@@ -89,8 +107,8 @@ def assign_sequence(arrivals: DataFrame, stream: str, order: Column | str, after
 
 def gaps(log: DataFrame, stream: str, seq: str = "sequence") -> DataFrame:
     """Records that do not follow their predecessor by one (the first must be 1): (stream, seq, previous)."""
-    before = F.coalesce(F.lag(seq).over(Window.partitionBy(stream).orderBy(seq)), F.lit(0))
-    return log.select(stream, seq, before.alias("previous")).where(F.col(seq) != F.col("previous") + 1)
+    rows = previous(log.select(stream, seq), [stream], seq, "previous")
+    return rows.withColumn("previous", F.coalesce("previous", F.lit(0))).where(F.col(seq) != F.col("previous") + 1)
 
 
 def retain_newest(log: DataFrame, stream: str, seq: str, count: int) -> DataFrame:
@@ -112,6 +130,13 @@ def stream_info(log: DataFrame, stream: str, name: str) -> DataFrame:
     return log.where(F.col(stream) == name).agg((F.count("*") > 0).alias("exists"), F.count("*").alias("record_count"), F.coalesce(F.max("sequence"), F.lit(0)).cast("long").alias("tip"))
 
 
+def stream_infos(log: DataFrame, stream: str, names: DataFrame) -> DataFrame:
+    """(stream, exists, record_count, tip) for each asked name (stream), whether it is there or not."""
+    found = log.groupBy(stream).agg(F.count("*").alias("record_count"), F.max("sequence").alias("tip"))
+    rows = names.select(stream).distinct().join(found, stream, "left")
+    return rows.select(stream, F.col("record_count").isNotNull().alias("exists"), F.coalesce("record_count", F.lit(0)).cast("long").alias("record_count"), F.coalesce("tip", F.lit(0)).cast("long").alias("tip"))
+
+
 def apply_once(batch: DataFrame, applied: DataFrame | None, seq: str = "global_sequence", event_id: str = "event_id", checkpoint: int = 0) -> DataFrame:
     """The records of a batch to apply: past the checkpoint, not applied before, one for each event id (its lowest sequence)."""
     fresh = batch.where(F.col(seq) > checkpoint)

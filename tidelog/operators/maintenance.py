@@ -2,17 +2,21 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from tidelog.errors import NotFound
+from tidelog.operators.numbering import number
+from tidelog.session import hadoop_path
+
 SEAL_RECORDS = 1024
 GRANULE = 16
 
 
 def assign_parts(log: DataFrame, shard: str, seq: str, seal: int = SEAL_RECORDS) -> DataFrame:
     """`part` counts from 0 in each shard, `seal` records each, in order of `seq`."""
-    position = F.row_number().over(Window.partitionBy(shard).orderBy(seq)) - 1
-    return log.withColumn("position", position).withColumn("part", F.expr(f"position div {seal}"))
+    numbered = number(log, [shard], seq, "position")
+    return numbered.withColumn("position", F.col("position") - 1).withColumn("part", F.expr(f"position div {seal}"))
 
 
 def manifest(parted: DataFrame, shard: str, seq: str) -> DataFrame:
@@ -74,6 +78,55 @@ def retention(parts: DataFrame, floor: int | Column) -> DataFrame:
     return parts.withColumn("drop", F.col("max_seq") < floor)
 
 
+def drop_parts(parted: DataFrame, parts: DataFrame, shard: str) -> DataFrame:
+    """The records that stay when the parts marked `drop` (see retention) are removed whole."""
+    gone = parts.where("drop").select(shard, "part")
+    return parted.join(gone, [shard, "part"], "left_anti").select(*parted.columns)
+
+
+def apply_merges(parts: DataFrame, plan: DataFrame, shard: str) -> DataFrame:
+    """The manifest after the merges of a plan (see plan_merges): merged parts are one, under the first one's number, `merged` says of how many; no record is lost."""
+    named = plan.select(shard, F.col("parts")[0].alias("__into"), F.explode("parts").alias("part"))
+    into = parts.join(named, [shard, "part"], "left").withColumn("part", F.coalesce("__into", "part"))
+    return into.groupBy(shard, "part").agg(F.min("min_seq").alias("min_seq"), F.max("max_seq").alias("max_seq"), F.sum("records").cast("long").alias("records"), F.count("*").alias("merged"))
+
+
+BLOOM_WORDS, BLOOM_HASHES = 64, 7
+
+
+def _bloom_bits(value: Column, words: int) -> Column:
+    """The bits of a value in a filter of `words` words of 32 bits: BLOOM_HASHES places, by double hashing of its MD5."""
+    one, two = (F.conv(F.substring(F.md5(value.cast("string")), at, 8), 16, 10).cast("long") for at in (1, 9))
+    return F.transform(F.sequence(F.lit(0), F.lit(BLOOM_HASHES - 1)), lambda k: F.pmod(one + k * (two + 1), F.lit(32 * words)))
+
+
+def part_blooms(parted: DataFrame, shard: str, member: str, words: int = BLOOM_WORDS) -> DataFrame:
+    """(shard, part, word, bits): the words that are not zero of a Bloom filter over the values of `member` in each part, by partial aggregation."""
+    bits = parted.select(shard, "part", member).distinct().select(shard, "part", F.explode(_bloom_bits(F.col(member), words)).alias("__bit"))
+    word = F.expr("__bit div 32").cast("int")
+    return bits.groupBy(shard, "part", word.alias("word")).agg(F.bit_or(F.expr("shiftleft(1L, cast(__bit % 32 as int))")).alias("bits"))
+
+
+def maybe_members(blooms: DataFrame, shard: str, values: DataFrame, member: str, words: int = BLOOM_WORDS) -> DataFrame:
+    """(member, shard, part) of the parts that may hold each value; one that holds it is never left out."""
+    asked = values.select(member).distinct().select(member, F.explode(F.array_distinct(_bloom_bits(F.col(member), words))).alias("__bit"))
+    asked = asked.groupBy(member, F.expr("__bit div 32").cast("int").alias("word")).agg(F.bit_or(F.expr("shiftleft(1L, cast(__bit % 32 as int))")).alias("__mask"))
+    need = asked.withColumn("__need", F.count("*").over(Window.partitionBy(member)))
+    met = need.join(blooms, "word").where(F.col("bits").bitwiseAND(F.col("__mask")) == F.col("__mask"))
+    return met.groupBy(member, shard, "part").agg((F.count("*") == F.first("__need")).alias("__all")).where("__all").select(member, shard, "part")
+
+
+def summarise(counts: list[tuple[DataFrame, dict[str, Column]]]) -> DataFrame:
+    """(dataset, n): the aggregates of each table, by one aggregation a table."""
+    out = None
+    for table, columns in counts:
+        row = table.agg(*(c.cast("long").alias(k) for k, c in columns.items()))
+        pairs = F.array(*(F.struct(F.lit(k).alias("dataset"), F.coalesce(F.col(f"`{k}`"), F.lit(0).cast("long")).alias("n")) for k in columns))
+        row = row.select(F.inline(pairs))
+        out = row if out is None else out.unionAll(row)
+    return out
+
+
 def reclaim_plan(segments: DataFrame, consumers: DataFrame, min_retained: int = 1, max_retained: int | None = None) -> DataFrame:
     """Each segment (segment, last_seq) with `reclaim`.
 
@@ -102,3 +155,21 @@ def write_parts(log: DataFrame, path: str, shard: str, seq: str, seal: int = SEA
     if member is not None:
         writer = writer.option(f"parquet.bloom.filter.enabled#{member}", "true").option(f"parquet.bloom.filter.fpp#{member}", "0.01")
     writer.mode("append").parquet(path)
+
+
+def write_replica(log: DataFrame, root: str, shard: str, seq: str, seal: int = SEAL_RECORDS, keep: Column | None = None) -> None:
+    """Parts of a log below `root` and, once they are whole, the manifest that lists their files (file, byte_len); `keep` leaves out of it what it does not hold for."""
+    spark = log.sparkSession
+    write_parts(log if keep is None else log.where(keep), f"{root}/parts", shard, seq, seal)
+    files = spark.read.format("binaryFile").option("recursiveFileLookup", "true").option("pathGlobFilter", "*.parquet").load(f"{root}/parts")
+    files.select(F.substring_index("path", f"{root.split(':')[-1].lstrip('/')}/parts/", -1).alias("file"), F.col("length").alias("byte_len")).coalesce(1).write.mode("overwrite").parquet(f"{root}/manifest")
+
+
+def cold_load(spark: SparkSession, replicas: list[str]) -> DataFrame:
+    """The log that the first replica with a manifest lists; parts that it does not list are not read. No manifest at all is an error."""
+    for root in replicas:
+        fs, at = hadoop_path(spark, f"{root}/manifest/_SUCCESS")
+        if fs.exists(at):
+            files = [r.file for r in spark.read.parquet(f"{root}/manifest").select("file").collect()]  # a manifest is read by its reader whole
+            return spark.read.option("basePath", f"{root}/parts").parquet(*(f"{root}/parts/{f}" for f in sorted(files))) if files else spark.read.parquet(f"{root}/parts").limit(0)
+    raise NotFound("no replica has a manifest")

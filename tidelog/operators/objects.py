@@ -2,10 +2,14 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from tidelog.functions.scalars import content_digest, is_digest, object_path, object_uri
+from tidelog.session import ship
 
 MAX_LIST = 4096
 
@@ -61,6 +65,62 @@ def replica_counts(replicas: DataFrame) -> DataFrame:
     return replicas.groupBy("path").agg(F.countDistinct("placement").alias("replica_count"))
 
 
+def replication_totals(objects: DataFrame, replicas: DataFrame) -> DataFrame:
+    """One row (object_count, copy_count, object_bytes): different objects (path), and copies of them at different placements, sources included."""
+    copies = objects.select("path", "placement").unionByName(replicas.select("path", "placement")).distinct().agg(F.count("*").alias("copy_count"))
+    once = objects.groupBy("path").agg(F.max("byte_len").alias("byte_len")).agg(F.count("*").alias("object_count"), F.coalesce(F.sum("byte_len"), F.lit(0)).cast("long").alias("object_bytes"))
+    return once.crossJoin(copies).select("object_count", "copy_count", "object_bytes")
+
+
+def put_objects(rows: DataFrame, root: str, content: str = "content") -> DataFrame:
+    """Writes contents below `root` under their digest's path where they are not there yet; (digest, path, byte_len, puts, stored), a row for each content.
+
+    Contents are equal under one path, so a repeated task writes the same again. The
+    result is lazy; nothing is written until it is read. Null contents are left out.
+    """
+    ship(rows.sparkSession)
+    hashed = rows.where(F.col(content).isNotNull()).select(F.col(content).cast("binary").alias("content"))
+    once = hashed.withColumn("digest", content_digest(F.col("content"))).groupBy("digest").agg(F.count("*").alias("puts"), F.first("content").alias("content"))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        from tidelog.sources.storage import Substrate
+
+        store = Substrate(root)
+        for batch in batches:
+            paths, stored = batch.column("path").to_pylist(), []
+            for path, body in zip(paths, batch.column("content"), strict=True):
+                stored.append(store.put_if_absent(path, body.as_py()))
+            yield pa.RecordBatch.from_arrays([batch.column("digest"), batch.column("path"), batch.column("byte_len"), batch.column("puts"), pa.array(stored, pa.bool_())], names=["digest", "path", "byte_len", "puts", "stored"])
+
+    placed = once.select("digest", object_path(F.col("digest")).alias("path"), F.octet_length("content").cast("long").alias("byte_len"), "puts", "content")
+    return placed.mapInArrow(run, "digest string, path string, byte_len long, puts long, stored boolean")
+
+
+def get_objects(pointers: DataFrame, root: str) -> DataFrame:
+    """(columns of pointers, content, outcome) for (digest, byte_len, ...): outcome is 'ok', 'missing', 'length' or 'digest'; content is null unless ok."""
+    ship(pointers.sparkSession)
+    rows = pointers.withColumn("__path", F.when(is_digest(F.col("digest")), object_path(F.col("digest"))))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        import hashlib
+
+        from tidelog.sources.storage import Substrate
+
+        store = Substrate(root)
+        for batch in batches:
+            bodies, outcomes = [], []
+            for path, digest, size in zip(batch.column("__path").to_pylist(), batch.column("digest").to_pylist(), batch.column("byte_len").to_pylist(), strict=True):
+                body = store.get_range(path) if path is not None and store.exists(path) else None
+                outcome = "missing" if body is None else "length" if len(body) != size else "ok" if "sha256:" + hashlib.sha256(body).hexdigest() == digest else "digest"
+                bodies.append(body if outcome == "ok" else None)
+                outcomes.append(outcome)
+            own = [c for n, c in zip(batch.schema.names, batch.columns, strict=True) if n != "__path"]
+            yield pa.RecordBatch.from_arrays([*own, pa.array(bodies, pa.binary()), pa.array(outcomes, pa.string())], names=[*(n for n in batch.schema.names if n != "__path"), "content", "outcome"])
+
+    schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in pointers.schema)
+    return rows.mapInArrow(run, f"{schema}, content binary, outcome string")
+
+
 def conflicting_replicas(replicas: DataFrame) -> DataFrame:
     """(path, placement) registered with differing digests."""
     return replicas.groupBy("path", "placement").agg(F.countDistinct("digest").alias("digests")).where("digests > 1").select("path", "placement")

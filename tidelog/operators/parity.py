@@ -26,15 +26,21 @@ def compare(served: DataFrame, authority: DataFrame, key: str | list[str], value
 
 
 def report(served: DataFrame, authority: DataFrame, key: str | list[str], values: list[str], checkpoint: int | None = None, offset: int | None = None) -> DataFrame:
-    """One row (key_ok, value_ok, checkpoint_ok, checkpoint_lag, divergence): keys before values before the checkpoint."""
+    """report_at() for a checkpoint and an offset that are known; without an offset there is no lag."""
+    cursors = authority.sparkSession.range(1).select(F.lit(checkpoint).cast("long").alias("checkpoint"), F.lit(offset).cast("long").alias("offset"))
+    return report_at(served, authority, key, values, cursors)
+
+
+def report_at(served: DataFrame, authority: DataFrame, key: str | list[str], values: list[str], cursors: DataFrame) -> DataFrame:
+    """One row (key_ok, value_ok, checkpoint_ok, checkpoint_lag, divergence): keys before values before the checkpoint. `cursors` is one row (checkpoint, offset)."""
     found = compare(served, authority, key, values)
-    lag = max(0, offset - (checkpoint or 0)) if offset is not None else 0
     bad_keys = F.count_if(F.col("divergence").isin("missing", "unexpected"))
     bad_values = F.count_if(~F.col("divergence").isin("missing", "unexpected"))
-    row = found.agg(bad_keys.alias("bad_keys"), bad_values.alias("bad_values"))
+    row = found.agg(bad_keys.alias("bad_keys"), bad_values.alias("bad_values")).crossJoin(cursors.select("checkpoint", "offset"))
+    lag = F.greatest(F.coalesce(F.col("offset") - F.coalesce("checkpoint", F.lit(0)), F.lit(0)), F.lit(0)).cast("long")
     key_ok, value_ok = F.col("bad_keys") == 0, (F.col("bad_keys") > 0) | (F.col("bad_values") == 0)
-    first = F.when(~key_ok, "key").when(~value_ok, "value").when(F.lit(lag > 0), "checkpoint")
-    return row.select(key_ok.alias("key_ok"), value_ok.alias("value_ok"), F.lit(lag == 0).alias("checkpoint_ok"), F.lit(lag).cast("long").alias("checkpoint_lag"), first.alias("divergence"))
+    first = F.when(~key_ok, "key").when(~value_ok, "value").when(lag > 0, "checkpoint")
+    return row.select(key_ok.alias("key_ok"), value_ok.alias("value_ok"), (lag == 0).alias("checkpoint_ok"), lag.alias("checkpoint_lag"), first.alias("divergence"))
 
 
 def kv_parity(served: DataFrame, authority: DataFrame, keys: list[str]) -> DataFrame:

@@ -9,11 +9,13 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql.types import ByteType, IntegerType, LongType, ShortType, StringType
 
-from tidelog.errors import InvalidState, NotFound, PermissionDenied
-from tidelog.functions.scalars import check_identifier
+from tidelog.errors import InvalidState, NotFound, PermissionDenied, StorageCorrupt
+from tidelog.functions.scalars import check_identifier, content_digest
+from tidelog.session import hadoop_path
 
 TABLES = "table_id string, tenant string, namespace string, name string, created_by string, commit_seq long"
 SNAPSHOTS = "table_id string, snapshot_id string, parent_id string, files array<string>, commit_seq long"
+CONTENTS = "table_id string, snapshot_id string, file string, byte_len long, digest string"
 GRANTS = "tenant string, namespace string, table string, principal string"
 
 
@@ -73,9 +75,8 @@ class Catalog:
 
     def _log(self, name: str, ddl: str) -> DataFrame:
         path = f"{self.root}/_catalog/{name}"
-        jvm = self.spark.sparkContext._jvm
-        at = jvm.org.apache.hadoop.fs.Path(path)
-        if not at.getFileSystem(self.spark.sparkContext._jsc.hadoopConfiguration()).exists(at):
+        fs, at = hadoop_path(self.spark, path)
+        if not fs.exists(at):
             return self.spark.createDataFrame([], ddl)
         return self.spark.read.schema(ddl).parquet(path)
 
@@ -87,6 +88,11 @@ class Catalog:
     def snapshots(self) -> DataFrame:
         return self._log("snapshots", SNAPSHOTS)
 
+    @property
+    def contents(self) -> DataFrame:
+        """(table_id, snapshot_id, file, byte_len, digest) of the files that snapshots were committed with."""
+        return self._log("contents", CONTENTS)
+
     @property
     def grants(self) -> DataFrame:
         return self._log("grants", GRANTS)
@@ -154,6 +160,8 @@ class Catalog:
             raise InvalidState(f"the schema of {table_id} cannot change")
         path = f"{self.root}/{tenant}/{namespace}/tables/{table}/snapshots/{snapshot_id}"
         df.write.mode("errorifexists").parquet(path)
+        stored = stored_files(self.spark, path)
+        stored.select(F.lit(table_id).alias("table_id"), F.lit(snapshot_id).alias("snapshot_id"), "file", "byte_len", "digest").write.mode("append").parquet(f"{self.root}/_catalog/contents")
         self.commit_snapshot(table_id, snapshot_id, latest.snapshot_id if latest else None, [path])
 
     def read_latest(self, tenant: str, namespace: str, table: str) -> DataFrame:
@@ -163,8 +171,48 @@ class Catalog:
             raise NotFound(f"table {row.table_id} has no snapshot")
         return self.spark.read.parquet(*latest.files)
 
-    def scan(self, tenant: str, namespace: str, table: str, predicate: Predicate | None = None, projection: Sequence[str] | None = None, principal: str | None = None) -> DataFrame:
-        """The latest snapshot, filtered and projected; with a principal only if granted, checked before anything is read."""
+    def damaged(self, table_id: str, snapshot_id: str) -> DataFrame:
+        """(file, reason) of a snapshot's files that are 'missing', 'unknown', or differ in 'length' or 'digest' from what was committed. Reads every byte of them once, file by file in tasks."""
+        row = self.get_snapshot(table_id, snapshot_id)
+        wanted = self.contents.where((F.col("table_id") == table_id) & (F.col("snapshot_id") == snapshot_id)).select("file", F.struct("byte_len", "digest").alias("w"))
+        got = stored_files(self.spark, *row.files).select("file", F.struct("byte_len", "digest").alias("g"))
+        reason = F.when(F.col("g").isNull(), "missing").when(F.col("w").isNull(), "unknown").when(F.col("w.byte_len") != F.col("g.byte_len"), "length").when(F.col("w.digest") != F.col("g.digest"), "digest")
+        return wanted.join(got, "file", "full_outer").select("file", reason.alias("reason")).where("reason is not null")
+
+    def scan(self, tenant: str, namespace: str, table: str, predicate: Predicate | None = None, projection: Sequence[str] | None = None, principal: str | None = None, verify: bool = False) -> DataFrame:
+        """The latest snapshot, filtered and projected; with a principal only if granted, checked before anything is read. With `verify` its files are held against their digests first, and damage is an error."""
         if principal is not None and not self.can_scan(tenant, namespace, table, principal):
             raise PermissionDenied(f"{principal} may not scan {tenant}.{namespace}.{table}")
-        return filter_project(self.read_latest(tenant, namespace, table), predicate, projection)
+        whole = self.read_latest(tenant, namespace, table)
+        if verify:
+            table_id = self.get_table(tenant, namespace, table).table_id
+            found = self.damaged(table_id, self.latest_snapshot(table_id).snapshot_id).head(1)
+            if found:
+                raise StorageCorrupt(f"{found[0].file} of {table_id}: {found[0].reason}")
+        return filter_project(whole, predicate, projection)
+
+
+def stored_files(spark: SparkSession, *folders: str) -> DataFrame:
+    """(file, byte_len, digest) of the data files in folders."""
+    raw = spark.read.format("binaryFile").option("pathGlobFilter", "*.parquet").load(list(folders))
+    return raw.select(F.element_at(F.split("path", "/"), -1).alias("file"), F.col("length").alias("byte_len"), content_digest(F.col("content")).alias("digest"))
+
+
+def checked_batches(df: DataFrame) -> DataFrame:
+    """A scan's result as a service hands it on: one that has no row at all is an error."""
+    if df.isEmpty():
+        raise InvalidState("the scan gave no batch")
+    return df
+
+
+def same_schema(parts: Sequence[DataFrame]) -> DataFrame:
+    """Parts of one result, one after another; different schemas are an error."""
+    if not parts:
+        raise InvalidState("the scan gave no batch")
+    for p in parts[1:]:
+        if p.schema != parts[0].schema:
+            raise InvalidState(f"batches of one result differ: {parts[0].schema.simpleString()} and {p.schema.simpleString()}")
+    out = parts[0]
+    for p in parts[1:]:
+        out = out.unionAll(p)
+    return out

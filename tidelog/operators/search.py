@@ -117,14 +117,16 @@ def retrieve(chunks: DataFrame, documents: DataFrame, tenant: str, namespace: st
     k, cap = top_k or DEFAULT_RETRIEVAL_K, max_chunk_bytes or DEFAULT_CHUNK_BYTES
     order = [F.desc("match_count"), *_TIES]
     found = text_hits(chunks, documents, tenant, namespace, query)
-    candidates = found.orderBy(*order).limit(MAX_RETRIEVAL_K)
-    total = Window.partitionBy()
-    ranked = candidates.withColumn("candidate_count", F.count("*").over(total)).withColumn("rank", F.row_number().over(Window.orderBy(*order))).where(F.col("rank") <= k)
-    size = F.octet_length("text").cast("long")
-    hits = ranked.select(F.lit("hit").alias("outcome"), "candidate_count", (F.col("candidate_count") > k).alias("truncated_by_top_k"), "document_id", "chunk_id", "ordinal", "match_count", size.alias("byte_len"), (size > cap).alias("truncated"), truncate_bytes(F.col("text"), cap).alias("text"))
-    empty = spark.createDataFrame([("empty", 0, False, *[None] * 7)], columns)
-    none = found.limit(1).agg(F.count("*").alias("__n"))
-    return hits.unionByName(empty.crossJoin(none).where("__n = 0").drop("__n"))
+    # one row of at most MAX_RETRIEVAL_K candidates, there also if there are none: one scan gives hits or 'empty'
+    place = F.row_number().over(Window.orderBy(*order)).alias("rank")
+    rows = F.array_sort(F.collect_list(F.struct("rank", "document_id", "chunk_id", "ordinal", "match_count", "text")))
+    held = found.orderBy(*order).limit(MAX_RETRIEVAL_K).select("*", place).agg(rows.alias("c"))
+    one = held.select(F.size("c").cast("long").alias("candidate_count"), F.explode_outer(F.slice("c", 1, k)).alias("h"))
+    size = F.octet_length("h.text").cast("long")
+    return one.select(
+        F.when(F.col("candidate_count") > 0, "hit").otherwise("empty").alias("outcome"), "candidate_count", (F.col("candidate_count") > k).alias("truncated_by_top_k"), "h.document_id", "h.chunk_id", "h.ordinal", "h.match_count",
+        size.alias("byte_len"), (size > cap).alias("truncated"), truncate_bytes(F.col("h.text"), cap).alias("text"),
+    )
 
 
 def tier_topk(points: DataFrame, collection: str, model_id: str, query: Sequence[float], k: int) -> DataFrame:

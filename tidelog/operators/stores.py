@@ -7,7 +7,7 @@ Single writer a log.
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from tidelog.errors import InvalidState
@@ -17,10 +17,12 @@ from tidelog.operators.folds import fold_latest, last_records
 MAX_SCAN = 4096
 
 
-def _check_single(requests: DataFrame, keys: list[str]) -> None:
-    twice = requests.groupBy(*keys).count().where("count > 1").head(1)
-    if twice:
-        raise InvalidState(f"a batch holds one request a key; {twice[0].asDict()} has more")
+def _single(requests: DataFrame, keys: list[str]) -> DataFrame:
+    """The requests; a key that stands twice is an error when they are read. The count shares the join's partitioning, so it costs no job and no shuffle of its own."""
+    n = F.count("*").over(Window.partitionBy(*keys))
+    said = F.concat(F.lit("a batch holds one request a key; more have "), F.concat_ws(", ", *(F.col(k).cast("string") for k in keys)))
+    checked = F.when(F.col("__n") > 1, F.raise_error(said)).otherwise(F.col(keys[0]))
+    return requests.withColumn("__n", n).withColumn(keys[0], checked).drop("__n")
 
 
 def _number(ops: DataFrame, rows: DataFrame, order: list[str]) -> DataFrame:
@@ -49,7 +51,7 @@ def kv_write(ops: DataFrame, requests: DataFrame, keys: list[str], monotonic: bo
     n. Deleting what has no record or a tombstone is not applied; what has expired may still be deleted. A version goes on across tombstones if
     `monotonic`, else starts again at 1.
     """
-    _check_single(requests, keys)
+    requests = _single(requests, keys)
     state = last_records(ops, keys, "op_seq")
     expired = is_expired(F.col("expires_at_ms"), now_ms) if "expires_at_ms" in ops.columns else F.lit(False)
     state = state.select(*keys, (~F.col("deleted") & ~expired).alias("__live"), (~F.col("deleted")).alias("__there"), F.col("version").alias("__version"))
@@ -83,7 +85,7 @@ def pinned(ops: DataFrame, pins: DataFrame) -> DataFrame:
 
 def registry_write(ops: DataFrame, requests: DataFrame) -> DataFrame:
     """register / deregister requests (path, kind, content, delete): versions go on across tombstones; deregistering what is not there is not applied, else it takes a version too and keeps the kind."""
-    _check_single(requests, ["path"])
+    requests = _single(requests, ["path"])
     state = last_records(ops, "path", "op_seq").select("path", F.col("version").alias("__version"), F.col("kind").alias("__kind"), (~F.col("deleted")).alias("__live"))
     joined = requests.join(state, "path", "left")
     rows = joined.withColumn("applied", ~F.col("delete") | F.coalesce("__live", F.lit(False))).withColumn("version", (F.coalesce("__version", F.lit(0)) + 1).cast("long")).withColumn("deleted", F.col("delete"))
@@ -124,12 +126,6 @@ def vector_points(ops: DataFrame) -> DataFrame:
     return fold_latest(ops, ["collection", "point_id"], "op_seq")
 
 
-def upserts(ops: DataFrame, rows: DataFrame, key: list[str], deleted: Column | bool = False) -> DataFrame:
-    """Operation rows for unconditional writes of rows that carry all columns but op_seq and deleted."""
-    flagged = rows.withColumn("deleted", deleted if isinstance(deleted, Column) else F.lit(deleted)).withColumn("applied", F.lit(True))
-    return _number(ops, flagged, key).select(*ops.columns, "applied")
-
-
 def resolve_bindings(bindings: DataFrame, libraries: DataFrame) -> DataFrame:
     """Channel bindings (the last of each channel) with the library of their path, revision and digest."""
     latest = last_records(bindings, "channel", "op_seq")
@@ -173,6 +169,18 @@ def transaction_faults(transactions: DataFrame) -> DataFrame:
     return transactions.withColumn("n", n).join(followed, "sequence", "left").select("sequence", reason.alias("reason")).where("reason is not null")
 
 
+def ingest_document(documents: DataFrame, chunks: DataFrame, new_documents: DataFrame, new_chunks: DataFrame, most: int = 256, most_bytes: int = 65_536) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """(documents, chunks) to append, and (document_id, reason) of what is refused: a document that is there, without chunks, or out of bounds. A document comes whole with its chunks or not at all."""
+    sizes = new_chunks.groupBy("document_id").agg(F.count("*").alias("n"), F.max(F.octet_length("text")).alias("bytes"))
+    there = documents.select("document_id").distinct().withColumn("__there", F.lit(True))
+    asked = new_documents.join(sizes, "document_id", "left").join(there, "document_id", "left")
+    n = F.coalesce("n", F.lit(0))
+    reason = F.when(F.col("__there"), "document is there").when(n < 1, "no chunks").when(n > most, "too many chunks").when(F.col("bytes") > most_bytes, "a chunk is too long")
+    judged = asked.withColumn("reason", reason)
+    taken = judged.where("reason is null").select(*new_documents.columns)
+    return taken, new_chunks.join(taken.select("document_id"), "document_id", "left_semi").select(*new_chunks.columns), judged.where("reason is not null").select("document_id", "reason")
+
+
 def owned(log: DataFrame, shard: str, owner: list[int]) -> DataFrame:
     """A log's records of the shards that an owner holds; shards are partitions, so others are not read."""
     return log.where(F.col(shard).isin(owner))

@@ -15,6 +15,7 @@ from tidelog.functions import scalars, subjects
 from tidelog.operators import folds, logs, maintenance, objects, parity, scan, search, stores
 from tidelog.plans import sqlapi
 from tidelog.plans.lenses import duck, lens
+from tidelog.session import scratch_folder
 
 Query = Callable[[SparkSession, str], DataFrame]
 _QUERIES: dict[str, Query] = {}
@@ -93,11 +94,14 @@ def _(spark, sf):
     return scan.filter_project(lens(spark, sf, "orders"), scan.Predicate("o_orderpriority", "1-URGENT"), ["o_orderkey"])
 
 
-@_query("scan_latest_snapshot", "SELECT o_orderkey, o_totalprice FROM orders WHERE o_orderkey % 3 = (SELECT max(o_orderkey % 3) FROM orders)")
+@_query("scan_latest_snapshot", "SELECT o_orderkey, o_totalprice FROM orders WHERE o_orderkey % 3 = 2 AND o_orderpriority = '1-URGENT'")
 def _(spark, sf):
-    last = scan.latest_snapshots(lens(spark, sf, "snapshots").withColumn("files", F.array("snapshot_id")))
-    orders = lens(spark, sf, "orders").withColumn("snapshot_id", F.concat(F.lit("s"), F.pmod("o_orderkey", F.lit(3)).cast("string")))
-    return orders.join(last, "snapshot_id", "left_semi").select("o_orderkey", "o_totalprice")
+    """Three snapshots of orders, written, committed and granted through the catalogue; the last is scanned after its files met their digests."""
+    catalog, orders = scan.Catalog(spark, scratch_folder(spark, "catalog")), lens(spark, sf, "orders")
+    for i in range(3):
+        catalog.write(orders.where(F.pmod("o_orderkey", F.lit(3)) == i), "acme", "sales", "orders", f"s{i}", "alice")
+    catalog.grant("acme", "sales", "orders", "bob")
+    return catalog.scan("acme", "sales", "orders", scan.Predicate("o_orderpriority", "1-URGENT"), ["o_orderkey", "o_totalprice"], principal="bob", verify=True)
 
 
 @_query("snapshot_chain", "SELECT table_id, snapshot_id, parent_id, lag(snapshot_id) OVER (PARTITION BY table_id ORDER BY commit_seq) AS expected FROM (SELECT table_id, snapshot_id, CASE WHEN commit_seq = 2 THEN 's0' ELSE parent_id END AS parent_id, commit_seq FROM {snapshots} AS s) AS t QUALIFY parent_id IS DISTINCT FROM expected")
@@ -106,26 +110,33 @@ def _(spark, sf):
     return scan.broken_chains(forked)
 
 
-@_query("scan_grants", "SELECT name FROM (SELECT 'orders' AS name UNION ALL SELECT 'lineitem' AS name) AS t WHERE name = 'orders'")
+_TABLES = "(SELECT DISTINCT source AS tenant, lang AS namespace, 'docs' AS name FROM documents)"
+_GRANTS = "(SELECT DISTINCT source AS tenant, lang AS namespace, CASE WHEN doc_id % 5 = 0 THEN 'other' ELSE 'docs' END AS tab, 'p' || CAST(doc_id % 4 AS STRING) AS principal FROM documents WHERE doc_id % 3 = 0)"
+
+
+@_query("scan_grants", f"SELECT tenant, namespace, name FROM {_TABLES} AS t WHERE EXISTS (SELECT 1 FROM {_GRANTS} AS g WHERE g.principal = 'p1' AND g.tenant = t.tenant AND g.namespace = t.namespace AND g.tab = t.name)")
 def _(spark, sf):
-    tables = spark.createDataFrame([("acme", "sales", "orders"), ("acme", "sales", "lineitem")], "tenant string, namespace string, name string")
-    grants = spark.createDataFrame([("acme", "sales", "orders", "alice"), ("other", "sales", "lineitem", "alice")], scan.GRANTS)
-    return scan.scannable(tables, grants, "alice").select("name")
+    docs = lens(spark, sf, "documents")
+    tables = docs.select(F.col("source").alias("tenant"), F.col("lang").alias("namespace"), F.lit("docs").alias("name")).distinct()
+    given = docs.where("doc_id % 3 = 0").selectExpr("source AS tenant", "lang AS namespace", "CASE WHEN doc_id % 5 = 0 THEN 'other' ELSE 'docs' END AS table", "concat('p', doc_id % 4) AS principal").distinct()
+    return scan.scannable(tables, given, "p1").select("tenant", "namespace", "name")
 
 
 @_query("state_summary", """
-SELECT 'events' AS dataset, count(*) AS n FROM {event_log} AS e UNION ALL SELECT 'executions' AS dataset, count(DISTINCT execution_id) AS n FROM {event_log} AS e UNION ALL SELECT 'snapshots' AS dataset, count(*) AS n FROM {snapshots} AS e
-UNION ALL SELECT 'streams' AS dataset, count(DISTINCT shard) AS n FROM {stream} AS e UNION ALL SELECT 'stream_records' AS dataset, count(*) AS n FROM {stream} AS e UNION ALL SELECT 'consumers' AS dataset, count(*) AS n FROM {consumers} AS e
-UNION ALL SELECT 'documents' AS dataset, count(*) AS n FROM {docs} AS e UNION ALL SELECT 'chunks' AS dataset, count(*) AS n FROM {chunks} AS e UNION ALL SELECT 'embeddings' AS dataset, count(*) AS n FROM embeddings AS e
-UNION ALL SELECT 'objects' AS dataset, count(DISTINCT digest) AS n FROM {objects} AS e UNION ALL SELECT 'replicas' AS dataset, count(*) AS n FROM {objects} AS e""")
-def _(spark, sf):
-    counts = [("events", "event_log", None), ("executions", "event_log", "execution_id"), ("snapshots", "snapshots", None), ("streams", "stream", "shard"), ("stream_records", "stream", None), ("consumers", "consumers", None), ("documents", "docs", None), ("chunks", "chunks", None), ("embeddings", "embeddings", None), ("objects", "objects", "digest"), ("replicas", "objects", None)]
-    out = None
-    for name, source, distinct in counts:
-        n = F.countDistinct(distinct) if distinct else F.count("*")
-        row = lens(spark, sf, source).agg(n.alias("n")).select(F.lit(name).alias("dataset"), "n")
-        out = row if out is None else out.unionAll(row)
-    return out
+SELECT 'transactions' AS dataset, count(*) AS n FROM {event_log} AS e UNION ALL SELECT 'executions' AS dataset, count(DISTINCT execution_id) AS n FROM {event_log} AS e UNION ALL SELECT 'tables' AS dataset, count(DISTINCT table_id) AS n FROM {snapshots} AS e
+UNION ALL SELECT 'snapshots' AS dataset, count(*) AS n FROM {snapshots} AS e UNION ALL SELECT 'scan_grants' AS dataset, count(DISTINCT (source, lang)) AS n FROM documents UNION ALL SELECT 'streams' AS dataset, count(DISTINCT shard) AS n FROM {stream} AS e
+UNION ALL SELECT 'stream_records' AS dataset, count(*) AS n FROM {stream} AS e UNION ALL SELECT 'consumers' AS dataset, count(*) AS n FROM {consumers} AS e UNION ALL SELECT 'documents' AS dataset, count(*) AS n FROM {docs} AS e
+UNION ALL SELECT 'chunks' AS dataset, count(*) AS n FROM {chunks} AS e UNION ALL SELECT 'embeddings' AS dataset, count(*) AS n FROM embeddings AS e UNION ALL SELECT 'libraries' AS dataset, count(DISTINCT page_id) AS n FROM pages
+UNION ALL SELECT 'bindings' AS dataset, count(DISTINCT user_id % 9) AS n FROM events UNION ALL SELECT 'objects' AS dataset, count(DISTINCT digest) AS n FROM {objects} AS e UNION ALL SELECT 'replicas' AS dataset, count(*) AS n FROM {objects} AS e""")
+def _(spark, sf):
+    n, different = F.count("*"), F.count_distinct
+    log = lens(spark, sf, "events").select("user_id", F.col("user_id").cast("string").alias("execution_id"), F.pmod("user_id", F.lit(4)).alias("shard"), F.pmod("user_id", F.lit(9)).alias("channel"))
+    documents = lens(spark, sf, "documents").select("source", "lang", F.size(F.split("text", "\n", -1)).alias("chunks"))
+    return maintenance.summarise([
+        (log, {"transactions": n, "executions": different("execution_id"), "streams": different("shard"), "stream_records": n, "bindings": different("channel")}),
+        (lens(spark, sf, "snapshots"), {"tables": different("table_id"), "snapshots": n}), (documents, {"scan_grants": different("source", "lang"), "documents": n, "chunks": F.sum("chunks")}), (lens(spark, sf, "consumers"), {"consumers": n}),
+        (lens(spark, sf, "embeddings"), {"embeddings": n}), (lens(spark, sf, "pages").select("page_id", F.md5("html").alias("digest")), {"libraries": different("page_id"), "objects": different("digest"), "replicas": n}),
+    ])
 
 
 # logs
@@ -350,17 +361,19 @@ def _query_vector(spark, sf) -> list[float]:
 
 
 def _chunk_embeddings(spark, sf) -> DataFrame:
+    """Every chunk with an embedding: that of the document's number and the chunk's ordinal, together over the number of vectors."""
     vectors = lens(spark, sf, "embeddings")
     n = vectors.agg(F.count("*").alias("n"))
-    first = lens(spark, sf, "documents").select(F.concat(F.lit("d"), F.col("doc_id").cast("string"), F.lit("-0")).alias("chunk_id"), "doc_id").crossJoin(n)
-    joined = first.withColumn("vec_id", F.expr("doc_id % n")).join(vectors, "vec_id")
+    numbered = lens(spark, sf, "chunks").select("chunk_id", (F.substring("document_id", 2, 100).cast("long") + F.col("ordinal")).alias("number")).crossJoin(n)
+    joined = numbered.withColumn("vec_id", F.expr("number % n")).join(vectors, "vec_id")
     return joined.select("chunk_id", F.lit("m0").alias("model_id"), F.size("embedding").alias("dimensions"), F.col("embedding").alias("vector"))
 
 
 _COS = "round(list_dot_product({0}, q) / (sqrt(list_dot_product({0}, {0})) * sqrt(list_dot_product(q, q))), 6)"
 _Q = "(SELECT CAST(embedding AS DOUBLE[]) AS q FROM embeddings WHERE vec_id = 0)"
-_HITS = f"""(SELECT c.chunk_id, c.document_id, c.ordinal, c.text, 'm0' AS model_id, {_COS.format("CAST(v.embedding AS DOUBLE[])")} AS score FROM documents AS d
-JOIN embeddings AS v ON v.vec_id = d.doc_id % (SELECT count(*) FROM embeddings) JOIN {{chunks}} AS c ON c.chunk_id = 'd' || CAST(d.doc_id AS STRING) || '-0' CROSS JOIN {_Q} AS q WHERE d.source = 'src0' AND d.lang = 'en')"""
+_VECTOR_OF = "v.vec_id = (CAST(substr(c.document_id, 2) AS BIGINT) + c.ordinal) % (SELECT count(*) FROM embeddings)"
+_HITS = f"""(SELECT c.chunk_id, c.document_id, c.ordinal, c.text, 'm0' AS model_id, {_COS.format("CAST(v.embedding AS DOUBLE[])")} AS score FROM {{chunks}} AS c JOIN {{docs}} AS d ON d.document_id = c.document_id
+JOIN embeddings AS v ON {_VECTOR_OF} CROSS JOIN {_Q} AS q WHERE d.tenant = 'src0' AND d.namespace = 'en')"""
 _COUNT = "CAST((length(lower(text)) - length(replace(lower(text), 'the', ''))) // 3 AS BIGINT)"
 
 
@@ -413,18 +426,18 @@ def _(spark, sf):
 @_query("retrieve_context", f"""
 WITH f AS (SELECT c.document_id, c.chunk_id, c.ordinal, c.text, {_COUNT} AS match_count FROM {{chunks}} AS c JOIN {{docs}} AS d ON d.document_id = c.document_id WHERE tenant = 'src0' AND namespace = 'en'),
 t AS (SELECT * FROM f WHERE match_count > 0 ORDER BY match_count DESC, document_id, ordinal, chunk_id LIMIT 64)
-SELECT 'hit' AS outcome, (SELECT count(*) FROM t) AS candidate_count, (SELECT count(*) FROM t) > 8 AS truncated_by_top_k, document_id, chunk_id, ordinal, match_count, CAST(strlen(text) AS BIGINT) AS byte_len, strlen(text) > 4096 AS truncated FROM t ORDER BY match_count DESC, document_id, ordinal, chunk_id LIMIT 8""")
+SELECT 'hit' AS outcome, (SELECT count(*) FROM t) AS candidate_count, (SELECT count(*) FROM t) > 8 AS truncated_by_top_k, document_id, chunk_id, ordinal, match_count, CAST(strlen(text) AS BIGINT) AS byte_len, strlen(text) > 4096 AS truncated, md5(CASE WHEN strlen(text) > 4096 THEN NULL ELSE text END) AS text_md5 FROM t ORDER BY match_count DESC, document_id, ordinal, chunk_id LIMIT 8""")
 def _(spark, sf):
-    return search.retrieve(lens(spark, sf, "chunks"), lens(spark, sf, "docs"), "src0", "en", "the").drop("text")
+    found = search.retrieve(lens(spark, sf, "chunks"), lens(spark, sf, "docs"), "src0", "en", "the")
+    return found.withColumn("text_md5", F.when(~F.col("truncated"), F.md5("text"))).drop("text")
 
 
-# the same searches with every row a query, in all collections, tenants and namespaces
+# the same searches for a set of queries against all rows: every row whose id is divisible by 20, in all collections, tenants and namespaces
 
 _LIVE = "(SELECT collection, model_id, point_id, CAST(vector AS DOUBLE[]) AS v FROM {vector_ops} AS o WHERE NOT deleted)"
-_EACH = f"""(SELECT 'q' || CAST(d.doc_id AS STRING) AS query_id, d.source AS tenant, d.lang AS namespace, 'd' || CAST(d.doc_id AS STRING) || '-0' AS chunk_id, CAST(v.embedding AS DOUBLE[]) AS q
-FROM documents AS d JOIN embeddings AS v ON v.vec_id = d.doc_id % (SELECT count(*) FROM embeddings))"""
-_ALL_HITS = f"""(SELECT a.query_id, a.tenant, a.namespace, c.chunk_id, c.document_id, c.ordinal, c.text, 'm0' AS model_id, {_COS.format("b.q").replace(", q)", ", a.q)").replace("(q,", "(a.q,")} AS score
-FROM {_EACH} AS a JOIN {_EACH} AS b ON b.tenant = a.tenant AND b.namespace = a.namespace JOIN {{chunks}} AS c ON c.chunk_id = b.chunk_id)"""
+_EMBEDDED = f"(SELECT d.tenant, d.namespace, c.chunk_id, c.document_id, c.ordinal, c.text, CAST(v.embedding AS DOUBLE[]) AS q FROM {{chunks}} AS c JOIN {{docs}} AS d ON d.document_id = c.document_id JOIN embeddings AS v ON {_VECTOR_OF})"
+_ALL_HITS = f"""(SELECT 'q' || substr(a.document_id, 2) AS query_id, a.tenant, a.namespace, b.chunk_id, b.document_id, b.ordinal, b.text, 'm0' AS model_id, {_COS.format("b.q").replace(", q)", ", a.q)").replace("(q,", "(a.q,")} AS score
+FROM {_EMBEDDED} AS a JOIN {_EMBEDDED} AS b ON b.tenant = a.tenant AND b.namespace = a.namespace WHERE a.ordinal = 0 AND CAST(substr(a.document_id, 2) AS BIGINT) % 20 = 0)"""
 _SCOPED = "(SELECT d.tenant, d.namespace, c.* FROM {chunks} AS c JOIN {docs} AS d ON d.document_id = c.document_id)"
 #: Of so many sums some lie halfway between two roundings: here as Spark rounds, half up on the shortest decimal form.
 _HALF_UP = f"CAST(round(CAST(CAST(0.7 * score + CAST(0.05 AS DOUBLE) * {_COUNT} AS VARCHAR) AS DECIMAL(38, 20)), 6) AS DOUBLE)"
@@ -433,9 +446,10 @@ _ALL_HYBRID = f"""SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY query
 
 
 def _chunk_queries(spark, sf) -> DataFrame:
-    """Every embedded chunk as a query of its own tenant and namespace."""
-    scoped = search.scoped(lens(spark, sf, "chunks").select("chunk_id", "document_id"), lens(spark, sf, "docs"))
-    return _chunk_embeddings(spark, sf).join(scoped, "chunk_id").select(F.concat(F.lit("q"), F.substring("document_id", 2, 100)).alias("query_id"), "tenant", "namespace", "model_id", "vector")
+    """The first chunk of every document whose id is divisible by 20, as a query of its own tenant and namespace."""
+    chosen = lens(spark, sf, "chunks").where((F.col("ordinal") == 0) & (F.substring("document_id", 2, 100).cast("long") % 20 == 0))
+    asked = search.scoped(chosen.select("chunk_id", "document_id"), lens(spark, sf, "docs"))
+    return _chunk_embeddings(spark, sf).join(asked, "chunk_id").select(F.concat(F.lit("q"), F.substring("document_id", 2, 100)).alias("query_id"), "tenant", "namespace", "model_id", "vector")
 
 
 @_query("vec_topk_catalog_all", f"SELECT query_id, tenant, namespace, model_id, chunk_id, document_id, ordinal, score FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, document_id, ordinal, chunk_id) AS r FROM {_ALL_HITS} AS h) AS t WHERE r <= 10")
@@ -444,18 +458,19 @@ def _(spark, sf):
 
 
 def _live_queries(points: DataFrame) -> DataFrame:
-    return points.select(F.col("point_id").alias("query_id"), "collection", "model_id", "vector")
+    """The live points whose id is divisible by 20."""
+    return points.where(F.col("point_id").cast("long") % 20 == 0).select(F.col("point_id").alias("query_id"), "collection", "model_id", "vector")
 
 
 @_query("vec_topk_tier_all", f"""SELECT query_id, collection, model_id, point_id, score FROM (SELECT *, row_number() OVER (PARTITION BY collection, query_id ORDER BY score DESC, point_id) AS r FROM
-(SELECT a.point_id AS query_id, a.collection, a.model_id, b.point_id, {_COS.format("b.v").replace(", q)", ", a.v)").replace("(q,", "(a.v,")} AS score FROM {_LIVE} AS a JOIN {_LIVE} AS b ON b.collection = a.collection AND b.model_id = a.model_id) AS s) AS t WHERE r <= 20""")
+(SELECT a.point_id AS query_id, a.collection, a.model_id, b.point_id, {_COS.format("b.v").replace(", q)", ", a.v)").replace("(q,", "(a.v,")} AS score FROM {_LIVE} AS a JOIN {_LIVE} AS b ON b.collection = a.collection AND b.model_id = a.model_id WHERE CAST(a.point_id AS BIGINT) % 20 = 0) AS s) AS t WHERE r <= 20""")
 def _(spark, sf):
     points = stores.vector_points(lens(spark, sf, "vector_ops"))
     return search.tier_topk_each(_live_queries(points), points, 20)
 
 
 @_query("vec_topk_l0_all", f"""SELECT query_id, collection, point_id, score FROM (SELECT *, row_number() OVER (PARTITION BY collection, query_id ORDER BY score DESC, point_id) AS r FROM
-(SELECT a.point_id AS query_id, a.collection, b.point_id, {_COS.format("b.v").replace(", q)", ", a.v)").replace("(q,", "(a.v,")} AS score FROM {_LIVE} AS a JOIN {_LIVE} AS b ON b.collection = a.collection) AS s) AS t WHERE r <= 100""")
+(SELECT a.point_id AS query_id, a.collection, b.point_id, {_COS.format("b.v").replace(", q)", ", a.v)").replace("(q,", "(a.v,")} AS score FROM {_LIVE} AS a JOIN {_LIVE} AS b ON b.collection = a.collection WHERE CAST(a.point_id AS BIGINT) % 20 = 0) AS s) AS t WHERE r <= 100""")
 def _(spark, sf):
     points = stores.vector_points(lens(spark, sf, "vector_ops"))
     return search.log_topk_each(_live_queries(points), points, 100)
@@ -492,10 +507,11 @@ def _(spark, sf):
 @_query("retrieve_context_all", f"""
 WITH s AS (SELECT *, {_COUNT} AS match_count FROM {_SCOPED} AS c),
 t AS (SELECT *, row_number() OVER (PARTITION BY tenant, namespace ORDER BY match_count DESC, document_id, ordinal, chunk_id) AS r, least(count(*) OVER (PARTITION BY tenant, namespace), 64) AS n FROM s WHERE match_count > 0)
-SELECT tenant, namespace, 'hit' AS outcome, n AS candidate_count, n > 8 AS truncated_by_top_k, document_id, chunk_id, ordinal, match_count, CAST(strlen(text) AS BIGINT) AS byte_len, strlen(text) > 4096 AS truncated FROM t WHERE r <= 8
-UNION ALL SELECT DISTINCT tenant, namespace, 'empty', 0, false, NULL, NULL, NULL, NULL, NULL, NULL FROM {{docs}} AS d WHERE (tenant, namespace) NOT IN (SELECT (tenant, namespace) FROM t)""")
+SELECT tenant, namespace, 'hit' AS outcome, n AS candidate_count, n > 8 AS truncated_by_top_k, document_id, chunk_id, ordinal, match_count, CAST(strlen(text) AS BIGINT) AS byte_len, strlen(text) > 4096 AS truncated, md5(CASE WHEN strlen(text) > 4096 THEN NULL ELSE text END) AS text_md5 FROM t WHERE r <= 8
+UNION ALL SELECT DISTINCT tenant, namespace, 'empty', 0, false, NULL, NULL, NULL, NULL, NULL, NULL, NULL FROM {{docs}} AS d WHERE (tenant, namespace) NOT IN (SELECT (tenant, namespace) FROM t)""")
 def _(spark, sf):
-    return search.retrieve_each(lens(spark, sf, "chunks"), lens(spark, sf, "docs"), "the").drop("text")
+    found = search.retrieve_each(lens(spark, sf, "chunks"), lens(spark, sf, "docs"), "the")
+    return found.withColumn("text_md5", F.when(~F.col("truncated"), F.md5("text"))).drop("text")
 
 
 @_query("byte_truncate")
@@ -570,9 +586,11 @@ def _(spark, sf):
     return logs.gaps(lens(spark, sf, "stream"), "shard")
 
 
-@_query("stream_info", "SELECT count(*) > 0 AS exists, count(*) AS record_count, CAST(coalesce(max(sequence), 0) AS BIGINT) AS tip FROM {stream} AS s WHERE subject = 'events.none'")
+@_query("stream_info", "SELECT n.subject, count(s.sequence) > 0 AS exists, count(s.sequence) AS record_count, CAST(coalesce(max(s.sequence), 0) AS BIGINT) AS tip FROM (SELECT DISTINCT 'events.' || event_type || '.shard.' || CAST(event_id % 6 AS STRING) AS subject FROM events) AS n LEFT JOIN {stream} AS s ON s.subject = n.subject GROUP BY n.subject")
 def _(spark, sf):
-    return logs.stream_info(lens(spark, sf, "stream"), "subject", "events.none")
+    """Asked for shards 0 to 5, of which only four are there."""
+    asked = lens(spark, sf, "events").selectExpr("concat('events.', event_type, '.shard.', event_id % 6) AS subject")
+    return logs.stream_infos(lens(spark, sf, "stream"), "subject", asked)
 
 
 @_query("redelivery_attempts", "SELECT shard, seq, tick, row_number() OVER (PARTITION BY shard, seq ORDER BY tick) AS attempt, row_number() OVER (PARTITION BY shard, seq ORDER BY tick) > 1 AS redelivered FROM (SELECT shard, sequence % 300 AS seq, sequence AS tick FROM {stream} AS s) AS t")
@@ -629,24 +647,44 @@ def _(spark, sf):
     return objects.replication_plan(rows, replicas, _policy(spark))
 
 
-@_query("replication_execute", "SELECT key AS path, 3 AS replica_count FROM {objects} AS o")
+@_query("replication_execute", "SELECT o.key AS path, count(DISTINCT p.target) AS replica_count FROM {objects} AS o JOIN (SELECT key, placement AS target FROM {objects} AS a UNION ALL SELECT key, t.target FROM {objects} AS b CROSS JOIN (SELECT DISTINCT CAST(page_id % 5 AS INT) AS target FROM pages) AS t) AS p ON p.key = o.key GROUP BY o.key")
 def _(spark, sf):
+    """The policy's targets are the placements 0 to 4 that the pages' numbers name; sources hold 0 to 2."""
     rows = lens(spark, sf, "objects").select(F.col("key").alias("path"), "placement")
-    done = rows.unionByName(objects.replicate(objects.replication_plan(rows, rows.where("false"), _policy(spark))))
+    policy = lens(spark, sf, "pages").select(F.pmod("page_id", F.lit(5)).cast("int").alias("target")).distinct()
+    done = rows.unionByName(objects.replicate(objects.replication_plan(rows, rows.where("false"), policy)))
     return objects.replica_counts(done)
 
 
+@_query("replication_totals", "SELECT count(DISTINCT key) AS object_count, count(DISTINCT (key, place)) AS copy_count, CAST((SELECT sum(n) FROM (SELECT max(strlen(content)) AS n FROM {objects} AS x GROUP BY key) AS y) AS BIGINT) AS object_bytes FROM (SELECT key, placement AS place FROM {objects} AS a UNION ALL SELECT key, CASE WHEN strlen(content) % 2 = 0 THEN 1 ELSE placement END AS place FROM {objects} AS b) AS u")
+def _(spark, sf):
+    rows = lens(spark, sf, "objects").select(F.col("key").alias("path"), "placement", F.octet_length("content").cast("long").alias("byte_len"))
+    replicas = rows.select("path", F.when(F.col("byte_len") % 2 == 0, 1).otherwise(F.col("placement")).alias("placement"))
+    return objects.replication_totals(rows, replicas)
+
+
+@_query("replica_conflicts", "SELECT key AS path, place AS placement FROM (SELECT 'k' || CAST(page_id % 7 AS STRING) AS key, page_id % 3 AS place, md5(html) AS digest FROM pages) AS t GROUP BY key, place HAVING count(DISTINCT digest) > 1")
+def _(spark, sf):
+    registered = lens(spark, sf, "pages").selectExpr("concat('k', page_id % 7) AS path", "page_id % 3 AS placement", "md5(html) AS digest")
+    return objects.conflicting_replicas(registered)
+
+
 @_query("orphans", "SELECT key FROM {objects} AS o WHERE placement = 1")
 def _(spark, sf):
     listed = lens(spark, sf, "objects")
     return objects.orphans(listed, listed.where("placement <> 1"))
 
 
-@_query("policy_check", "SELECT 'p' || CAST(shard AS STRING) AS policy, reason IS NULL AS valid, reason FROM (SELECT shard, CASE WHEN shard = 0 THEN NULL WHEN shard = 1 THEN 'not exactly one primary' WHEN shard = 2 THEN 'more than one gravity shard' ELSE 'a target is named twice' END AS reason FROM (SELECT DISTINCT shard FROM {stream} AS s) AS d) AS t")
+_POLICY = "(SELECT 'p' || CAST(o_custkey AS STRING) AS policy, o_orderkey % 7 AS target, CAST(o_orderkey % 11 AS INT) AS copies, o_orderpriority = '1-URGENT' AS is_primary, o_custkey % 3 + CASE WHEN o_orderstatus = 'P' THEN 1 ELSE 0 END AS gravity_shard FROM orders)"
+
+
+@_query("policy_check", f"""
+SELECT policy, reason IS NULL AS valid, reason FROM (SELECT policy, CASE WHEN min(copies) < 1 THEN 'a target has no copy' WHEN count(*) FILTER (WHERE is_primary) <> 1 THEN 'not exactly one primary'
+WHEN count(DISTINCT gravity_shard) <> 1 THEN 'more than one gravity shard' WHEN count(DISTINCT target) < count(*) THEN 'a target is named twice' END AS reason FROM {_POLICY} AS t GROUP BY policy) AS r""")
 def _(spark, sf):
-    targets = spark.createDataFrame([(p, i) for p in range(4) for i in range(3)], "p int, i int").select(
-        F.concat(F.lit("p"), F.col("p").cast("string")).alias("policy"), F.when((F.col("p") == 3) & (F.col("i") == 2), 1).otherwise(F.col("i")).alias("target"), F.lit(1).alias("copies"),
-        ((F.col("i") == 0) | ((F.col("p") == 1) & (F.col("i") == 1))).alias("is_primary"), F.when(F.col("p") == 2, F.col("i")).otherwise(0).alias("gravity_shard"),
+    """Each customer's orders as the targets of a policy."""
+    targets = lens(spark, sf, "orders").selectExpr(
+        "concat('p', o_custkey) AS policy", "o_orderkey % 7 AS target", "CAST(o_orderkey % 11 AS INT) AS copies", "o_orderpriority = '1-URGENT' AS is_primary", "o_custkey % 3 + CASE WHEN o_orderstatus = 'P' THEN 1 ELSE 0 END AS gravity_shard",
     )
     return objects.check_policies(targets)
 
@@ -692,14 +730,9 @@ def _(spark, sf):
     return plan.select("shard", F.array_join(F.transform("parts", lambda x: x.cast("string")), ",").alias("parts"), "records")
 
 
-@_query("merge_execute", "SELECT global_sequence, execution_id FROM {event_log} AS e WHERE shard IN (0, 1)")
-def _(spark, sf):
-    log = lens(spark, sf, "event_log").select("shard", "global_sequence", "execution_id")
-    return maintenance.merge_parts([log.where("shard = 0"), log.where("shard = 1")], "global_sequence").select("global_sequence", "execution_id")
-
-
-@_query("merge_execute_all", "SELECT global_sequence, execution_id FROM {event_log} AS e")
+@_query("merge_execute", "SELECT global_sequence, execution_id FROM {event_log} AS e")
 def _(spark, sf):
+    """All shards merged to one run."""
     log = lens(spark, sf, "event_log").select("shard", "global_sequence", "execution_id")
     shards = [log.where(f"shard = {i}") for i in range(4)]
     rest = log.where("shard IS NULL OR shard NOT IN (0, 1, 2, 3)")
@@ -737,11 +770,19 @@ def _(spark, sf):
     return parity.compare(served, full, "execution_id", ["status", "terminal", "event_count"])
 
 
-@_query("parity_report", "SELECT true AS key_ok, false AS value_ok, false AS checkpoint_ok, CAST(5 AS BIGINT) AS checkpoint_lag, 'value' AS divergence")
+_REPORTED = ["status", "terminal", "event_count"]
+
+
+@_query("parity_report", """
+WITH x AS (SELECT * FROM @executions AS e), s AS (SELECT execution_id, status, terminal, event_count + CASE WHEN event_count % 5 = 0 THEN 1 ELSE 0 END AS event_count FROM x WHERE event_count % 7 <> 0),
+b AS (SELECT count(*) FILTER (WHERE s.execution_id IS NULL OR x.execution_id IS NULL) AS k, count(*) FILTER (WHERE s.execution_id IS NOT NULL AND x.execution_id IS NOT NULL AND (s.status IS DISTINCT FROM x.status OR s.terminal IS DISTINCT FROM x.terminal OR s.event_count IS DISTINCT FROM x.event_count)) AS v FROM s FULL OUTER JOIN x ON s.execution_id = x.execution_id),
+c AS (SELECT max(last_global_sequence) AS o, (SELECT max(global_sequence) FROM {event_log} AS l WHERE shard = 1) AS p FROM x)
+SELECT k = 0 AS key_ok, k > 0 OR v = 0 AS value_ok, o <= p AS checkpoint_ok, CAST(greatest(o - p, 0) AS BIGINT) AS checkpoint_lag, CASE WHEN k > 0 THEN 'key' WHEN v > 0 THEN 'value' WHEN o > p THEN 'checkpoint' END AS divergence FROM b CROSS JOIN c""")
 def _(spark, sf):
-    full = executions(spark, sf)
-    served = full.withColumn("event_count", F.col("event_count") + 1)
-    return parity.report(served, full, "execution_id", ["status", "terminal", "event_count"], checkpoint=95, offset=100)
+    full, log = executions(spark, sf), lens(spark, sf, "event_log")
+    served = full.where("event_count % 7 <> 0").withColumn("event_count", F.col("event_count") + F.when(F.col("event_count") % 5 == 0, 1).otherwise(0))
+    cursors = log.agg(F.max(F.when(F.col("shard") == 1, F.col("global_sequence"))).alias("checkpoint"), F.max("global_sequence").alias("offset"))
+    return parity.report_at(served, full, "execution_id", _REPORTED, cursors)
 
 
 @_query("parity_kv", "SELECT bucket, key, CASE WHEN op_seq % 3 = 0 THEN 'presence' WHEN op_seq % 3 = 1 THEN 'value' ELSE 'ttl' END AS divergence FROM (SELECT *, row_number() OVER (PARTITION BY bucket, key ORDER BY op_seq DESC) AS r FROM {kv_ops} AS k) AS t WHERE r = 1 AND NOT deleted")
@@ -752,11 +793,27 @@ def _(spark, sf):
     return parity.kv_parity(served, state, ["bucket", "key"])
 
 
-@_query("parity_vector", "SELECT true AS ids_ok, false AS order_ok, false AS monotonic_ok, 'rank-order' AS divergence")
+_RANKED = f"(SELECT *, row_number() OVER (ORDER BY score DESC, point_id) AS rank FROM (SELECT point_id, {_COS.format('CAST(vector AS DOUBLE[])')} AS score FROM {{vector_ops}} AS v CROSS JOIN {_Q} AS q WHERE NOT deleted AND collection = 'c0' ORDER BY score DESC, point_id LIMIT 10) AS t)"
+_SERVED = {"same": ("rank", "score"), "reversed": ("11 - rank", "score"), "rising": ("rank", "score + rank * 2")}
+
+
+def _ranking_sql(kind: str) -> str:
+    rank, score = _SERVED[kind]
+    return f"""SELECT '{kind}' AS served, n = 0 AS ids_ok, m = 0 AS order_ok, r = 0 AS monotonic_ok, CASE WHEN n > 0 THEN 'id-set' WHEN m > 0 THEN 'rank-order' WHEN r > 0 THEN 'score' END AS divergence FROM (
+SELECT (SELECT count(*) FROM ranked AS a WHERE point_id NOT IN (SELECT point_id FROM ranked AS b)) AS n, (SELECT count(*) FROM (SELECT {rank} AS rank, point_id FROM ranked AS s0) AS s JOIN ranked AS a ON a.rank = s.rank WHERE a.point_id <> s.point_id) AS m,
+(SELECT count(*) FROM (SELECT score, lag(score) OVER (ORDER BY rank) AS before FROM (SELECT {rank} AS rank, {score} AS score FROM ranked AS s1) AS s2) AS s3 WHERE before + 0.000001 < score) AS r) AS c"""
+
+
+@_query("parity_vector", f"WITH ranked AS (SELECT * FROM {_RANKED} AS x) {' UNION ALL '.join(map(_ranking_sql, _SERVED))}")
 def _(spark, sf):
+    """A ranking held against itself, turned round, and with scores that rise."""
     hits = search.log_topk(stores.vector_points(lens(spark, sf, "vector_ops")), "c0", _query_vector(spark, sf), 10)
-    ranked = hits.withColumn("rank", F.row_number().over(Window.orderBy(F.desc("score"), "point_id")))
-    return parity.ranking_parity(ranked.withColumn("rank", 11 - F.col("rank")), ranked)
+    ranked, out = hits.withColumn("rank", F.row_number().over(Window.orderBy(F.desc("score"), "point_id"))), None
+    for kind, (rank, score) in _SERVED.items():
+        served = ranked.select("point_id", F.expr(rank).alias("rank"), F.expr(score).alias("score"))
+        row = parity.ranking_parity(served, ranked).select(F.lit(kind).alias("served"), "*")
+        out = row if out is None else out.unionAll(row)
+    return out
 
 
 # transactions, libraries, constraints
@@ -792,7 +849,7 @@ def _(spark, sf):
     return stores.check_libraries(libraries).select("path", "revision", "reason")
 
 
-@_query("retrieval_constraints", "SELECT 'chunk without document' AS kind, chunk_id AS id FROM {chunks} AS c WHERE CAST(substr(document_id, 2) AS BIGINT) % 50 = 3 UNION ALL SELECT 'embedding of wrong length' AS kind, 'd' || CAST(doc_id AS STRING) || '-0' AS id FROM documents WHERE doc_id % 40 = 1")
+@_query("retrieval_constraints", "SELECT 'chunk without document' AS kind, chunk_id AS id FROM {chunks} AS c WHERE CAST(substr(document_id, 2) AS BIGINT) % 50 = 3 UNION ALL SELECT 'embedding of wrong length' AS kind, chunk_id AS id FROM {chunks} AS e WHERE CAST(substr(document_id, 2) AS BIGINT) % 40 = 1")
 def _(spark, sf):
     documents = lens(spark, sf, "docs").where("cast(substr(document_id, 2) AS bigint) % 50 <> 3")
     number = F.regexp_extract("chunk_id", r"^d(\d+)-", 1).cast("long")
@@ -825,10 +882,16 @@ def _(spark, sf):
     return whole.groupBy("execution_id").agg(F.max("global_sequence").alias("tip"))
 
 
-@_query("set_equality", "SELECT false AS same")
+@_query("set_equality", """
+WITH a AS (SELECT DISTINCT execution_id FROM {event_log} AS e WHERE shard = 1), b AS (SELECT DISTINCT execution_id FROM {event_replay} AS e WHERE shard = 1), c AS (SELECT DISTINCT execution_id FROM {event_log} AS e WHERE shard = 1 AND event_type = 'playbook.completed')
+SELECT 'replay' AS against, NOT EXISTS (SELECT * FROM a EXCEPT SELECT * FROM b) AND NOT EXISTS (SELECT * FROM b EXCEPT SELECT * FROM a) AS same
+UNION ALL SELECT 'completed' AS against, NOT EXISTS (SELECT * FROM a EXCEPT SELECT * FROM c) AND NOT EXISTS (SELECT * FROM c EXCEPT SELECT * FROM a) AS same""")
 def _(spark, sf):
-    log = lens(spark, sf, "event_log")
-    return parity.same_ids(log, log.where("event_id <> 5"), "event_id")
+    """The executions of a shard against those of its replayed log, and against the completed ones."""
+    log, replayed = lens(spark, sf, "event_log").where("shard = 1"), lens(spark, sf, "event_replay").where("shard = 1")
+    ids = log.select("execution_id").distinct()
+    out = parity.same_ids(ids, replayed.select("execution_id").distinct(), "execution_id").select(F.lit("replay").alias("against"), "same")
+    return out.unionAll(parity.same_ids(ids, log.where("event_type = 'playbook.completed'").select("execution_id").distinct(), "execution_id").select(F.lit("completed").alias("against"), "same"))
 
 
 @_query("owned_shards", "SELECT global_sequence, shard FROM {event_log} AS e WHERE shard IN (1, 3)")
@@ -836,9 +899,19 @@ def _(spark, sf):
     return stores.owned(lens(spark, sf, "event_log"), "shard", [1, 3]).select("global_sequence", "shard")
 
 
-@_query("consumer_acknowledge", "SELECT consumer, CASE WHEN consumer = 'fresh' THEN 200 ELSE acked END AS acked FROM {consumers} AS c")
+_ACKS = """(SELECT 'fresh' AS consumer, CAST(floor(max(sequence) / 3) AS BIGINT) AS sequence FROM {stream} AS s UNION ALL SELECT 'half' AS consumer, CAST(min(sequence) AS BIGINT) AS sequence FROM {stream} AS s
+UNION ALL SELECT 'done' AS consumer, max(sequence) + 1 AS sequence FROM {stream} AS s UNION ALL SELECT 'nobody' AS consumer, max(sequence) AS sequence FROM {stream} AS s)"""
+
+
+@_query("consumer_acknowledge", f"""
+SELECT coalesce(c.consumer, a.consumer) AS consumer, CASE WHEN c.consumer IS NOT NULL AND a.sequence <= t.tip AND a.sequence >= c.acked THEN a.sequence ELSE c.acked END AS acked,
+CASE WHEN c.consumer IS NULL THEN 'refused: no consumer' WHEN a.consumer IS NULL THEN 'unchanged' WHEN a.sequence > t.tip THEN 'refused: beyond the tip' WHEN a.sequence < c.acked THEN 'ignored' ELSE 'moved' END AS outcome
+FROM {{consumers}} AS c FULL OUTER JOIN {_ACKS} AS a ON a.consumer = c.consumer CROSS JOIN (SELECT max(sequence) AS tip FROM {{stream}} AS s) AS t""")
 def _(spark, sf):
-    return logs.acknowledge(lens(spark, sf, "consumers"), "fresh", 200, 1000)
+    log = lens(spark, sf, "stream")
+    ends = log.agg(F.max("sequence").alias("last"), F.min("sequence").alias("first"))
+    acks = ends.select(F.expr("stack(4, 'fresh', last div 3, 'half', first, 'done', last + 1, 'nobody', last) AS (consumer, sequence)"))
+    return logs.acknowledge_each(lens(spark, sf, "consumers"), acks, log, strict=False)
 
 
 @_query("wasm_list", f"WITH {_WASM} SELECT key, env, CASE WHEN kind = 'bind' THEN bind_to ELSE p END AS version FROM l WHERE r = 1 AND kind <> 'unpublish' AND env = 'prod'")
@@ -860,12 +933,14 @@ def _(spark, sf):
 
 
 def queries() -> dict[str, Query]:
+    from tidelog.plans import catalogue_tiers  # noqa: F401  it adds its queries
     from tidelog.streaming import demos
 
     return _QUERIES | demos.queries()
 
 
 def oracle_sql() -> dict[str, str]:
+    from tidelog.plans import catalogue_tiers  # noqa: F401
     from tidelog.streaming import demos
 
     return _SQL | demos.oracle_sql()

@@ -9,6 +9,7 @@ from pyspark.sql.types import StructType
 
 from tidelog.functions.subjects import subject_matches
 from tidelog.operators.logs import apply_once
+from tidelog.session import hadoop_path
 
 
 def follow(spark: SparkSession, path: str, schema: StructType, after: int | None = None, seq: str = "global_sequence", subject_filter: str | None = None) -> DataFrame:
@@ -29,14 +30,18 @@ def materialise(rows: DataFrame, target: str, checkpoint: str, seq: str = "globa
 
     A batch owns the folder batch=<id> and replaces it whole, so a repetition writes the
     same again; ids of earlier batches are left out by an anti join on their column alone.
+    The join reads earlier ids between the batch's least and greatest only: where ids grow,
+    statistics leave out the history, so a batch costs what it holds.
     """
 
     def apply(batch: DataFrame, batch_id: int) -> None:
         spark = batch.sparkSession
-        jvm = spark.sparkContext._jvm
-        at = jvm.org.apache.hadoop.fs.Path(target)
-        there = at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).exists(at)
-        earlier = spark.read.parquet(target).where(F.col("batch") != batch_id).select(event_id) if there else None
+        fs, at = hadoop_path(spark, target)
+        there = fs.exists(at)
+        earlier = None
+        if there:
+            low, high = batch.agg(F.min(event_id), F.max(event_id)).first()
+            earlier = spark.read.parquet(target).where((F.col("batch") != batch_id) & F.col(event_id).between(low, high)).select(event_id)
         apply_once(batch, earlier, seq, event_id).write.mode("overwrite").parquet(f"{target}/batch={batch_id}")
 
     return rows.writeStream.foreachBatch(apply).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
