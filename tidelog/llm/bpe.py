@@ -24,7 +24,9 @@ from tidelog.llm.textbatch import flat_text, list_array, pieces, ragged_range, s
 
 DEFAULT_VOCABULARY = os.environ.get("TIDELOG_VOCABULARY", "/opt/tokenizers/byte_bpe_50k.tiktoken")
 MAX_VOCABULARY_BYTES = 64 << 20
-CACHE_PIECES = 300_000
+#: Pieces that a worker keeps the tokens of, and text bytes of one numpy step: both bound its memory, neither changes a result.
+CACHE_PIECES = 150_000
+STEP_BYTES = 1 << 20
 LONG_PIECE = 64
 _NONE = np.int32(2**31 - 1)
 
@@ -221,7 +223,7 @@ def encode(docs: DataFrame, path: str = DEFAULT_VOCABULARY, id_col: str = "doc_i
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         v = vocabulary(file.value)
-        for batch in pieces(batches, "text"):
+        for batch in pieces(batches, "text", STEP_BYTES):
             data, offsets, null = flat_text(batch.column(1))
             tokens, bounds = v.encode_flat(data, offsets)
             lengths = v.lengths[tokens]
