@@ -243,10 +243,12 @@ def components(links: DataFrame) -> DataFrame:
 def bucket_pairs(heads: DataFrame, threshold: float = THRESHOLD, bucket_rows: int = BUCKET_ROWS) -> DataFrame:
     """(u, v): links among nodes (id, whole, signature) that share a band and agree in `threshold` of their coordinates; as many as connect all that do."""
     keyed = banded(heads)
-    sizes = keyed.groupBy("key").agg(F.count("*").alias("n"), F.bit_xor("whole").alias("a"), F.bit_xor(F.xxhash64("whole")).alias("b")).where("n > 1")
+    twice = keyed.groupBy("key").agg(F.count("*").alias("n")).where("n > 1").select("key")
+    shared = cut(keyed.join(twice, "key").select("key", "id", "whole"))  # few: most bands are of one node alone
     # near copies share many bands: of buckets with the same members one is enough
-    chosen = sizes.groupBy("n", "a", "b").agg(F.min("key").alias("key"))
-    shared = keyed.join(chosen.select("key", "n"), "key")
+    sets = shared.groupBy("key").agg(F.count("*").alias("n"), F.bit_xor("whole").alias("a"), F.bit_xor(F.xxhash64("whole")).alias("b"))
+    chosen = sets.groupBy("n", "a", "b").agg(F.min("key").alias("key"))
+    shared = shared.join(chosen.select("key", "n"), "key")
     blocks = F.ceil(F.col("n") / F.lit(max(1, bucket_rows // 2)))
     block = F.pmod(F.xxhash64("whole", "id"), blocks)
     others = F.filter(F.sequence(F.lit(0).cast("long"), blocks - 1), lambda j: j != block)
