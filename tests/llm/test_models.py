@@ -8,6 +8,7 @@ import numpy as np
 import pyarrow as pa
 import pytest
 
+import plain
 from tidelog.llm import language, quality
 from tidelog.llm.textbatch import flat_text
 
@@ -42,36 +43,13 @@ def test_votes_by_brute_force(labelled):
         assert math.isclose(score, want, abs_tol=2e-3)
 
 
-def plain_vector(model, raw):
-    """A document's latent-semantic vector, byte by byte and term by term."""
-    counts = [0] * quality.FEATURES
-    padded = raw + bytes(max(0, 3 - len(raw))) if raw else b""
-    for n, odd in ((3, 0x9E3779B1), (6, 0x85EBCA77)):
-        for i in range(len(padded) - n + 1):
-            h = 0
-            for b in padded[i : i + n]:
-                h = (h * 0x01000193 & 0xFFFFFFFF) ^ b
-            counts[(h * odd & 0xFFFFFFFF) >> 20] += 1
-    total, square = sum(counts), sum(c * c for c in counts)
-    terms = [math.log(1 + c) * float(w) for c, w in zip(counts, model.weights, strict=True)]
-    size = math.sqrt(sum(t * t for t in terms)) or 1
-    level = min(max(2 * (min(math.log2(total), quality.PROSE_BITS) - math.log2(total * total / square)), 0), quality.LEVELS - 1)
-    terms = [t / size for t in terms] + [quality.TEXTURE_WEIGHT * max(0, 1 - abs(level - k)) for k in range(quality.LEVELS)]
-    v = [sum(t * float(p) for t, p in zip(terms, column, strict=True) if t) for column in model.projection.T]
-    size = math.sqrt(sum(x * x for x in v)) or 1
-    return [x / size for x in v]
-
-
 def test_scores_without_the_codes_own_functions(labelled):
     table = labelled[2]
     model = quality.fit_model(list(table.text[:80]), list(table.quality[:80]))
     texts = ["a", "é", "ab", "abc", "abcde", "aaaaaa", *(t[:400] for t in table.text[150:156])]
     data, offsets, _ = flat_text(pa.array(texts))
     for text, score in zip(texts, quality.score_flat(model, data, offsets), strict=True):
-        v = plain_vector(model, text.encode())
-        near = sorted(((sum(a * float(b) for a, b in zip(v, row, strict=True)), float(y), float(w)) for row, y, w in zip(model.vectors, model.labels, model.balance, strict=True)), reverse=True)
-        voters = [x for x in near if x[0] >= near[quality.NEIGHBOURS - 1][0] - 1e-6 and x[0] > 0]
-        assert math.isclose(score, sum(s * w * y for s, y, w in voters) / sum(s * w for s, y, w in voters), abs_tol=2e-3)
+        assert math.isclose(score, plain.vote(model, text.encode()), abs_tol=2e-3)
 
 
 def test_short_texts_are_judged(spark, labelled):
@@ -126,22 +104,6 @@ def test_gradients():
             assert math.isclose((ends[0] - ends[1]) / 2e-5, g[k][i], rel_tol=1e-4, abs_tol=1e-8)
 
 
-def brute_reader(p, raw):
-    """One position after the other over the whole text: (mean probabilities, positions labelled)."""
-    total, votes, states = np.zeros(len(p["b"])), np.zeros(len(p["b"])), {}
-    for way, order in (("f", range(len(raw))), ("b", range(len(raw) - 1, -1, -1))):
-        h = np.zeros(len(p["Uf"]))
-        for t in order:
-            h = cell(p, way, h, raw[t])
-            states[way, t] = h
-    for t in range(len(raw)):
-        z = states["f", t] @ p["Wf"] + states["b", t] @ p["Wb"] + p["b"]
-        e = np.exp(z - z.max())
-        total += e / e.sum()
-        votes[z.argmax()] += 1
-    return total / max(1, len(raw)), votes
-
-
 def net(seed=2):
     """A network that remembers for hundreds of bytes."""
     p = language.initial(["a", "b", "c"], 5, np.random.default_rng(seed))
@@ -161,7 +123,7 @@ def test_reader_by_brute_force(monkeypatch, cells):
     offsets = np.cumsum([0, *map(len, texts)])
     pooled, labelled = language.Reader(model).documents(data, offsets)
     for d, raw in enumerate(texts):
-        mean, votes = brute_reader(model.params, raw)
+        mean, votes = plain.read(model.params, raw)
         assert np.allclose(pooled[d], mean, atol=1e-4)
         assert np.abs(labelled[d] - votes).sum() <= 2
 
@@ -194,14 +156,6 @@ def test_spans():
         assert all(s <= 100 or b.num_rows == 1 for s, b in zip(sizes, out, strict=True)) and len(out) < 100
 
 
-def cell(p, way, h, byte):
-    e, u, n = p["E" + way][byte], h @ p["U" + way], len(h)
-    sig = lambda x: 1 / (1 + np.exp(-x))
-    r, z = sig(e[:n] + u[:n]), sig(e[n : 2 * n] + u[n : 2 * n])
-    c = np.tanh(e[2 * n :] + r * (u[2 * n :] + p["c" + way]))
-    return (1 - z) * c + z * h
-
-
 def test_language_on_held_out_rows(labelled):
     table = labelled[0].toPandas().drop_duplicates("text").sample(frac=1, random_state=1)
     train, test = table[:500], table[500:]

@@ -10,6 +10,7 @@ import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
+import plain
 from tidelog.llm import neardup
 from tidelog.llm.textbatch import flat_text
 
@@ -72,6 +73,19 @@ def test_a_signature_does_not_depend_on_its_neighbours(corpus):
     assert np.array_equal(signatures(corpus)[7], signatures([corpus[7]])[0])
 
 
+def test_signatures_dart_by_dart():
+    """Against a rewrite without arrays: repeated words, one word, signs alone, long words, other scripts."""
+    texts = ["a b c d e f g h", "a b " * 9 + "c", "word", "...!", "x" * 700 + " y " + "x" * 700, "é 中文 ABC abc", "to be or not to be that is the question " * 3]
+    assert [tuple(r) for r in signatures(texts).tolist()] == [plain.signature(t) for t in texts]
+
+
+def test_groups_pair_by_pair(spark, corpus):
+    """Whole result against all pairs of the rewrite, with the operator's own threshold."""
+    texts = dict(enumerate(corpus[:90]))
+    got = {r.doc_id: r.group_id for r in neardup.near_groups(spark.createDataFrame(list(texts.items()), "doc_id long, text string")).collect()}
+    assert got == plain.groups(texts)
+
+
 def test_groups_against_brute_force(spark, corpus):
     """Pairs above the threshold by exact similarity are together (recall), and groups hold no stranger."""
     docs = spark.createDataFrame(list(enumerate(corpus)), "doc_id long, text string").repartition(5)

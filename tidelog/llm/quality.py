@@ -29,6 +29,8 @@ NEIGHBOURS = 15
 #: A document is kept if its vote for good quality is at least this.
 MIN_SCORE = 0.35
 BLOCK = 512
+#: Positions whose n-grams are hashed at once.
+STEP_BYTES = 2 << 20
 #: Columns for the concentration of a document's counts, which tells repeated words from prose.
 LEVELS = 13
 PROSE_BITS = 8.5
@@ -65,14 +67,15 @@ def count_features(data: np.ndarray, offsets: np.ndarray) -> np.ndarray:
         ends = np.concatenate([data, np.zeros(1, np.uint8)])[offsets[brief] + 1]
         grams = [data[offsets[brief]], np.where(sizes[brief] == 2, ends, 0), np.zeros(len(brief))]
         np.add.at(out, brief * FEATURES + _hash([g.astype(np.uint32) for g in grams], 0x9E3779B1), 1)
-    wide = data.astype(np.uint32)
     for n, odd in ((3, 0x9E3779B1), (6, 0x85EBCA77)):
-        if len(data) < n:
-            continue
-        h = _hash([wide[k : len(data) - n + 1 + k] for k in range(n)], odd)
-        owner = np.repeat(np.arange(docs), sizes)[: len(h)]
-        inside = np.arange(len(h)) + n <= offsets[1:][owner]
-        out += np.bincount((owner * FEATURES + h)[inside], minlength=docs * FEATURES).astype(np.float32)
+        for a in range(0, len(data) - n + 1, STEP_BYTES):  # a long text is not widened whole
+            b = min(a + STEP_BYTES, len(data) - n + 1)
+            wide = data[a : b + n - 1].astype(np.uint32)
+            h = _hash([wide[k : b - a + k] for k in range(n)], odd)
+            at = np.arange(a, b)
+            owner = np.repeat(np.arange(docs), np.diff(np.clip(offsets, a, b)))
+            inside = at + n <= offsets[1:][owner]
+            out += np.bincount((owner * FEATURES + h)[inside], minlength=docs * FEATURES).astype(np.float32)
     return out.reshape(docs, FEATURES)
 
 
