@@ -228,3 +228,18 @@ def test_once_each_in_a_stream(spark, tmp_path):
     rows = spark.readStream.schema("event_id long, v string").option("maxFilesPerTrigger", 1).parquet(f"{tmp_path}/in")
     feeds.append_to(feeds.once_each(rows), f"{tmp_path}/out", f"{tmp_path}/check").awaitTermination()
     assert sorted(r.event_id for r in spark.read.schema("event_id long, v string").parquet(f"{tmp_path}/out").collect()) == [1, 2, 3]
+
+
+def test_command_line(spark, sf, capsys):
+    """Every verb with arguments gives rows, or an error's exit code."""
+    from tidelog import __main__ as cli
+
+    for line, said in (
+        ("execution {} 7", "event_count"), ("log-scan {} 10 3", "13"), ("log-read {} 7 0", "transaction_id"), ("tail {} fresh 2", "events."), ("tail {} new 1", "true"), ("ack {} fresh 5", "moved"), ("ack {} nobody 5", "no consumer"), ("subject {} events.click.>", "events.click"),
+        ("kv-get {} click k/3/1", "bucket"), ("kv-scan {} k/3/", "k/3/"), ("registry-get {} p/1 2", "content"), ("objects {} http", "sha256:"), ("text-search {} src0 en the 2", "match_count"), ("retrieve {} src0 en the", "hit"), ("summary {}", "transactions"), ("lag {}", "consumer_lag"),
+    ):
+        assert cli.main(line.format(sf).split()) == 0 and said in capsys.readouterr().out, line
+    assert cli.main(["subject", sf, "a..b"]) != 0 and "failed_precondition" in capsys.readouterr().err
+    with pytest.raises(SystemExit):
+        cli.main(["run", "nothing", sf])
+    assert set(cli._QUERIES.values()) <= set(catalogue.queries()) and len(cli.VERBS) + len(cli._QUERIES) >= 35

@@ -402,7 +402,9 @@ def _(spark, sf):
     return search.chunks_containing(lens(spark, sf, "chunks"), lens(spark, sf, "docs"), "src1", "fr", "QUE").select("document_id", "ordinal", "chunk_id")
 
 
-_HYBRID = f"SELECT * FROM (SELECT chunk_id, document_id, ordinal, text, model_id, score AS vector_score, {_COUNT} AS match_count, round(0.7 * score + 0.05 * {_COUNT}, 6) AS combined_score FROM {_HITS} AS h) AS t WHERE combined_score <> 0 ORDER BY combined_score DESC, vector_score DESC, match_count DESC, document_id, ordinal, chunk_id LIMIT 10"
+#: Of so many sums some lie halfway between two roundings: here as Spark rounds, half up on the shortest decimal form.
+_HALF_UP = f"CAST(round(CAST(CAST(0.7 * score + CAST(0.05 AS DOUBLE) * {_COUNT} AS VARCHAR) AS DECIMAL(38, 20)), 6) AS DOUBLE)"
+_HYBRID = f"SELECT * FROM (SELECT chunk_id, document_id, ordinal, text, model_id, score AS vector_score, {_COUNT} AS match_count, {_HALF_UP} AS combined_score FROM {_HITS} AS h) AS t WHERE combined_score <> 0 ORDER BY combined_score DESC, vector_score DESC, match_count DESC, document_id, ordinal, chunk_id LIMIT 10"
 
 
 def _hybrid(spark, sf) -> DataFrame:
@@ -439,8 +441,6 @@ _EMBEDDED = f"(SELECT d.tenant, d.namespace, c.chunk_id, c.document_id, c.ordina
 _ALL_HITS = f"""(SELECT 'q' || substr(a.document_id, 2) AS query_id, a.tenant, a.namespace, b.chunk_id, b.document_id, b.ordinal, b.text, 'm0' AS model_id, {_COS.format("b.q").replace(", q)", ", a.q)").replace("(q,", "(a.q,")} AS score
 FROM {_EMBEDDED} AS a JOIN {_EMBEDDED} AS b ON b.tenant = a.tenant AND b.namespace = a.namespace WHERE a.ordinal = 0 AND CAST(substr(a.document_id, 2) AS BIGINT) % 20 = 0)"""
 _SCOPED = "(SELECT d.tenant, d.namespace, c.* FROM {chunks} AS c JOIN {docs} AS d ON d.document_id = c.document_id)"
-#: Of so many sums some lie halfway between two roundings: here as Spark rounds, half up on the shortest decimal form.
-_HALF_UP = f"CAST(round(CAST(CAST(0.7 * score + CAST(0.05 AS DOUBLE) * {_COUNT} AS VARCHAR) AS DECIMAL(38, 20)), 6) AS DOUBLE)"
 _ALL_HYBRID = f"""SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY combined_score DESC, vector_score DESC, match_count DESC, document_id, ordinal, chunk_id) AS rank FROM
 (SELECT query_id, tenant, namespace, chunk_id, document_id, ordinal, text, model_id, score AS vector_score, {_COUNT} AS match_count, {_HALF_UP} AS combined_score FROM {_ALL_HITS} AS h) AS t WHERE combined_score <> 0) AS r WHERE rank <= 10"""
 
