@@ -1,8 +1,9 @@
 """Operator 9: licence scans.
 
 An Aho-Corasick automaton finds notice phrases in whole texts, without ASCII case and
-with white space, line ends and the comment signs around them folded to one space; tags
-are found in the text as it is. The expression after a tag is read by a shunting-yard parser (WITH
+with white space, line ends and the comment signs around them folded to one space (texts
+that hold no word of any phrase, by another automaton, are not folded); tags are found in
+the text as it is. The expression after a tag is read by a shunting-yard parser (WITH
 binds closest, then AND, then OR) and evaluated on a scale of restrictions: AND takes
 the stricter side, OR the freer one, a known exception moves a licence one step down.
 """
@@ -174,6 +175,17 @@ def automaton():
     return a
 
 
+def anchors():
+    """An automaton of one whole word of each phrase, the longest. Folding keeps words, so a text without any of them holds no phrase."""
+    import ahocorasick
+
+    a = ahocorasick.Automaton()
+    for p in PHRASES:
+        a.add_word(max(re.findall(r"[0-9a-z]+", p), key=len), True)
+    a.make_automaton()
+    return a
+
+
 def scan_text(a, text: str, folded: str) -> tuple[list[str], list[str], int, int]:
     """(licences, expressions, level, hits) of one text; text may be empty if it has no tags; folded is it in ASCII lower case with its spaces folded."""
     names: set[str] = set()
@@ -222,11 +234,16 @@ def scan(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", allowe
     bar = LEVELS.index(allowed)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        a = automaton()
+        a, some = automaton(), anchors()
+
+        def one(raw: bytes, low: bytes) -> tuple[list[str], list[str], int, int]:
+            text = low.decode()
+            return scan_text(a, raw.decode() if b"spdx-license" in low else "", _FOLD.sub(" ", text) if next(some.iter(text), None) else "")
+
         for batch in pieces(batches, "text"):
             data, offsets, _ = flat_text(batch.column(1))
             raw, low = data.tobytes(), fold[data].tobytes()
-            found = [scan_text(a, raw[s:e].decode() if b"spdx-license" in low[s:e] else "", _FOLD.sub(" ", low[s:e].decode())) for s, e in zip(offsets[:-1].tolist(), offsets[1:].tolist(), strict=True)]
+            found = [one(raw[s:e], low[s:e]) for s, e in zip(offsets[:-1].tolist(), offsets[1:].tolist(), strict=True)]
             lists = [list_array(np.cumsum([0, *(len(x[k]) for x in found)]), np.array([y for x in found for y in x[k]], object)) for k in (0, 1)]
             level = np.array([x[2] for x in found])
             yield pa.RecordBatch.from_arrays([batch.column(0), *(x.cast(pa.list_(pa.string())) for x in lists), pa.array(np.array(LEVELS, object)[level], pa.string()), pa.array([x[3] for x in found], pa.int32()), pa.array(level <= bar)], names=["id", "licences", "expressions", "restriction", "n_hits", "keep"])
