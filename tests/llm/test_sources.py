@@ -10,7 +10,7 @@ import zipfile
 
 import pytest
 from pyspark.sql import functions as F
-from pyspark.sql.datasource import EqualTo, In, StringStartsWith
+from pyspark.sql.datasource import EqualTo, GreaterThan, In, IsNotNull, LessThanOrEqual, StringStartsWith
 
 from tidelog.llm import media, warc
 from tidelog.sources import storage as files
@@ -252,8 +252,8 @@ def test_predicates(spark, warcs, condition):
 def test_unwanted_payloads_are_not_read(warcs):
     """Payloads of other types are never taken in where the format allows to pass them."""
     for name, most in (("a.warc", 0.5), ("c.warc.gz", 1.1)):
-        reader = warc.WarcReader({"path": str(warcs / name)})
-        left = list(reader.pushFilters([EqualTo(("record_type",), "request"), In(("target_uri",), ("http://a/1", "http://z")), StringStartsWith(("record_id",), "<urn"), EqualTo(("content_length",), 1)]))
+        reader = warc.PushingReader({"path": str(warcs / name)})
+        left = list(reader.pushFilters([EqualTo(("record_type",), "request"), In(("target_uri",), ("http://a/1", "http://z")), StringStartsWith(("record_id",), "<urn"), EqualTo(("offset",), 1)]))
         assert len(left) == 1
         taken = []
         real = warc.Body.payload
@@ -265,6 +265,34 @@ def test_unwanted_payloads_are_not_read(warcs):
         assert len(rows) == 1 and taken == [1]
 
 
+def test_predicates_by_options(spark, warcs):
+    """What options ask for is what filters above the scan give; payloads of the rest are not taken in."""
+    whole = warc.read_warc(spark, str(warcs))
+    n = whole.count()
+    for options, sql in (
+        ({"record_type": "response"}, "record_type = 'response'"), ({"header.X-Odd": "two"}, "headers['x-odd'] = 'two'"), ({"min_length": 6, "max_length": 100}, "content_length BETWEEN 6 AND 100"), ({"max_length": 0}, "content_length = 0"),
+        ({"record_type": "response", "header.WARC-Target-URI": "http://a/1", "min_length": 1}, "record_type = 'response' AND target_uri = 'http://a/1' AND content_length > 0"), ({"record_type": "none"}, "false"),
+    ):
+        key = lambda df: sorted((r.file, r.offset, r.content_length) for r in df.collect())
+        assert key(warc.read_warc(spark, str(warcs), **options)) == key(whole.where(sql)), sql
+    assert whole.count() == n  # filters of other queries over one DataFrame leave no trace
+
+
+def test_filters_that_are_pushed_down(spark, warcs):
+    reader = warc.PushingReader({"path": str(warcs)})
+    assert list(reader.pushFilters([GreaterThan(("content_length",), 5), LessThanOrEqual(("content_length",), 100), IsNotNull(("content_length",))])) == []
+    own = sorted(r["content_length"] for p in reader.partitions() for b in reader.read(p) for r in b.to_pylist())
+    assert own and own == sorted(r.content_length for r in warc.read_warc(spark, str(warcs)).where("content_length > 5 AND content_length <= 100").collect())
+    assert not hasattr(warc.WarcReader, "pushFilters") or warc.WarcReader.pushFilters is warc.DataSourceReader.pushFilters
+    spark.conf.set("spark.sql.python.filterPushdown.enabled", "true")
+    try:
+        assert warc.read_warc(spark, str(warcs), pushdown="true").where("record_type = 'response' AND content_length > 0").count() == 3
+        whole = warc.read_warc(spark, str(warcs))
+        assert (whole.where("record_type = 'response'").count(), whole.count()) == (9, 3 * len(RECORDS))
+    finally:
+        spark.conf.unset("spark.sql.python.filterPushdown.enabled")
+
+
 def test_headers_only(spark, warcs):
     df = warc.read_warc(spark, str(warcs), payload="false")
     assert df.count() == 3 * len(RECORDS) and df.where(F.col("payload").isNotNull()).isEmpty()

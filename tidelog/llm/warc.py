@@ -1,19 +1,25 @@
 """Operator 8: WARC files as a Spark data source.
 
-Partitions are files. Predicates on the record type and headers are pushed down. A
+Partitions are files. Predicates on the record type and headers are pushed down: a
 record's headers are parsed first; where a predicate fails, its payload is neither
 read (plain files, and gzip members of one record that carry skip lengths) nor kept
 (other gzip members, which have to be inflated to find their end). A gzip member may
 hold several records, or the whole file.
 
     spark.dataSource.register(WarcSource)
-    spark.read.format("warc").option("path", folder).load().where("record_type = 'response'")
-
-Pushdown asks for spark.sql.python.filterPushdown.enabled; read_warc() sets it.
+    spark.read.format("warc").option("path", folder).option("record_type", "response").load()
+
+Predicates are options: record_type; header.<name> for any header; min_length and
+max_length of the content. With option pushdown=true those of where() are taken too, on
+the record type, the typed headers and the content length, if the session has
+spark.sql.python.filterPushdown.enabled. That is not the default: Spark 4.1 keeps pushed
+filters with the loaded relation, so another query over the same DataFrame without a
+filter would miss records. Such a DataFrame is for one query.
 """
 
 from __future__ import annotations
 
+import operator
 import struct
 import zlib
 from collections.abc import Iterator
@@ -22,7 +28,7 @@ import pyarrow as pa
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.datasource import DataSource, DataSourceReader, EqualTo, Filter, In, InputPartition, IsNotNull, StringStartsWith
+from pyspark.sql.datasource import DataSource, DataSourceReader, EqualTo, Filter, GreaterThan, GreaterThanOrEqual, In, InputPartition, IsNotNull, LessThan, LessThanOrEqual, StringStartsWith
 
 from tidelog.llm.shared import cut, map_arrow
 from tidelog.session import scratch_folder, ship
@@ -32,6 +38,7 @@ BATCH_BYTES = 8 << 20
 SCHEMA = "file string, offset long, record_type string, record_id string, target_uri string, date string, content_type string, content_length long, headers map<string,string>, payload binary"
 _ARROW = pa.schema([("file", pa.string()), ("offset", pa.int64()), ("record_type", pa.string()), ("record_id", pa.string()), ("target_uri", pa.string()), ("date", pa.string()), ("content_type", pa.string()), ("content_length", pa.int64()), ("headers", pa.map_(pa.string(), pa.string())), ("payload", pa.binary())])
 _HEADER = {"record_type": "warc-type", "record_id": "warc-record-id", "target_uri": "warc-target-uri", "date": "warc-date", "content_type": "content-type"}
+_COMPARE = {EqualTo: operator.eq, GreaterThan: operator.gt, GreaterThanOrEqual: operator.ge, LessThan: operator.lt, LessThanOrEqual: operator.le}
 _STEP = 1 << 16
 
 
@@ -191,26 +198,17 @@ class WarcReader(DataSourceReader):
             raise ValueError("option path is missing")
         self.path = options["path"]
         self.with_payload = options.get("payload", "true").lower() != "false"
-        self.wanted: list[tuple[str, str, tuple]] = []
-
-    def pushFilters(self, filters: list[Filter]) -> Iterator[Filter]:  # noqa: N802
-        for f in filters:
-            name = f.attribute[0] if getattr(f, "attribute", None) and len(f.attribute) == 1 else None
-            if name in _HEADER and isinstance(f, EqualTo):
-                self.wanted.append(("in", _HEADER[name], (f.value,)))
-            elif name in _HEADER and isinstance(f, In):
-                self.wanted.append(("in", _HEADER[name], tuple(f.value)))
-            elif name in _HEADER and isinstance(f, StringStartsWith):
-                self.wanted.append(("starts", _HEADER[name], (f.value,)))
-            elif name in _HEADER and isinstance(f, IsNotNull):
-                self.wanted.append(("there", _HEADER[name], ()))
-            else:
-                yield f
+        self.wanted: list[tuple[str, str, tuple]] = [("in", k[len("header.") :].lower(), (v,)) for k, v in options.items() if k.lower().startswith("header.")]
+        if "record_type" in options:
+            self.wanted.append(("in", "warc-type", (options["record_type"],)))
+        self.lengths: list[tuple[type, int]] = [(kind, int(options[k])) for k, kind in (("min_length", GreaterThanOrEqual), ("max_length", LessThanOrEqual)) if k in options]
 
     def partitions(self) -> list[FilePart]:
         return [FilePart(p, n) for p, n in list_files(self.path, (".warc", ".warc.gz"))] or [FilePart("", 0)]
 
-    def passes(self, headers: dict[str, str]) -> bool:
+    def passes(self, headers: dict[str, str], length: int) -> bool:
+        if not all(_COMPARE[kind](length, value) for kind, value in self.lengths):
+            return False
         for kind, name, values in self.wanted:
             value = headers.get(name)
             if value is None or kind == "in" and value not in values or kind == "starts" and not value.startswith(values[0]):
@@ -225,7 +223,7 @@ class WarcReader(DataSourceReader):
         rows, held = [], 0
         with fs.open_input_file(part.path) as f:
             for offset, headers, body in Source(f, 0, part.size, part.path.endswith(".gz")).records():
-                if not self.passes(headers):
+                if not self.passes(headers, body.length):
                     continue
                 payload = body.payload() if self.with_payload else None
                 rows.append((name, offset, *(headers.get(_HEADER[c]) for c in ("record_type", "record_id", "target_uri", "date", "content_type")), body.length, list(headers.items()), payload))
@@ -237,6 +235,28 @@ class WarcReader(DataSourceReader):
             yield _batch(rows)
 
 
+class PushingReader(WarcReader):
+    """The reader that takes filters from Spark; a reader with this method is refused where the session has filter pushdown off."""
+
+    def pushFilters(self, filters: list[Filter]) -> Iterator[Filter]:  # noqa: N802
+        for f in filters:
+            name = f.attribute[0] if getattr(f, "attribute", None) and len(f.attribute) == 1 else None
+            if name in _HEADER and isinstance(f, EqualTo):
+                self.wanted.append(("in", _HEADER[name], (f.value,)))
+            elif name in _HEADER and isinstance(f, In):
+                self.wanted.append(("in", _HEADER[name], tuple(f.value)))
+            elif name in _HEADER and isinstance(f, StringStartsWith):
+                self.wanted.append(("starts", _HEADER[name], (f.value,)))
+            elif name in _HEADER and isinstance(f, IsNotNull):
+                self.wanted.append(("there", _HEADER[name], ()))
+            elif name == "content_length" and type(f) in _COMPARE:
+                self.lengths.append((type(f), int(f.value)))
+            elif name == "content_length" and isinstance(f, IsNotNull):
+                pass  # it always is
+            else:
+                yield f
+
+
 def _batch(rows: list[tuple]) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*rows, strict=True), _ARROW, strict=True)], schema=_ARROW)
 
@@ -252,13 +272,15 @@ class WarcSource(DataSource):
         return SCHEMA
 
     def reader(self, schema) -> WarcReader:
-        return WarcReader(dict(self.options))
+        options = dict(self.options)
+        return (PushingReader if options.get("pushdown", "false").lower() == "true" else WarcReader)(options)
 
 
 def read_warc(spark: SparkSession, path: str, **options) -> DataFrame:
     """(file, offset, record_type, record_id, target_uri, date, content_type, content_length, headers, payload): a row for each record.
 
-    Header names in `headers` are in lower case. With option payload=false payloads are null and not decoded.
+    Header names in `headers` are in lower case. With option payload=false payloads are
+    null and not decoded; the other options are predicates, see the module.
 
     Cases: an empty folder or file gives no rows, a missing folder is an error; a header
     that a record lacks is null; of a repeated header the last value counts; an empty
@@ -266,7 +288,6 @@ def read_warc(spark: SparkSession, path: str, **options) -> DataFrame:
     member share its offset; a cut or malformed record is an error that names the fault.
     """
     ship(spark)
-    spark.conf.set("spark.sql.python.filterPushdown.enabled", "true")
     spark.dataSource.register(WarcSource)
     return spark.read.format("warc").options(path=path, **options).load()
 
@@ -323,7 +344,7 @@ def page_responses(spark: SparkSession, pages: DataFrame) -> DataFrame:
     """
     folder = scratch_folder(spark, "warc")
     cut(write_pages(pages, folder))
-    found = read_warc(spark, folder).where("record_type = 'response'")
+    found = read_warc(spark, folder, record_type="response")
     text = F.decode("payload", "UTF-8")
     at = F.instr(text, "\r\n\r\n")
     split = found.select("record_id", "target_uri", text.alias("text"), at.alias("at"))
