@@ -67,7 +67,8 @@ def loss_and_gradients(p: dict[str, np.ndarray], x: np.ndarray, y: np.ndarray, m
     u, c, w = _stack(p, "U"), _stack(p, "c")[:, None], _stack(p, "W")
     way = np.stack([x, x[::-1]], 1)  # (T, 2, B): the second direction reads from the end
     real = np.stack([mask, mask[::-1]], 1)[..., None].astype(kind)
-    e = np.stack([p["Ef"][way[:, 0]], p["Eb"][way[:, 1]]], 1)  # (T, 2, B, 3H)
+    row = way + np.array([0, 257])[:, None]  # in the tables of both directions, one below the other
+    e = np.take(_stack(p, "E").reshape(-1, 3 * size), row, 0)  # (T, 2, B, 3H)
     before, r, z, m, n, states = (np.empty((steps, 2, lanes, size), kind) for _ in range(6))
     h = np.zeros((2, lanes, size), kind)
     a, gates = np.empty((2, lanes, 3 * size), kind), np.empty((2, lanes, 2 * size), kind)
@@ -105,20 +106,25 @@ def loss_and_gradients(p: dict[str, np.ndarray], x: np.ndarray, y: np.ndarray, m
     dstates = np.stack([both[:, 0] @ w[0].T, both[:, 1] @ w[1].T], 1)
     # what each step multiplies the state's gradient by, for all steps at once
     keep = real * z
-    into_new = real * (1 - z) * (1 - n * n)
-    into_reset = m * r * (1 - r)
-    into_keep = real * (before - n) * z * (1 - z)
+    into_new, into_reset, into_keep = n * n, 1 - r, before - n
+    np.subtract(1, into_new, out=into_new)
+    into_new *= real - keep
+    into_reset *= r
+    into_reset *= m
+    into_keep *= keep
+    np.subtract(1, z, out=z)
+    into_keep *= z
     de, du = (np.empty((steps, 2, lanes, 3 * size), kind) for _ in range(2))
     back = np.ascontiguousarray(u.transpose(0, 2, 1))
     dh, kept = (np.zeros((2, lanes, size), kind) for _ in range(2))
     for t in range(steps - 1, -1, -1):
         dh += dstates[t]
-        row, pull = de[t], du[t]
-        dn = row[..., 2 * size :]
+        push, pull = de[t], du[t]
+        dn = push[..., 2 * size :]
         np.multiply(dh, into_new[t], out=dn)
-        np.multiply(dn, into_reset[t], out=row[..., :size])
-        np.multiply(dh, into_keep[t], out=row[..., size : 2 * size])
-        pull[..., : 2 * size] = row[..., : 2 * size]
+        np.multiply(dn, into_reset[t], out=push[..., :size])
+        np.multiply(dh, into_keep[t], out=push[..., size : 2 * size])
+        pull[..., : 2 * size] = push[..., : 2 * size]
         np.multiply(dn, r[t], out=pull[..., 2 * size :])
         np.multiply(dh, keep[t], out=kept)
         np.matmul(pull, back, out=dh)
@@ -126,13 +132,17 @@ def loss_and_gradients(p: dict[str, np.ndarray], x: np.ndarray, y: np.ndarray, m
     g = {k: np.zeros_like(v) for k, v in p.items()}
     g["b"] = dl.sum((0, 1))
     for k, d in enumerate("fb"):
-        flat, rows = way[:, k].ravel(), de[:, k].reshape(-1, 3 * size)
         pulled = du[:, k].reshape(-1, 3 * size)
         g["W" + d] = np.tensordot(states[:, k], both[:, k], ((0, 1), (0, 1)))
         g["U" + d] = before[:, k].reshape(-1, size).T @ pulled
         g["c" + d] = pulled[:, 2 * size :].sum(0)
-        for j in range(3 * size):
-            g["E" + d][:, j] = np.bincount(flat, rows[:, j], 257)
+    # gradients of the tables: rows of equal bytes together, then sums of their runs
+    flat = row.astype(np.int16).ravel()
+    order = np.argsort(flat, kind="stable")
+    first = np.flatnonzero(np.diff(flat[order], prepend=-1))
+    tables = np.zeros((514, 3 * size), kind)
+    tables[flat[order[first]]] = np.add.reduceat(de.reshape(-1, 3 * size)[order], first, 0)
+    g["Ef"], g["Eb"] = tables[:257], tables[257:]
     return float(loss), g
 
 
