@@ -126,8 +126,11 @@ def conflicting_replicas(replicas: DataFrame) -> DataFrame:
     return replicas.groupBy("path", "placement").agg(F.countDistinct("digest").alias("digests")).where("digests > 1").select("path", "placement")
 
 
-def orphans(listed: DataFrame, referenced: DataFrame, key: str = "key") -> DataFrame:
-    return listed.select(key).join(referenced.select(key), key, "left_anti")
+def orphans(listed: DataFrame, referenced: DataFrame, key: str | list[str] = "key") -> DataFrame:
+    """The listed keys that nothing refers to, as often as they are listed. A null is a key like any other."""
+    keys = [key] if isinstance(key, str) else key
+    left, right = listed.select(*keys), referenced.select(*(F.col(k).alias(f"__{k}") for k in keys))
+    return left.join(right, [left[k].eqNullSafe(right[f"__{k}"]) for k in keys], "left_anti")
 
 
 def check_policies(targets: DataFrame) -> DataFrame:
