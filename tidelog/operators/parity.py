@@ -14,15 +14,22 @@ def _differs(a: Column, b: Column) -> Column:
 
 
 def compare(served: DataFrame, authority: DataFrame, key: str | list[str], values: list[str]) -> DataFrame:
-    """(key..., divergence) of all keys that differ: 'missing', 'unexpected', or the first value that differs."""
+    """(key..., divergence) of all keys that differ: 'missing', 'unexpected', or the first value that differs.
+
+    Where a key repeats, its rows on both sides are paired in the order of their values, one
+    with one; those left over are missing or unexpected. A null is a key like any other.
+    """
     keys = [key] if isinstance(key, str) else key
-    s = served.select(*keys, F.struct(*values).alias("s"))
-    a = authority.select(*keys, F.struct(*values).alias("a"))
-    both = s.join(a, keys, "full_outer")
+    order = Window.partitionBy(*keys).orderBy(*values)
+    s = served.select(*keys, F.struct(*values).alias("s"), F.row_number().over(order).alias("__nth"))
+    a = authority.select(*(F.col(k).alias(f"__{k}") for k in keys), F.struct(*values).alias("a"), F.row_number().over(order).alias("__other"))
+    same = [s["__nth"] == a["__other"], *(s[k].eqNullSafe(a[f"__{k}"]) for k in keys)]
+    both = s.join(a, same, "full_outer")
     verdict = F.when(F.col("s").isNull(), "missing").when(F.col("a").isNull(), "unexpected")
     for v in values:
         verdict = verdict.when(_differs(F.col(f"s.{v}"), F.col(f"a.{v}")), v)
-    return both.select(*keys, verdict.alias("divergence")).where("divergence is not null")
+    named = (F.when(F.col("s").isNull(), F.col(f"__{k}")).otherwise(F.col(k)).alias(k) for k in keys)
+    return both.select(*named, verdict.alias("divergence")).where("divergence is not null")
 
 
 def report(served: DataFrame, authority: DataFrame, key: str | list[str], values: list[str], checkpoint: int | None = None, offset: int | None = None) -> DataFrame:
@@ -49,9 +56,9 @@ def kv_parity(served: DataFrame, authority: DataFrame, keys: list[str]) -> DataF
     return found.withColumn("divergence", F.when(F.col("divergence").isin("missing", "unexpected"), "presence").when(F.col("divergence") == "expires_at_ms", "ttl").otherwise("value"))
 
 
-def object_parity(served: DataFrame, authority: DataFrame) -> DataFrame:
-    """(key, divergence): 'presence', 'digest', 'length', then 'retrievable' for objects that cannot be read back."""
-    found = compare(served.withColumn("retrievable", F.lit(True)), authority.withColumn("retrievable", F.coalesce("verified", F.lit(False))), "key", ["digest", "byte_len", "retrievable"])
+def object_parity(served: DataFrame, authority: DataFrame, key: str | list[str] = "key") -> DataFrame:
+    """(key..., divergence): 'presence', 'digest', 'length', then 'retrievable' for objects that cannot be read back."""
+    found = compare(served.withColumn("retrievable", F.lit(True)), authority.withColumn("retrievable", F.coalesce("verified", F.lit(False))), key, ["digest", "byte_len", "retrievable"])
     return found.withColumn("divergence", F.when(F.col("divergence").isin("missing", "unexpected"), "presence").when(F.col("divergence") == "byte_len", "length").otherwise(F.col("divergence")))
 
 
