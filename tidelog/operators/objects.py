@@ -44,16 +44,19 @@ def locate(pointers: DataFrame, scheme: str, namespace: str) -> DataFrame:
     return pointers.select("key", "digest", object_path(F.col("digest")).alias("path"), object_uri(scheme, namespace, F.col("digest")).alias("uri"))
 
 
-def replication_plan(objects: DataFrame, replicas: DataFrame, policy: DataFrame) -> DataFrame:
-    """(path, target, action) for each object and target of the policy: 'satisfied' where the source or a replica is there, else 'copy_needed'.
+def replication_plan(objects: DataFrame, replicas: DataFrame, policy: DataFrame, identity: tuple[str, ...] = ("path",)) -> DataFrame:
+    """(identity..., source, target, action) for each object and target of the policy: 'satisfied' where the source or a replica is there, else 'copy_needed'.
 
-    `objects` have (path, placement), `replicas` (path, placement), `policy` (target). The
-    policy is a handful of rows; the planner broadcasts it by its size.
+    `objects` have (identity..., placement), `replicas` (identity..., placement), `policy`
+    (target). An object is what the columns of `identity` name: where paths repeat with
+    different contents they need more than the path. A null is a name like any other.
+    The policy is a handful of rows; the planner broadcasts it by its size.
     """
-    have = objects.select("path", "placement").unionByName(replicas.select("path", "placement")).distinct().withColumnRenamed("placement", "target").withColumn("there", F.lit(True))
-    wanted = objects.select("path", F.col("placement").alias("source")).crossJoin(policy.select("target"))
-    joined = wanted.join(have, ["path", "target"], "left")
-    return joined.select("path", "source", "target", F.when(F.col("there"), "satisfied").otherwise("copy_needed").alias("action"))
+    have = objects.select(*identity, "placement").unionByName(replicas.select(*identity, "placement")).distinct()
+    have = have.select(*(F.col(c).alias(f"__{c}") for c in identity), F.col("placement").alias("__placement"), F.lit(True).alias("there"))
+    wanted = objects.select(*identity, F.col("placement").alias("source")).crossJoin(policy.select("target"))
+    joined = wanted.join(have, [wanted["target"] == have["__placement"], *(wanted[c].eqNullSafe(have[f"__{c}"]) for c in identity)], "left")
+    return joined.select(*identity, "source", "target", F.when(F.col("there"), "satisfied").otherwise("copy_needed").alias("action"))
 
 
 def replicate(plan: DataFrame) -> DataFrame:
