@@ -2,12 +2,17 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from tidelog.errors import NotFound
 from tidelog.operators.numbering import number
-from tidelog.session import hadoop_path
+from tidelog.session import hadoop_path, ship
 
 SEAL_RECORDS = 1024
 GRANULE = 16
@@ -92,28 +97,94 @@ def apply_merges(parts: DataFrame, plan: DataFrame, shard: str) -> DataFrame:
 
 
 BLOOM_WORDS, BLOOM_HASHES = 64, 7
+LANES = 64  # of parts, each of which meets all values asked for
+_PARTS, _ASKED = 2048, 512  # tried against each other at once
 
 
-def _bloom_bits(value: Column, words: int) -> Column:
-    """The bits of a value in a filter of `words` words of 32 bits: BLOOM_HASHES places, by double hashing of its MD5."""
-    one, two = (F.conv(F.substring(F.md5(value.cast("string")), at, 8), 16, 10).cast("long") for at in (1, 9))
-    return F.transform(F.sequence(F.lit(0), F.lit(BLOOM_HASHES - 1)), lambda k: F.pmod(one + k * (two + 1), F.lit(32 * words)))
+def _bloom_halves(rows: DataFrame, member: str, *columns: str) -> DataFrame:
+    """(columns..., __one, __two): the two halves of the MD5 of each value that is not null, from which its places are counted."""
+    halves = (F.conv(F.substring(F.md5(F.col(member).cast("string")), at, 8), 16, 10).cast("long").alias(name) for at, name in ((1, "__one"), (9, "__two")))
+    return rows.where(F.col(member).isNotNull()).select(*columns, *halves)
 
 
 def part_blooms(parted: DataFrame, shard: str, member: str, words: int = BLOOM_WORDS) -> DataFrame:
-    """(shard, part, word, bits): the words that are not zero of a Bloom filter over the values of `member` in each part, by partial aggregation."""
-    bits = parted.select(shard, "part", member).distinct().select(shard, "part", F.explode(_bloom_bits(F.col(member), words)).alias("__bit"))
-    word = F.expr("__bit div 32").cast("int")
-    return bits.groupBy(shard, "part", word.alias("word")).agg(F.bit_or(F.expr("shiftleft(1L, cast(__bit % 32 as int))")).alias("bits"))
+    """(shard, part, word, bits): the words that are not zero of a Bloom filter over the values of `member` in each part.
+
+    A filter has `words` words of 32 bits; a value sets BLOOM_HASHES places by double hashing
+    of its MD5. Records are brought together by part before their places are counted out.
+    """
+    halves = _bloom_halves(parted, member, shard, "part").repartition(shard, "part")
+    places = F.array(*(F.pmod(F.col("__one") + k * (F.col("__two") + 1), F.lit(32 * words)) for k in range(BLOOM_HASHES)))
+    bits = halves.select(shard, "part", F.explode(places).alias("__bit"))
+    return bits.groupBy(shard, "part", F.expr("__bit div 32").cast("int").alias("word")).agg(F.bit_or(F.expr("shiftleft(1L, cast(__bit % 32 as int))")).alias("bits"))
+
+
+def _bit_rows(filters: pa.RecordBatch, words: int) -> np.ndarray:
+    """A row for each bit of the filters (words, bits): the filters that have it set, 64 to a number."""
+    table = np.zeros((filters.num_rows, words), "<u4")
+    at = np.repeat(np.arange(filters.num_rows), pc.list_value_length(filters.column("__words")).to_numpy(zero_copy_only=False))
+    table[at, filters.column("__words").flatten().to_numpy()] = filters.column("__bits").flatten().to_numpy()
+    by_bit = np.packbits(np.unpackbits(table.view(np.uint8), axis=1, bitorder="little").T, axis=1, bitorder="little")
+    out = np.zeros((32 * words, -(-filters.num_rows // 64) * 8), np.uint8)
+    out[:, : by_bit.shape[1]] = by_bit
+    return out.view("<u8")
 
 
 def maybe_members(blooms: DataFrame, shard: str, values: DataFrame, member: str, words: int = BLOOM_WORDS) -> DataFrame:
-    """(member, shard, part) of the parts that may hold each value; one that holds it is never left out."""
-    asked = values.select(member).distinct().select(member, F.explode(F.array_distinct(_bloom_bits(F.col(member), words))).alias("__bit"))
-    asked = asked.groupBy(member, F.expr("__bit div 32").cast("int").alias("word")).agg(F.bit_or(F.expr("shiftleft(1L, cast(__bit % 32 as int))")).alias("__mask"))
-    need = asked.withColumn("__need", F.count("*").over(Window.partitionBy(member)))
-    met = need.join(blooms, "word").where(F.col("bits").bitwiseAND(F.col("__mask")) == F.col("__mask"))
-    return met.groupBy(member, shard, "part").agg((F.count("*") == F.first("__need")).alias("__all")).where("__all").select(member, shard, "part")
+    """(member, shard, part) of the parts that may hold each value; one that holds it is never left out.
+
+    Every value is tried against every filter, but no pair becomes a row unless it is a
+    result: parts are dealt to lanes, the values asked for go to every lane and stand first
+    in it, and the filters that follow are turned, 2,048 at a time, into one row of bits for
+    each place; a value's parts are the AND of its places' rows. A task holds the values
+    asked for, some 40 bytes each, and one such table.
+    """
+    spark = blooms.sparkSession
+    ship(spark)
+    types = {"__member": values.schema[member].dataType.simpleString(), "__shard": blooms.schema[shard].dataType.simpleString(), "__part": blooms.schema["part"].dataType.simpleString()}
+    blank = {k: F.lit(None).cast(v).alias(k) for k, v in (types | {"__one": "long", "__two": "long", "__words": "array<int>", "__bits": "array<long>"}).items()}
+    held = blooms.groupBy(F.col(shard).alias("__shard"), F.col("part").alias("__part")).agg(F.collect_list(F.struct("word", "bits")).alias("__held"))
+    filters = held.select(F.pmod(F.xxhash64("__shard", "__part"), F.lit(LANES)).cast("int").alias("__lane"), F.lit(1).alias("__kind"), blank["__member"], blank["__one"], blank["__two"], "__shard", "__part", F.col("__held.word").alias("__words"), F.col("__held.bits").alias("__bits"))
+    asked = _bloom_halves(values.select(F.col(member).alias("__member")).distinct(), "__member", "__member")
+    asked = asked.select(F.explode(F.sequence(F.lit(0), F.lit(LANES - 1))).alias("__lane"), F.lit(0).alias("__kind"), "__member", "__one", "__two", blank["__shard"], blank["__part"], blank["__words"], blank["__bits"])
+    lanes = asked.unionByName(filters).repartition("__lane").sortWithinPartitions("__lane", "__kind")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        lane, names, places = None, [], []
+        for batch in batches:
+            of, kinds = (batch.column(c).to_numpy() for c in ("__lane", "__kind"))
+            cuts = np.flatnonzero((np.diff(of) != 0) | (np.diff(kinds) != 0)) + 1
+            for start, end in zip([0, *cuts], [*cuts, batch.num_rows], strict=True):
+                if start == end:
+                    continue
+                rows = batch.slice(start, end - start)
+                if of[start] != lane:
+                    lane, names, places = of[start], [], []
+                if kinds[start] == 0:
+                    one, two = (rows.column(c).to_numpy() for c in ("__one", "__two"))
+                    places.append(((one[:, None] + np.arange(BLOOM_HASHES) * (two[:, None] + 1)) % (32 * words)).astype(np.int32))
+                    names.append(pa.concat_arrays([rows.column("__member")]))
+                elif places:
+                    if len(places) > 1:
+                        places, names = [np.concatenate(places)], [pa.concat_arrays(names)]
+                    for first in range(0, rows.num_rows, _PARTS):
+                        yield from tried(rows.slice(first, _PARTS), names[0], places[0])
+
+    def tried(filters: pa.RecordBatch, names: pa.Array, places: np.ndarray) -> Iterator[pa.RecordBatch]:
+        table = _bit_rows(filters, words)
+        for first in range(0, len(places), _ASKED):
+            some = places[first : first + _ASKED]
+            both = table[some[:, 0]]
+            for k in range(1, BLOOM_HASHES):
+                both &= table[some[:, k]]
+            value, group = np.nonzero(both)
+            if len(value):
+                hit, bit = np.nonzero(np.unpackbits(both[value, group].view(np.uint8).reshape(-1, 8), axis=1, bitorder="little"))
+                which = pa.array(group[hit] * 64 + bit)
+                yield pa.RecordBatch.from_arrays([names.take(pa.array(first + value[hit])), filters.column("__shard").take(which), filters.column("__part").take(which)], names=[*types])
+
+    found = lanes.mapInArrow(run, ", ".join(f"{k} {v}" for k, v in types.items()))
+    return found.select(F.col("__member").alias(member), F.col("__shard").alias(shard), F.col("__part").alias("part"))
 
 
 def summarise(counts: list[tuple[DataFrame, dict[str, Column]]]) -> DataFrame:
